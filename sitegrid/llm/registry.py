@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from sitegrid.llm.decontaminate import op6_decontaminate
+from sitegrid.llm.neighbours import op9_nearest
+from sitegrid.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op6_decontaminate": op6_decontaminate,
+        "op9_nearest": op9_nearest,
     }
 
 
