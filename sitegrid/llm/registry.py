@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from sitegrid.llm.decontaminate import op6_decontaminate
+from sitegrid.llm.extract import op10_extract
+from sitegrid.llm.language import op7_language
 from sitegrid.llm.neighbours import op9_nearest
+from sitegrid.llm.reshard import op8_reshard
 from sitegrid.llm.toxicity import op2_toxicity
 
 
@@ -11,7 +14,10 @@ def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
         "op6_decontaminate": op6_decontaminate,
+        "op7_language": op7_language,
+        "op8_reshard": op8_reshard,
         "op9_nearest": op9_nearest,
+        "op10_extract": op10_extract,
     }
 
 
