@@ -101,17 +101,13 @@ def fit_rows(rows: list, labels: np.ndarray, features: int = FEATURES, epochs: i
     return Model(float(params[0][0]), {int(f): i for i, f in enumerate(kept)}, params[1].astype(float), params[2].astype(float))
 
 
-@F.pandas_udf("array<int>")
-def _buckets(texts: pd.Series) -> pd.Series:
-    return texts.map(buckets)
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Learns from labels' rows, at most max_train of them; the texts of these alone are joined, by broadcast."""
     one = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg(F.max("y").alias("y"))
     sample = one.orderBy(F.xxhash64("i"), "i").limit(max_train)
+    of = F.pandas_udf(lambda t: t.map(buckets), "array<int>", F.PandasUDFType.SCALAR)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(sample), "i").select("i", "y", _buckets("t").alias("b")).toPandas()  # at most max_train documents
+    rows = texts.join(F.broadcast(sample), "i").select("i", "y", of("t").alias("b")).toPandas()  # at most max_train documents
     rows = rows.drop_duplicates("i").sort_values("i")
     return fit_rows(list(rows.b), rows.y.to_numpy(float))
 
