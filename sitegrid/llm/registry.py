@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from sitegrid.llm.byte_bpe import op3_byte_bpe
 from sitegrid.llm.decontaminate import op6_decontaminate
 from sitegrid.llm.extract import op10_extract
 from sitegrid.llm.language import op7_language
 from sitegrid.llm.neighbours import op9_nearest
 from sitegrid.llm.reshard import op8_reshard
+from sitegrid.llm.token_counts import op4_token_counts
 from sitegrid.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_token_counts": op4_token_counts,
         "op6_decontaminate": op6_decontaminate,
         "op7_language": op7_language,
         "op8_reshard": op8_reshard,
