@@ -6,6 +6,7 @@ from sitegrid.llm.byte_bpe import op3_byte_bpe
 from sitegrid.llm.decontaminate import op6_decontaminate
 from sitegrid.llm.extract import op10_extract
 from sitegrid.llm.language import op7_language
+from sitegrid.llm.near_dedup import op1_near_dedup
 from sitegrid.llm.neighbours import op9_nearest
 from sitegrid.llm.reshard import op8_reshard
 from sitegrid.llm.token_counts import op4_token_counts
@@ -14,6 +15,7 @@ from sitegrid.llm.toxicity import op2_toxicity
 
 def queries() -> dict:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
