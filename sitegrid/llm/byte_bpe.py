@@ -30,7 +30,7 @@ from pyspark.sql.types import StructField, StructType
 
 from sitegrid.llm.common import table, written
 
-DICT, BUCKETS = 1_000_000, 1 << 13
+DICT, BUCKETS = 500_000, 1 << 13
 NONE = (1 << 31) - 1
 
 
@@ -49,8 +49,8 @@ class Joined:
     """Many short strings as one; far less memory than a list."""
 
     @staticmethod
-    def of(texts: pd.Series) -> tuple[bytes, np.ndarray]:
-        raw = [t.encode("latin-1") for t in texts]
+    def of(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+        raw = column.cast(pa.binary()).to_pylist()
         return b"".join(raw), np.cumsum([0, *map(len, raw)])
 
 
@@ -123,9 +123,11 @@ def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: st
     enc = lambda w: F.transform(F.array(lit.encode(w)), lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"), lit.decode(ids).alias("bytes")))[0]
     counts = word_counts(docs, text, pattern)
     top = counts.where(F.col("n") >= least_count(counts, size)).select(F.decode(F.encode("w", "UTF-8"), "ISO-8859-1").alias("w"))
-    rows = written(top.repartition(2 * spark.sparkContext.defaultParallelism).select("w", enc(F.col("w")).alias("e")), "bpe-words").select("w", "e.*").toPandas()  # at most `size` words
-    words = spark.sparkContext.broadcast({w.encode("latin-1").decode("utf-8"): i for i, w in enumerate(rows.w)})
-    known = spark.sparkContext.broadcast((rows.n.to_numpy("int32"), *Joined.of(rows.ids), *Joined.of(rows.bytes)))
+    made = written(top.repartition(2 * spark.sparkContext.defaultParallelism).select("w", enc(F.col("w")).alias("e")), "bpe-words")
+    # a word is what its ids decode to; at most `size` words
+    rows = made.where("e.bytes = w").select("e.n", "e.ids", F.encode("e.bytes", "ISO-8859-1").alias("bytes")).toArrow().combine_chunks()
+    words = spark.sparkContext.broadcast({w.decode(): i for i, w in enumerate(rows["bytes"].to_pylist())})
+    known = spark.sparkContext.broadcast((rows["n"].to_numpy().astype(np.int32), *Joined.of(rows["ids"]), *Joined.of(rows["bytes"])))
 
     @F.pandas_udf("codes array<int>, rest array<string>")
     def look_up(texts: pd.Series) -> pd.DataFrame:
@@ -135,13 +137,13 @@ def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: st
         codes, rest = [], []
         for t in texts:
             new: dict[str, int] = {}
-            codes.append([i if (i := place.get(w)) is not None else -1 - new.setdefault(w, len(new)) for w in find(t or "")])
+            codes.append(np.array([i if (i := place.get(w)) is not None else -1 - new.setdefault(w, len(new)) for w in find(t or "")], np.int32))
             rest.append([w.encode("utf-8", "replace").decode("latin-1") for w in new])
         return pd.DataFrame({"codes": codes, "rest": rest})
 
     def put_together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ids, id_at, raw, raw_at = known.value
-        for batch in it:
+        for batch in (whole.slice(lo, 1_000) for whole in it for lo in range(0, len(whole), 1_000)):
             found, rest = batch.column("_c").field("codes"), batch.column("_e")
             a, b, c = [], [], []
             for k in range(len(batch)):
