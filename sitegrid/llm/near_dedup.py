@@ -17,7 +17,7 @@
 A pair at a similarity of 0.85 misses MATCH = 17 of 32 coordinates in 3 of a million cases; nothing is capped.
 
 Cases: lower-casing is A-Z only; fewer words than a shingle are one shingle; null, empty and blank texts have an empty set and
-stay alone; repeated rows are copies; an empty table gives no rows.
+stay alone; repeated rows are copies; rows without an id are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def agreeing(a: str, b: str):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = ROUNDS, match: int = MATCH) -> DataFrame:
     """i (id), n (size of the set), comp (smallest id of the group), one row for each row of docs."""
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL")
     sk = written(sketches(d, size), "sketches")
     full = sk.where("n > 0")
     classes = written(full.groupBy("f1", "f2", "n").agg(F.min("i").alias("rep"), F.first("sig").alias("sig")), "classes")

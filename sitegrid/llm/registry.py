@@ -5,6 +5,7 @@ from __future__ import annotations
 from sitegrid.llm.byte_bpe import op3_byte_bpe
 from sitegrid.llm.decontaminate import op6_decontaminate
 from sitegrid.llm.extract import op10_extract
+from sitegrid.llm.katz import op5_katz
 from sitegrid.llm.language import op7_language
 from sitegrid.llm.near_dedup import op1_near_dedup
 from sitegrid.llm.neighbours import op9_nearest
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
+        "op5_katz": op5_katz,
         "op6_decontaminate": op6_decontaminate,
         "op7_language": op7_language,
         "op8_reshard": op8_reshard,

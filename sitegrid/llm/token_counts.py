@@ -74,12 +74,11 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, special: str =
                                 n += k
                     out.append((one, i, f"\0{one}", n, len(t.encode("utf-8", "replace")), 0))
                     out += [(one, None, w, 0, 0, f) for w, f in rest.items()]
-                f = pd.DataFrame(out, columns=["row", "i", "w", "n_tokens", "n_bytes", "f"])
-                yield f.astype({"i": "Int64"})
+                yield pd.DataFrame(out, columns=["row", "i", "w", "n_tokens", "n_bytes", "f"])
 
-    freq = d.select(F.col("i").cast("long"), "t").mapInPandas(frequencies, "row string, i long, w string, n_tokens long, n_bytes long, f long")
+    freq = d.select(F.col("i").cast("string"), "t").mapInPandas(frequencies, "row string, i string, w string, n_tokens long, n_bytes long, f long")
     rare = known.where(F.col("n") < least).select("w", "k")
-    got = freq.join(rare, "w", "left").groupBy("row").agg(F.max("i").alias(id_col), F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n_tokens") + F.col("f") * F.coalesce("k", F.lit(0))).alias("n_tokens"))
+    got = freq.join(rare, "w", "left").groupBy("row").agg(F.max("i").cast(docs.schema[id_col].dataType).alias(id_col), F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n_tokens") + F.col("f") * F.coalesce("k", F.lit(0))).alias("n_tokens"))
     return got.drop("row")
 
 
