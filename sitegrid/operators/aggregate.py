@@ -63,11 +63,11 @@ def call_rates(scores: DataFrame, by: list[str], k: int) -> DataFrame:
     return scores.groupBy(*by).agg((F.avg("n_called") / k).alias("call_rate"))
 
 
-def model_summary(cells: DataFrame, own: Column) -> DataFrame:
-    """Means over all rows and over own rows, rows at 0.9 or more; a pending (null) cell makes its mean null."""
+def model_summary(cells: DataFrame, own: Column, good: float = 0.9) -> DataFrame:
+    """Means over all rows and over own rows, rows at `good` or more; a pending (null) cell makes its mean null."""
     mean = lambda c: F.when(F.count_if(c.isNull()) == 0, F.avg(c))
     x = F.col("auroc")
-    return cells.groupBy("model").agg(mean(x).alias("mean_all"), F.when(F.count_if(own & x.isNull()) == 0, F.avg(F.when(own, x))).alias("mean_own"), F.count_if(x >= 0.9).alias("n_good"))
+    return cells.groupBy("model").agg(mean(x).alias("mean_all"), F.when(F.count_if(own & x.isNull()) == 0, F.avg(F.when(own, x))).alias("mean_own"), F.count_if(x >= good).alias("n_good"))
 
 
 def pivot_models(cells: DataFrame, models: list[str]) -> DataFrame:

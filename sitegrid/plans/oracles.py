@@ -1,3 +1,6 @@
-"""The same queries as DuckDB SQL."""
+"""The queries that SQL can express, as DuckDB SQL."""
 
-ORACLES: dict = {}
+from sitegrid.plans import queries
+from sitegrid.plans.core import ORACLES
+
+__all__ = ["ORACLES", "queries"]

@@ -1,3 +1,6 @@
-"""One query per operator, bound to the given tables."""
+"""All queries, by name."""
 
-QUERIES: dict = {}
+from sitegrid.plans import q_calls, q_rank
+from sitegrid.plans.core import QUERIES
+
+__all__ = ["QUERIES", "q_calls", "q_rank"]
