@@ -39,7 +39,8 @@ def motif_sites(ref: DataFrame, motif: str, offset: int, overlapping: bool = Tru
     parts = chunked(ref, k - 1, chunk) if overlapping else ref.select("contig", F.lit(0).cast("long").alias("start"), F.upper("seq").alias("seq"))
     out = None
     for strand, m, at in (("+", motif, offset), ("-", revcomp_str(motif), k - 1 - offset)):
-        e = parts.select("contig", (F.col("start") + F.explode(_hits(F.col("seq"), iupac_regex(m), k, overlapping)) + at).alias("pos")).distinct().withColumn("strand", F.lit(strand))
+        e = parts.select("contig", "start", F.explode(_hits(F.col("seq"), iupac_regex(m), k, overlapping)).alias("_i"))
+        e = e.select("contig", (F.col("start") + F.col("_i") + at).alias("pos")).distinct().withColumn("strand", F.lit(strand))
         out = e if out is None else out.unionByName(e)
     return out
 

@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from sitegrid.plans import q_calls, q_rank
+from sitegrid.plans import q_calls, q_rank, q_seq
 from sitegrid.plans.core import QUERIES
 
-__all__ = ["QUERIES", "q_calls", "q_rank"]
+__all__ = ["QUERIES", "q_calls", "q_rank", "q_seq"]
