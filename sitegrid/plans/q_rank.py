@@ -371,12 +371,12 @@ def deviation_profile(s, d):
     return P.deviation_profile(li).select("contig", "pos", *r6("deviation"), "n")
 
 
-@q("offset_scan", f"WITH {SCORES}, d AS (SELECT contig, pos, sum(CASE WHEN strand = '+' THEN score ELSE -score END) AS d FROM scores GROUP BY ALL), h AS (SELECT DISTINCT p_brand AS motif, s_suppkey AS contig, p_partkey AS pos, p_size % 4 AS \"offset\" FROM part, supplier WHERE s_suppkey % 10 = 1), g AS (SELECT motif, \"offset\", avg(d) AS mean, count(*) AS n FROM h JOIN d USING (contig, pos) GROUP BY ALL HAVING count(*) >= 5) SELECT motif, \"offset\", round(mean, 6) AS mean, n, round((mean - (SELECT avg(d) FROM d)) / ((SELECT stddev_pop(d) FROM d) / sqrt(n)), 4) AS z FROM g")
+@q("offset_scan", f"WITH {SCORES}, d AS (SELECT contig, pos, sum(CASE WHEN strand = '+' THEN score ELSE -score END) AS d FROM scores GROUP BY ALL), h AS (SELECT DISTINCT p_brand AS motif, s_suppkey AS contig, p_partkey AS pos, p_size % 4 AS \"offset\" FROM part, supplier WHERE s_suppkey % 10 = 1), g AS (SELECT motif, \"offset\", avg(d) AS mean, count(*) AS n FROM h JOIN d USING (contig, pos) GROUP BY ALL HAVING count(*) >= 5) SELECT motif, \"offset\", round(mean, 4) AS mean, n, round((mean - (SELECT avg(d) FROM d)) / ((SELECT stddev_pop(d) FROM d) / sqrt(n)), 3) AS z FROM g")
 def offset_scan(s, d):
     diff = scores(s, d).groupBy("contig", "pos").agg(F.sum(F.when(F.col("strand") == "+", F.col("score")).otherwise(-F.col("score"))).alias("d"))
     p = t(s, d, "part").select(F.col("p_brand").alias("motif"), F.col("p_partkey").alias("pos"), (F.col("p_size") % 4).alias("offset"))
     h = p.join(diff.where("contig % 10 = 1").select("contig", "pos"), "pos").distinct()
-    return P.offset_scan(diff, h, 5).select("motif", "offset", *r6("mean"), "n", F.round("z", 4).alias("z"))
+    return P.offset_scan(diff, h, 5).select("motif", "offset", F.round("mean", 4).alias("mean"), "n", F.round("z", 3).alias("z"))
 
 
 @q("image_summary", "SELECT l_suppkey AS contig, count(*) AS n_reads, round(avg(CASE WHEN l_tax > 0.01 THEN l_discount END), 6) AS a_mean, round(CASE WHEN stddev_pop(CASE WHEN l_tax > 0.01 THEN l_discount END) > 1e-12 THEN stddev_pop(CASE WHEN l_tax > 0.01 THEN l_discount END) ELSE 1 END, 6) AS a_sd, round(avg(l_quantity), 6) AS b_mean, round(stddev_pop(l_quantity), 6) AS b_sd FROM lineitem GROUP BY ALL")
@@ -416,10 +416,11 @@ def owns(s, d):
     return r.join(F.broadcast(m)).select("r_name", "n_name", P.owns(F.col("mm"), F.col("marks"), F.col("mc"), F.col("ctx")).alias("own"))
 
 
-@q("applicable", "WITH r AS (SELECT n_name AS rw, n_name[1] AS base, CASE WHEN n_nationkey % 2 = 0 THEN 'CpG' ELSE 'CHG' END AS context FROM nation), m AS (SELECT r_name AS model, [r_name[1], r_name[2], r_name[3]] AS bases, CASE WHEN r_regionkey % 2 = 0 THEN 'CpG' ELSE 'any' END AS mc FROM region) SELECT rw, model FROM r, m WHERE list_contains(bases, base) AND (mc = 'any' OR mc = context)")
+@q("applicable", "WITH r AS (SELECT n_name AS rw, CAST(n_nationkey % 7 AS VARCHAR) AS base, CASE WHEN n_nationkey % 2 = 0 THEN 'CpG' ELSE 'CHG' END AS context FROM nation), m AS (SELECT r_name AS model, [CAST(r_regionkey AS VARCHAR), CAST(r_regionkey + 1 AS VARCHAR)] AS bases, CASE WHEN r_regionkey % 2 = 0 THEN 'CpG' ELSE 'any' END AS mc FROM region) SELECT rw, model FROM r, m WHERE list_contains(bases, base) AND (mc = 'any' OR mc = context)")
 def applicable(s, d):
-    r = t(s, d, "nation").select(F.col("n_name").alias("rw"), F.substring("n_name", 1, 1).alias("base"), F.when(F.col("n_nationkey") % 2 == 0, "CpG").otherwise("CHG").alias("context"))
-    m = t(s, d, "region").select(F.col("r_name").alias("model"), F.array(*[F.substring("r_name", i, 1) for i in (1, 2, 3)]).alias("bases"), F.when(F.col("r_regionkey") % 2 == 0, "CpG").otherwise("any").alias("model_context"))
+    r = t(s, d, "nation").select(F.col("n_name").alias("rw"), (F.col("n_nationkey") % 7).cast("string").alias("base"), F.when(F.col("n_nationkey") % 2 == 0, "CpG").otherwise("CHG").alias("context"))
+    k = F.col("r_regionkey")
+    m = t(s, d, "region").select(F.col("r_name").alias("model"), F.array(k.cast("string"), (k + 1).cast("string")).alias("bases"), F.when(k % 2 == 0, "CpG").otherwise("any").alias("model_context"))
     return P.applicable(r, m).select("rw", "model")
 
 
