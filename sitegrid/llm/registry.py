@@ -9,6 +9,7 @@ from sitegrid.llm.katz import op5_katz
 from sitegrid.llm.language import op7_language
 from sitegrid.llm.near_dedup import op1_near_dedup
 from sitegrid.llm.neighbours import op9_nearest
+from sitegrid.llm.oracles import ORACLES
 from sitegrid.llm.reshard import op8_reshard
 from sitegrid.llm.token_counts import op4_token_counts
 from sitegrid.llm.toxicity import op2_toxicity
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
