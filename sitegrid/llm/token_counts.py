@@ -49,8 +49,8 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, special: str =
     counts = word_counts(d, F.col("t"), pattern, special)
     known = written(pieces(counts.repartition(2 * spark.sparkContext.defaultParallelism), vocabulary), "pieces")
     least = least_count(counts, size)
-    top = known.where(F.col("n") >= least).select("w", "k").toPandas()  # at most `size` words
-    shared = spark.sparkContext.broadcast(dict(zip(top.w, top.k.tolist())))
+    top = known.where(F.col("n") >= least).select("w", "k").toArrow()  # at most `size` words
+    shared = spark.sparkContext.broadcast(dict(zip(top["w"].to_pylist(), top["k"].to_pylist())))
 
     def frequencies(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of each document a row with what the dictionary knows, then a row for each other pre-token."""

@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = one.orderBy(F.xxhash64("i"), "i").limit(max_train)
     of = F.pandas_udf(lambda t: t.map(buckets), "array<int>", F.PandasUDFType.SCALAR)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(sample), "i").select("i", "y", of("t").alias("b")).toPandas()  # at most max_train documents
+    rows = texts.join(F.broadcast(sample), "i").select("i", "y", of("t").alias("b")).toArrow().to_pandas()  # at most max_train documents
     rows = rows.drop_duplicates("i").sort_values("i")
     return fit_rows(list(rows.b), rows.y.to_numpy(float))
 
