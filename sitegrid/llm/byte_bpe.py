@@ -22,15 +22,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from sitegrid.llm.common import table, written
 
-DICT, BUCKETS = 500_000, 1 << 13
+DICT, BUCKETS = 1_000_000, 1 << 13
 NONE = (1 << 31) - 1
 
 
@@ -45,15 +45,6 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", space).replace(r"(?!\S)", rf"(?![^{space}])").replace(r"\S", rf"[^{space}]")
 
 
-class Joined:
-    """Many short strings as one; far less memory than a list."""
-
-    @staticmethod
-    def of(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
-        raw = column.cast(pa.binary()).to_pylist()
-        return b"".join(raw), np.cumsum([0, *map(len, raw)])
-
-
 class Ranks:
     """Literal rank map and piece array for expressions."""
 
@@ -116,58 +107,75 @@ def least_count(counts: DataFrame, size: int) -> int:
     return least if least is not None else NONE
 
 
-def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: str, out: str = "bpe", size: int = DICT) -> DataFrame:
-    """docs and a struct column: n_tokens, ids (decimal, joined by one space), decoded (bytes from the ids)."""
+def pre_tokens(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+
+
+def slices(it: Iterator[pa.RecordBatch], size: int = 1_000) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for lo in range(0, len(batch), size):
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, size)]) for c in batch.columns], schema=batch.schema)
+
+
+def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: str, out: str = "bpe", size: int = DICT, keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those of keep) and a struct column: n_tokens, ids (decimal, joined by one space), decoded
+    (bytes from the ids)."""
     spark = docs.sparkSession
     lit = Ranks(ranks)
     enc = lambda w: F.transform(F.array(lit.encode(w)), lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"), lit.decode(ids).alias("bytes")))[0]
+    latin = lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")
     counts = word_counts(docs, text, pattern)
-    top = counts.where(F.col("n") >= least_count(counts, size)).select(F.decode(F.encode("w", "UTF-8"), "ISO-8859-1").alias("w"))
+    top = counts.where(F.col("n") >= least_count(counts, size)).select(latin("w").alias("w"))
     made = written(top.repartition(2 * spark.sparkContext.defaultParallelism).select("w", enc(F.col("w")).alias("e")), "bpe-words")
     # a word is what its ids decode to; at most `size` words
     rows = made.where("e.bytes = w").select("e.n", "e.ids", F.encode("e.bytes", "ISO-8859-1").alias("bytes")).toArrow().combine_chunks()
-    words = spark.sparkContext.broadcast({w.decode(): i for i, w in enumerate(rows["bytes"].to_pylist())})
-    known = spark.sparkContext.broadcast((rows["n"].to_numpy().astype(np.int32), *Joined.of(rows["ids"]), *Joined.of(rows["bytes"])))
-
-    @F.pandas_udf("codes array<int>, rest array<string>")
-    def look_up(texts: pd.Series) -> pd.DataFrame:
-        import regex
-
-        find, place = regex.compile(pattern).findall, words.value
-        codes, rest = [], []
-        for t in texts:
-            new: dict[str, int] = {}
-            codes.append(np.array([i if (i := place.get(w)) is not None else -1 - new.setdefault(w, len(new)) for w in find(t or "")], np.int32))
-            rest.append([w.encode("utf-8", "replace").decode("latin-1") for w in new])
-        return pd.DataFrame({"codes": codes, "rest": rest})
+    flat = lambda c, kind: rows[c].combine_chunks().cast(kind) if len(rows) else pa.array([], kind)
+    known = spark.sparkContext.broadcast((flat("n", pa.int32()), flat("ids", pa.binary()), flat("bytes", pa.binary())))
+    kept = keep if keep is not None else docs.columns
+    fields = [docs.schema[c] for c in kept]
+
+    def look_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of the pre-tokens in the dictionary; those it doesn't have once each (rest), numbered from -1 down."""
+        words = known.value[2].cast(pa.string())
+        for batch in slices(it):
+            lists = batch.column("_t")
+            values, at = lists.values, lists.offsets.to_numpy()
+            code = pc.fill_null(pc.index_in(values, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+            new = np.flatnonzero(code < 0)
+            doc = np.searchsorted(at, new, side="right") - 1
+            names = values.take(pa.array(new)).dictionary_encode()
+            pairs = doc * max(1, len(names.dictionary)) + names.indices.to_numpy(zero_copy_only=False)
+            one, back = np.unique(pairs, return_inverse=True)
+            first = np.searchsorted(one, np.arange(len(batch) + 1) * max(1, len(names.dictionary)))
+            code[new] = -1 - (back - first[doc])
+            rest = names.dictionary.take(pa.array(one % max(1, len(names.dictionary))))
+            columns = [pa.ListArray.from_arrays(lists.offsets, pa.array(code)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), rest)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "_c", "_r"])
 
     def put_together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ids, id_at, raw, raw_at = known.value
-        for batch in (whole.slice(lo, 1_000) for whole in it for lo in range(0, len(whole), 1_000)):
-            found, rest = batch.column("_c").field("codes"), batch.column("_e")
-            a, b, c = [], [], []
-            for k in range(len(batch)):
-                code = found[k].values.to_numpy(zero_copy_only=False)
-                new = rest[k].as_py() or []
-                xi, xb = [x["ids"].encode() for x in new], [x["bytes"].encode("latin-1") for x in new]
-                a.append(int(n[code[code >= 0]].sum()) + sum(new[i]["n"] for i in (-1 - code[code < 0]).tolist()))
-                at = np.maximum(code, 0)
-                to = np.minimum(at + 1, len(n))
-                lo, hi, rlo, rhi = (x.tolist() for x in (id_at[at], id_at[to], raw_at[at], raw_at[to]))
-                code = code.tolist()
-                b.append(b" ".join([ids[p:q] if i >= 0 else xi[-1 - i] for i, p, q in zip(code, lo, hi)]))
-                c.append(b"".join([raw[p:q] if i >= 0 else xb[-1 - i] for i, p, q in zip(code, rlo, rhi)]))
-            made = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["n_tokens", "ids", "decoded"])
-            kept = [x for x in batch.schema.names if x not in ("_c", "_e")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), made], names=[*kept, out])
-
-    coded = docs.withColumn("_c", look_up(text)).withColumn("_e", F.transform("_c.rest", enc))
-    schema = StructType([*docs.schema.fields, StructField(out, StructType.fromDDL("n_tokens long, ids binary, decoded binary"))])
-    return coded.mapInArrow(put_together, schema)
+        n, ids, raw = known.value
+        for batch in slices(it):
+            lists, rest = batch.column("_c"), batch.column("_e")
+            code, at, first = lists.values.to_numpy(zero_copy_only=False).copy(), lists.offsets.to_numpy(), rest.offsets.to_numpy()
+            doc = np.repeat(np.arange(len(batch)), np.diff(at))
+            new = code < 0
+            code[new] = len(n) + first[doc[new]] + (-1 - code[new])
+            extra = rest.values
+            place = pa.array(code)
+            pick = lambda a, b: pa.concat_arrays([a, b.cast(a.type)]).take(place)
+            count = pick(n, extra.field("n")).to_numpy(zero_copy_only=False)
+            decoded = pa.array([x.encode("latin-1") for x in extra.field("bytes").to_pylist()], pa.binary())
+            join = lambda a, by: pc.binary_join(pa.ListArray.from_arrays(lists.offsets, a), by)
+            made = pa.StructArray.from_arrays([pa.array(np.bincount(doc, weights=count, minlength=len(batch)).astype(np.int64)), join(pick(ids, extra.field("ids")), b" "), join(pick(raw, decoded), b"")], names=["n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, out])
+
+    coded = docs.select(*kept, pre_tokens(text, pattern).alias("_t")).mapInArrow(look_up, StructType([*fields, *StructType.fromDDL("_c array<int>, _r array<string>").fields]))
+    coded = coded.select(*kept, "_c", F.transform("_r", lambda w: enc(latin(w))).alias("_e"))
+    return coded.mapInArrow(put_together, StructType([*fields, StructField(out, StructType.fromDDL("n_tokens long, ids binary, decoded binary"))]))
 
 
 def digests(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    df = with_ids(docs, text, ranks, pattern)
+    df = with_ids(docs, text, ranks, pattern, keep=["doc_id"])
     return df.select("doc_id", F.col("bpe.n_tokens").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
 
 
