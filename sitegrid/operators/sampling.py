@@ -77,7 +77,3 @@ def fewshot(df: DataFrame, k: int, group: list[str], keys: list[str], seed: int,
     shots = cap_per_group(df.where(half), [*group, "label"], k, keys, seed + 1)
     times = max(1, -(-replay // (4 * 2 * k))) if replay else 1
     return oversample(shots, F.lit(True), times).withColumn("role", F.lit("support")).unionByName(df.where(~half).withColumns({"copy": F.lit(1), "role": F.lit("query")}))
-
-
-def bootstrap_key(seed: int, *cols: str) -> Column:
-    return hash_key(seed, *cols)

@@ -22,7 +22,7 @@ def _s(i: int) -> Column:
 
 
 def _n(i: int, kind: str = "bigint") -> Column:
-    return F.try_cast(_s(i), kind) if hasattr(F, "try_cast") else _s(i).try_cast(kind)
+    return _s(i).try_cast(kind)
 
 
 def parse_sites(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def parse_peaks(df: DataFrame) -> DataFrame:
 
 def parse_moves(df: DataFrame) -> DataFrame:
     """read_id, moves with the stride first (comma-separated), a tag that ends in the offset: border where a move is 1, and the end."""
-    d = _fields(df).select(_s(0).alias("read_id"), F.slice(F.split(_s(1), ","), -9999999, 9999999).alias("_x"), F.split(_s(1), ",").alias("m"), F.element_at(F.split(_s(2), ":"), -1).cast("bigint").alias("o")).drop("_x")
+    d = _fields(df).select(_s(0).alias("read_id"), F.split(_s(1), ",").alias("m"), F.element_at(F.split(_s(2), ":"), -1).cast("bigint").alias("o"))
     stride = F.get("m", F.lit(0)).cast("bigint")
     moves = F.slice("m", 2, F.greatest(F.lit(0), F.size("m") - 1))
     ones = F.filter(F.transform(moves, lambda x, i: F.when(x == "1", F.col("o") + i * stride)), lambda x: x.isNotNull())
