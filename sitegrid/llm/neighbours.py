@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sitegrid.llm.common import table, written
 
 MAX_FIT = 8_192
-BOOKS, WORDS, BEAM, RERANK, BLOCK = 8, 256, 8, 192, 2_048
+BOOKS, WORDS, BEAM, RERANK, BLOCK = 12, 256, 8, 192, 2_048
 
 
 def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
