@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sitegrid.llm import byte_bpe, decontaminate, language, near_dedup, toxicity
 from sitegrid.llm.common import table, written
 
-SHINGLE, PERCENT, MATCH = 5, 80, 15
+SHINGLE, PERCENT = 5, 80
 
 #: Stages two to five learn, group and fold; SQL can't express them.
 ORACLE_SQL = None
@@ -37,7 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_dedup.near_duplicates(docs, size=SHINGLE, percent=PERCENT, match=MATCH)
+    groups = near_dedup.near_duplicates(docs, size=SHINGLE, percent=PERCENT)
     stay = groups.where("i = comp").select(F.col("i").alias("doc_id")).distinct()
     one = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.union(docs.where("doc_id IS NULL"))

@@ -1,20 +1,21 @@
 """MinHash near-dedup: an inverted join on the coordinates of signatures.
 
 1. Each text becomes its set of word shingles (64-bit hashes), the set's size, a 128-bit fingerprint and a MinHash
-   signature of COORDS coordinates. Equal sets are one class, whose representative is its smallest id: copies cost
+   signature: COORDS coordinates to post, and two bits of each of FINE further ones to compare by. Equal sets are one class, whose representative is its smallest id: copies cost
    nothing further.
 2. Representatives are posted under every pair (coordinate, value). Two that match in MATCH of COORDS coordinates share a
    posting among any COORDS - MATCH + 1 of each, so only the prefix of that length is merged: each one's rarest postings
    by the global order (length of the list, key). Lists of one end there. All other lists are skipped; their collisions
    are counted by comparing the two signatures.
 3. Lists are merged through hubs: in each round every list that still spans several components has its members compared
-   with one of them, and the links found unite components; a list within one component is done. After ROUNDS rounds what
-   spans components is joined in full, member by member, which leaves no pair out and is small because groups of near
-   copies have collapsed by then.
+   with one of them (first the one with the longest lists, which is in the middle of a group of copies), and the links
+   found unite components; a list within one component is done. After ROUNDS rounds what spans components is joined in
+   full, member by member, which leaves no pair out and is small because groups of near copies have collapsed by then.
 4. Pairs over the match threshold are confirmed on the full sets: |A & B| >= similarity * |A | B|. Components follow by
    alternating large and small stars.
 
-A pair at a similarity of 0.85 misses MATCH = 17 of 32 coordinates in 3 of a million cases; nothing is capped.
+Match thresholds are five standard deviations under what a pair right at the asked similarity expects, so it is missed in
+a few cases of a million; nothing is capped.
 
 Cases: lower-casing is A-Z only; fewer words than a shingle are one shingle; null, empty and blank texts have an empty set and
 stay alone; repeated rows are copies; rows without an id are left out; an empty table gives no rows.
@@ -27,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrid.llm.common import table, written
 
-COORDS, MATCH, ROUNDS = 32, 17, 3
+COORDS, FINE, ROUNDS = 32, 1024, 3
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _A = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * _U(2) + _U(1)
 _B = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64)
+_A32 = _rng.integers(1, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B32 = _rng.integers(0, 1 << 32, FINE, dtype=np.uint32)
 _BASE = (int(_rng.integers(1, 1 << 62)) * 8 + 5) % (1 << 64)
 _INV = pow(_BASE, -1, 1 << 64)
 _GAP = np.zeros(256, np.bool_)
@@ -103,8 +106,25 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def fine_bits(s: np.ndarray) -> np.ndarray:
+    """Two bits of each of FINE smallest values, 32 to a word."""
+    low = np.full(FINE, 0xFFFFFFFF, np.uint32)
+    h = (s >> _U(32)).astype(np.uint32)
+    for lo in range(0, len(h), 128):
+        low = np.minimum(low, (h[lo : lo + 128, None] * _A32 + _B32).min(axis=0))
+    two = (low & np.uint32(3)).astype(np.uint64).reshape(-1, 32)
+    return np.bitwise_or.reduce(two << (_U(2) * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
+
+
+def least_matches(n: int, percent: int, chance: float = 0.0) -> int:
+    """Of n coordinates, which agree by chance at `chance` where the sets differ."""
+    p = percent / 100 + (1 - percent / 100) * chance
+    return max(1, int(n * p - 5 * (n * p * (1 - p)) ** 0.5))
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """id, n (size of the set), f1 and f2 (its fingerprint), sig (array of COORDS numbers; null for an empty set)."""
+    """id, n (size of the set), f1 and f2 (its fingerprint), sig (COORDS numbers) and bits (of FINE
+    more); both null for an empty set."""
 
     def sketch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in it:
@@ -114,10 +134,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 for t in part.t:
                     s = shingles(t, size)
                     f = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    out.append((len(s), f[0], f[1], signature(s).view(np.int32) if len(s) else None))
-                yield pd.DataFrame(out, columns=["n", "f1", "f2", "sig"], index=part.index).assign(i=part.i)[["i", "n", "f1", "f2", "sig"]]
+                    out.append((len(s), f[0], f[1], signature(s).view(np.int32) if len(s) else None, fine_bits(s) if len(s) else None))
+                yield pd.DataFrame(out, columns=["n", "f1", "f2", "sig", "bits"], index=part.index).assign(i=part.i)[["i", "n", "f1", "f2", "sig", "bits"]]
 
-    return docs.mapInPandas(sketch, "i long, n long, f1 long, f2 long, sig array<int>")
+    return docs.mapInPandas(sketch, "i long, n long, f1 long, f2 long, sig array<int>, bits array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,25 +157,40 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def agreeing(a: str, b: str):
+def agreeing(a: str, b: str) -> Column:
+    """How many of COORDS coordinates agree."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = ROUNDS, match: int = MATCH) -> DataFrame:
+def fine_agreeing(a: str, b: str) -> Column:
+    """How many of FINE pairs of bits agree."""
+    ones = F.lit(0x5555555555555555)
+
+    def differ(i: int) -> Column:
+        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
+
+    return F.lit(FINE) - sum((differ(i) for i in range(1, FINE // 32)), differ(0))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """i (id), n (size of the set), comp (smallest id of the group), one row for each row of docs."""
     spark = docs.sparkSession
+    match, fine = least_matches(COORDS, percent), least_matches(FINE, percent, 0.25)
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL")
     sk = written(sketches(d, size), "sketches")
     full = sk.where("n > 0")
-    classes = written(full.groupBy("f1", "f2", "n").agg(F.min("i").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = written(full.groupBy("f1", "f2", "n").agg(F.min("i").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "classes")
     posts = classes.select("rep", F.posexplode("sig").alias("c", "x")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("x").cast("long").bitwiseAND(0xFFFFFFFF))).alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("len")).where("len > 1")
     shared = posts.join(lists, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("len", "key"))).alias("l"))  # COORDS at most
     prefix = F.slice("l", 1, F.greatest(F.lit(0), F.size("l") - F.lit(match - 1)))
     # of COORDS postings those in `l` are shared; the rarer, unshared ones fill the prefix of COORDS - match + 1 first
-    posts = written(shared.select("rep", F.explode(prefix).alias("p")).select("rep", "p.key"), "postings")
+    weight = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + x["len"])
+    head = shared.select("rep", weight.alias("weight"), prefix.alias("l")).withColumn("keys", F.col("l.key"))
+    posts = written(head.select("rep", "weight", "keys", F.explode("keys").alias("key")), "postings")
     long = posts.groupBy("key").agg(F.count("*").alias("len")).where("len > 1").drop("len")
-    posts = written(posts.join(long, "key"), "lists").join(classes.select("rep", "n", "sig"), "rep")
+    posts = written(posts.join(long, "key"), "lists").join(classes.select("rep", "n", "sig", "bits"), "rep")
     posts = written(posts, "posted")
     wanted = posts.select("rep").distinct()
 
@@ -184,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.where(linked("sa", "sb")).select("a", "b")
 
     def similar(a: str, b: str):
-        return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (agreeing(f"{a}.sig", f"{b}.sig") >= match)
+        return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (fine_agreeing(f"{a}.bits", f"{b}.bits") >= fine) & (agreeing(f"{a}.sig", f"{b}.sig") >= match)
 
     comps = spark.createDataFrame([], "node long, comp long")
     for k in range(rounds + 1):
@@ -194,12 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if now.isEmpty():
             break
         if k < rounds:
-            order = F.struct((F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))).alias("by"), "rep", "n", "sig", "comp")
-            hubs = now.groupBy("key").agg(F.min(order).alias("h")).select("key", "h.rep", "h.n", "h.sig", "h.comp")
+            order = F.struct((-F.col("weight") if k == 0 else F.xxhash64("rep", F.lit(k))).alias("by"), "rep", "n", "sig", "bits", "comp")
+            hubs = now.groupBy("key").agg(F.min(order).alias("h")).select("key", "h.rep", "h.n", "h.sig", "h.bits", "h.comp")
             pairs = now.alias("x").join(hubs.alias("y"), "key").where("x.comp <> y.comp").where(similar("x", "y"))
             pairs = pairs.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct()
         else:
-            on = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & similar("x", "y")
+            # a pair counts in the first of its common lists alone
+            first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+            on = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & similar("x", "y") & first
             pairs = now.alias("x").join(now.alias("y"), on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         links = written(confirmed(pairs), "links")
         if not links.isEmpty():
