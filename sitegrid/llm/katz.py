@@ -3,17 +3,18 @@
 Words (lower-cased A-Z) and one end per text are the tokens; a text begins after an end. Training texts give
 - a table of word counts (hash, count), N tokens and V distinct ones;
 - P(w): counts up to TOP_R Good-Turing discounted, the rest as they are; what is left goes to one unknown word;
-- classes: the most frequent words (at most CLASSES) stand for themselves, all others share class 0, inside which a word
-  has its share of P. So P(w | h) = P(class w | class h) * P(w) / P(class w) is a distribution over all words;
-- a table of class pairs with their counts, dealt by history, and alpha(h), so that P(. | h) sums to 1 exactly: a pair
-  that was seen has its discounted count over count(h) + 1, any other, and class 0 always, alpha(h) * P(class). The one
-  more count leaves something to back off to after any history.
+- every (history, word) pair of the training texts is counted, whatever the words: no word is pooled;
+- alpha(h), so that P(. | h) sums to 1 exactly over all words and one unknown word: a pair that was seen has its
+  discounted count over count(h) + 1, any other alpha(h) * P(w). The one more count leaves something to back off to after
+  any history. A history that was never seen has count 0 and alpha 1.
 
 Scoring evaluates that recursion for every token of every whole text. Work goes by chunks of texts: a chunk's pairs are
-counted by document, packed, and dealt by history; frequent histories are dealt by pair as well, and pairs of two of the
-HOT most frequent words, of which there are at most HOT^2, stay with their chunk and meet their counts by broadcast. A
-bucket answers each chunk with sums by document, which a last step adds up. Word counts beyond a dictionary of
-bounded size come by a join.
+counted by document, packed, and dealt to buckets, which count them and answer each chunk with sums by document. The DICT
+most frequent words have numbers and known counts; this bounds the driver's arrays and changes no result. Pairs of two such
+words are dealt by history, or by pair where the history is frequent; those of two of the HOT most frequent, of which
+there are at most HOT^2, stay with their chunk and meet their counts by broadcast. Pairs that end in a rarer word are dealt
+by that word, so that its bucket holds all of its tokens and knows its count; other pairs of a rarer history by the history.
+alpha(h) of rarer histories is a table, which documents meet by a join.
 
 Cases: null and empty text is one end token; repeated rows are counted and scored row by row; with no training text every word
 is unknown, P(unknown) is 1 and the score 0; an empty table gives no rows.
@@ -33,10 +34,11 @@ from sitegrid.llm.byte_bpe import least_count
 from sitegrid.llm.common import remainder, table, written
 from sitegrid.llm.near_dedup import mix, word_hashes
 
-CLASSES, DICT, HOT, TOP_R = 65_000, 600_000, 1_024, 5
+DICT, HOT, TOP_R = 600_000, 1_024, 5
 CHUNK_TOKENS, BUCKET_PAIRS = 600_000, 1_600_000
 END = np.uint64(0xE2D)  # its words' hashes are mixed; this one is not one of them
-_W = 1 << 17  # over CLASSES
+_W = 1 << 20  # over DICT
+_RARE = np.uint64(1 << 63)  # set in a rarer word's id, its hash; others' ids are numbers below _W
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -129,123 +131,136 @@ def counts_of_counts(df: DataFrame, col: str) -> np.ndarray:
 
 
 class Words:
-    """The dictionary of frequent words: sorted hashes, counts, classes (1 on, by rank; 0: none)."""
+    """The dictionary of frequent words: sorted hashes, numbers (1 on, by rank), and counts by number."""
 
     def __init__(self, w: np.ndarray, n: np.ndarray):
         w = w.astype(np.int64).view(np.uint64)
         rank = np.lexsort((w, -n))
-        cls = np.zeros(len(w), np.int64)
-        cls[rank[:CLASSES]] = np.arange(1, min(CLASSES, len(w)) + 1)
+        number = np.zeros(len(w), np.int32)
+        number[rank] = np.arange(1, len(w) + 1)
         order = np.argsort(w)
-        self.w, self.n, self.cls = w[order], n[order].astype(np.int64), cls[order]
-        self.class_n = np.append(0, n[rank[:CLASSES]]).astype(np.int64)
+        self.w, self.number = w[order], number[order]
+        self.n = np.append(0, n[rank]).astype(np.int64)
 
-    def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """In the dictionary?, count, class."""
+    def find(self, w: np.ndarray) -> np.ndarray:
+        """Numbers; 0: not in the dictionary."""
         if not len(self.w):
-            z = np.zeros(len(w), np.int64)
-            return z.astype(bool), z, z
+            return np.zeros(len(w), np.int64)
         at = np.minimum(np.searchsorted(self.w, w), len(self.w) - 1)
-        ok = self.w[at] == w
-        return ok, np.where(ok, self.n[at], 0), np.where(ok, self.cls[at], 0)
+        return np.where(self.w[at] == w, self.number[at], 0).astype(np.int64)
 
 
-POSTED = "chunk string, bucket int, payload binary, row string, w long, f long"
+POSTED = "chunk long, bucket int, payload binary"
 
 
-def post(docs: DataFrame, words, uni: Unigrams, p_rare: float, buckets: int) -> DataFrame:
-    """Packed pairs by chunk and bucket; -1: a chunk's documents; -2: its pairs of hot words; -3: words beyond the dictionary."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, uni))
-    often = max(1, uni.total // (4 * buckets))
+def distinct(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each first of equal (keys, doc) stands, in order of keys, and how many are equal."""
+    order = np.lexsort((doc, *keys[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (*keys, doc)], axis=0)
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
+def post(docs: DataFrame, shared, buckets: int) -> DataFrame:
+    """Packed pairs by chunk and bucket; -1: a chunk's documents; -2: its pairs of hot words."""
 
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, uni = shared.value
-        big = np.append(True, words.class_n[1:] > often)
+        big = np.append(True, words.n[1:] > max(1, uni.total // (4 * buckets)))
         for chunk in chunks(it, CHUNK_TOKENS):
-            name = uuid.uuid4().hex
+            name = uuid.uuid4().int >> 66
             n = np.array([len(t) for _, _, t in chunk])
             doc = np.repeat(np.arange(len(chunk)), n)
             w = np.concatenate([t for _, _, t in chunk])
+            x = words.find(w)
+            c = words.n[x]
+            sums = lambda v: np.bincount(doc, weights=v, minlength=len(chunk))
             ids = [i for i, _, _ in chunk]
-            known, c, cls = words.find(w)
-            sums = lambda x: np.bincount(doc, weights=x, minlength=len(chunk))
-            inner = np.where(known & (cls == 0), np.log10(uni.p(c) / p_rare), 0.0)
-            meta = pack(i=np.array(["" if i is None else i for i in ids]), train=np.array([bool(x) for _, x, _ in chunk]), n=n, known=sums(known & (c > 0)), base=sums(np.where(known, uni.base(c), 0.0)), inner=sums(inner))
-            rows = [(-1, meta)]
-            start = np.cumsum(n) - n
-            h = np.concatenate([[0], cls[:-1]])
-            h[start] = words.find(np.array([END]))[2][0]
-            # pairs counted by document
-            key = h * _W + cls
-            order = np.lexsort((doc, key))
-            k, d = key[order], doc[order]
-            first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
-            f = np.diff(np.append(first, len(k)))
-            k, d = k[first], d[first].astype(np.int32)
-            h, x = k // _W, k % _W
-            hot = (x == 0) | (h > 0) & (h <= HOT) & (x <= HOT)  # class 0 needs no count
-            b = (mix(np.where(big[h], k, h).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            b[hot] = -2
             train = np.array([bool(t) for _, t, _ in chunk])
-            by = np.argsort(b, kind="stable")
-            cut = np.flatnonzero(np.append(True, np.diff(b[by]) != 0))
-            for lo, hi in zip(cut, np.append(cut[1:], len(by))):
-                at = by[lo:hi]
-                rows.append((int(b[at[0]]), pack(k=np.diff(k[at], prepend=0), d=d[at], f=f[at].astype(np.int32), train=train, m=np.array([len(chunk)]))))
-            yield pd.DataFrame({"chunk": pd.Series([name] * len(rows), dtype=object), "bucket": [b for b, _ in rows], "payload": [x for _, x in rows], "row": None, "w": None, "f": None})
-            rest = ~known
-            if rest.any():
-                pairs = np.stack([doc[rest], w[rest].view(np.int64)], axis=1)
-                (d, v), f = (x := np.unique(pairs, axis=0, return_counts=True))[0].T, x[1]
-                yield pd.DataFrame({"chunk": None, "bucket": -3, "payload": None, "row": pd.Series([f"{name}:{j}" for j in d], dtype=object), "w": v, "f": f})
+            rows = [(-1, pack(i=np.array(["" if i is None else i for i in ids]), train=train, n=n, known=sums(c > 0), base=sums(np.where(x > 0, uni.base(c), 0.0))))]
+            w = np.where(x > 0, x.astype(np.uint64), w | _RARE)
+            h = np.concatenate([w[:1], w[:-1]])
+            end = words.find(np.array([END]))[0]
+            h[np.cumsum(n) - n] = end if end else END | _RARE
+            rare = (h >= _RARE) | (w >= _RARE)
+
+            def deal(b: np.ndarray, packed) -> None:
+                by = np.argsort(b, kind="stable")
+                cut = np.flatnonzero(np.append(True, np.diff(b[by]) != 0)) if len(by) else []
+                for lo, hi in zip(cut, np.append(cut[1:], len(by))):
+                    rows.append((int(b[by[lo]]), packed(by[lo:hi])))  # noqa: B023
+
+            # pairs counted by document
+            k = (h[~rare] * np.uint64(_W) + w[~rare]).astype(np.int64)
+            d = doc[~rare]
+            at, f = distinct(d, k)
+            k, d, f = k[at], d[at].astype(np.int32), f.astype(np.int32)
+            kh, kw = k // _W, k % _W
+            b = (mix(np.where(big[kh], k, kh).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            b[(kh <= HOT) & (kw <= HOT)] = -2
+            deal(b, lambda at: pack(k=np.diff(k[at], prepend=0), d=d[at], f=f[at], train=train, m=np.array([len(chunk)])))  # noqa: B023
+            rh, rw, rd = h[rare], w[rare], doc[rare]
+            at, rf = distinct(rd, rh, rw)
+            rh, rw, rd, rf = rh[at], rw[at], rd[at].astype(np.int32), rf.astype(np.int32)
+            b = (mix(np.where(rw >= _RARE, rw, rh)) % np.uint64(buckets)).astype(np.int64)
+            deal(b, lambda at: pack(h=rh[at], w=rw[at], d=rd[at], f=rf[at], train=train, m=np.array([len(chunk)])))  # noqa: B023
+            yield pd.DataFrame({"chunk": name, "bucket": [b for b, _ in rows], "payload": [x for _, x in rows]})
 
     return written(docs.mapInPandas(of, POSTED), "pairs")
 
 
-def pair_stats(k: np.ndarray, c: np.ndarray, p: np.ndarray) -> pd.DataFrame:
-    """Of seen pairs (key, count): for each history how many have each small count, the sum of larger ones, the sum of P."""
-    h = k // _W
+def pair_stats(h: np.ndarray, c: np.ndarray, p: np.ndarray) -> pd.DataFrame:
+    """Of seen pairs (history, count, P of the word): for each history how many have each small count, the sum of larger
+    ones, the sum of P."""
     hs, at = np.unique(h, return_inverse=True)
-    out = {"h": hs, "p": np.bincount(at, weights=p[k % _W], minlength=len(hs)), "more": np.bincount(at, weights=np.where(c > TOP_R, c, 0), minlength=len(hs))}
+    out = {"h": hs.view(np.int64), "p": np.bincount(at, weights=p, minlength=len(hs)), "more": np.bincount(at, weights=np.where(c > TOP_R, c, 0), minlength=len(hs)).astype(np.int64)}
     out |= {f"n{r}": np.bincount(at[c == r], minlength=len(hs)) for r in range(1, TOP_R + 2)}
     return pd.DataFrame(out)
 
 
-STATS = ["p", "more", *(f"n{r}" for r in range(1, TOP_R + 2))]
+SMALL = [f"n{r}" for r in range(1, TOP_R + 2)]
+STATS = ["p", "more", *SMALL]
+ANSWER = ["kind", "chunk", "payload", "d", "h", "seen", "unseen", *STATS]  # kind 0: to a chunk; 1: statistics of h; 2: a document's tokens after h
 
 
-def doc_sums(x: dict, c: np.ndarray, ch: np.ndarray, p: np.ndarray) -> bytes:
-    """A chunk's sums by document: log10 of shares without discounts, tokens by small count; and its unseen pairs."""
-    m, k = int(x["m"][0]), x["k"]
-    seen, f, d = c > 0, x["f"].astype(float), x["d"]
-    s = f * np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(ch[k // _W] + 1), np.log10(p[k % _W]))
+def doc_sums(x: dict, h: np.ndarray, c: np.ndarray, p: np.ndarray, n: np.ndarray, **more: np.ndarray) -> bytes:
+    """A chunk's sums by document: log10 of shares without discounts, tokens by small count; and its unseen pairs. What
+    depends on a rarer history alone is left out."""
+    m, d, f = int(x["m"][0]), x["d"], x["f"].astype(float)
+    seen, known = c > 0, h < _RARE
+    nh = np.where(known, n[np.where(known, h, 0).astype(np.int64)], 0)
+    s = f * np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(nh + 1), np.log10(p))
     small = [np.bincount(d[c == r], weights=f[c == r], minlength=m).astype(np.int32) for r in range(1, TOP_R + 1)]
-    return pack(s=np.bincount(d, weights=s, minlength=m), small=np.stack(small), ud=d[~seen], uh=(k[~seen] // _W).astype(np.int32), uf=x["f"][~seen])
+    left = ~seen & known
+    return pack(s=np.bincount(d, weights=s, minlength=m), small=np.stack(small), ud=d[left], uh=h[left].astype(np.int32), uf=x["f"][left], **more)
 
 
 def load(raw: bytes) -> dict:
     x = unpack(raw)
-    x["k"] = np.cumsum(x["k"])
+    if "k" in x:
+        x["k"] = np.cumsum(x["k"])
     return x
 
 
+def counted(xs: list[dict], key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys of all xs: firsts of the distinct ones, which each is, their counts in training texts."""
+    _, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return first, at, np.bincount(at, weights=np.concatenate([x["f"] * x["train"][x["d"]] for x in xs]), minlength=len(first)).astype(np.int64)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train=None) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score for each row of docs; train: a condition."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("string").alias("i"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t"))
     unigrams = count_words(d)
-    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    uni = Unigrams(total, distinct, counts_of_counts(unigrams, "n"))
-    least = least_count(unigrams, DICT)
-    top = unigrams.where(F.col("n") >= least).toArrow()  # at most DICT words
+    total, types = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    uni = Unigrams(total, types, counts_of_counts(unigrams, "n"))
+    top = unigrams.where(F.col("n") >= least_count(unigrams, DICT)).toArrow()  # at most DICT words
     words = Words(top["w"].to_numpy(), top["n"].to_numpy())
-    p = uni.p(words.class_n)
-    p[0] = max(1e-300, 1 - p[1:].sum())
-    ch = words.class_n.copy()
-    ch[0] = total - ch[1:].sum()
     buckets = 1 + 10 * total // 9 // BUCKET_PAIRS
-    posted = post(d, words, uni, p[0], buckets)
-    model = spark.sparkContext.broadcast((p, ch))
+    shared = spark.sparkContext.broadcast((words, uni))
+    posted = post(d, shared, buckets)
 
     # pairs of hot words: counts are at most HOT^2 numbers
     def count_hot(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,70 +268,86 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         for rows in it:
             for raw in rows.payload:
                 x = load(raw)
-                at = x["k"] % _W > 0
-                np.add.at(n, (x["k"][at] // _W, x["k"][at] % _W), (x["f"] * x["train"][x["d"]])[at])
+                np.add.at(n, (x["k"] // _W, x["k"] % _W), x["f"] * x["train"][x["d"]])
         h, w = np.nonzero(n)
         yield pd.DataFrame({"k": h * _W + w, "c": n[h, w]})
 
     hot_rows = posted.where("bucket = -2").select("chunk", "payload")
     hot = hot_rows.select("payload").mapInPandas(count_hot, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow().to_pandas().sort_values("k")
     hot_k, hot_c = hot.k.to_numpy(np.int64), hot.c.to_numpy(np.int64)
-    hot_stats = pair_stats(hot_k, hot_c, p)
 
     # all other pairs: counted in their bucket, which answers with sums for each chunk and with statistics of its histories
     def bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        p, ch = model.value
-        xs = [load(raw) for raw in rows.payload]
-        k, at = np.unique(np.concatenate([x["k"] for x in xs]), return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([x["f"] * x["train"][x["d"]] for x in xs]), minlength=len(k)).astype(np.int64)
-        out, lo = [], 0
-        for name, x in zip(rows.chunk, xs):
-            out.append((name, doc_sums(x, c[at[lo : lo + len(x["k"])]], ch, p)))
-            lo += len(x["k"])
-        frame = pd.DataFrame(out, columns=["chunk", "payload"])
-        st = pair_stats(k[c > 0], c[c > 0], p)
-        pairs = pd.DataFrame({"chunk": [None], "payload": [pack(k=np.diff(k[c > 0], prepend=0), c=c[c > 0])]})
-        out = pd.concat([frame.astype(object), st, pairs.astype(object)], ignore_index=True)
-        return out[["chunk", "payload", "h", *STATS]].astype({x: float for x in ("h", *STATS)})
-
-    schema = "chunk string, payload binary, h double, " + ", ".join(f"{s} double" for s in STATS)
+        words, uni = shared.value
+        loaded = [(name, load(raw)) for name, raw in zip(rows.chunk, rows.payload)]
+        out = []
+        if both := [x for x in loaded if "k" in x[1]]:
+            xs = [x for _, x in both]
+            key = np.concatenate([x["k"] for x in xs])
+            first, at, c = counted(xs, key)
+            h, p = (key // _W).astype(np.uint64), uni.p(words.n[key % _W])
+            cut = np.cumsum([0, *(len(x["k"]) for x in xs)])
+            for (name, x), lo, hi in zip(both, cut, cut[1:]):
+                out.append(pd.DataFrame({"kind": 0, "chunk": name, "payload": [doc_sums(x, h[lo:hi], c[at[lo:hi]], p[lo:hi], words.n)]}))
+            out.append(pair_stats(h[first][c > 0], c[c > 0], p[first][c > 0]).assign(kind=1))
+        if both := [x for x in loaded if "w" in x[1]]:
+            xs = [x for _, x in both]
+            h, w, f, d = (np.concatenate([x[v] for x in xs]) for v in "hwfd")
+            first, at, c = counted(xs, mix(h) * np.uint64(0x9E3779B97F4A7C15) + w)
+            rare = w >= _RARE
+            _, w_at, w_n = counted(xs, w)  # all tokens of a rarer word are here
+            n = np.where(rare, w_n[w_at], words.n[np.where(rare, 0, w).astype(np.int64)])
+            p, seen = uni.p(n), c[at] > 0
+            cut = np.cumsum([0, *(len(x["w"]) for x in xs)])
+            for (name, x), lo, hi in zip(both, cut, cut[1:]):
+                own = f[lo:hi] * rare[lo:hi]
+                sums = lambda v: np.bincount(x["d"], weights=v, minlength=int(x["m"][0]))  # noqa: B023, E731
+                more = {"known": sums(own * (n[lo:hi] > 0)), "base": sums(own * uni.base(n[lo:hi]))}
+                out.append(pd.DataFrame({"kind": 0, "chunk": name, "payload": [doc_sums(x, h[lo:hi], c[at[lo:hi]], p[lo:hi], words.n, **more)]}))
+            out.append(pair_stats(h[first][c > 0], c[c > 0], p[first][c > 0]).assign(kind=1))
+            r = h >= _RARE
+            names = np.repeat(np.array([name for name, _ in both], np.int64), np.diff(cut))
+            out.append(pd.DataFrame({"kind": 2, "chunk": names[r], "d": d[r], "h": h[r].view(np.int64), "seen": (f * seen)[r], "unseen": (f * ~seen)[r]}))
+        return pd.concat([pd.DataFrame({"payload": pd.Series([None] * len(x), dtype=object)} | {v: np.zeros(len(x), float if v == "p" else np.int64) for v in ANSWER if v != "payload"}).assign(**{v: x[v].to_numpy() for v in x}) for x in out], ignore_index=True)[ANSWER]
+
+    schema = "kind int, chunk long, payload binary, d int, h long, seen int, unseen int, p double, more long, " + ", ".join(f"{s} int" for s in SMALL)
     answered = written(posted.where("bucket >= 0").select("bucket", "chunk", "payload").groupBy("bucket").applyInPandas(bucket, schema), "bigrams")
-    stats = answered.where("h IS NOT NULL").groupBy("h").agg(*[F.sum(s).alias(s) for s in STATS]).toArrow().to_pandas()  # a row for each class
-    stats = pd.concat([stats, hot_stats]).groupby("h", as_index=False)[STATS].sum()
-    d2 = discounts(np.array([0, *(stats[f"n{r}"].sum() for r in range(1, TOP_R + 2))]))
-    alpha, hs = np.ones(len(p)), stats.h.to_numpy(np.int64)
-    held = stats["more"].to_numpy() + sum(stats[f"n{r}"].to_numpy() * r * d2[r] for r in range(1, TOP_R + 1))
-    alpha[hs] = (1 - held / (ch[hs] + 1)) / (1 - stats.p.to_numpy())  # class 0 is never among the seen: neither is 0
-    last = spark.sparkContext.broadcast((p, ch, d2, alpha, hot_k, hot_c))
+    hot_stats = pair_stats(hot_k // _W, hot_c, uni.p(words.n[hot_k % _W]))
+    stats = answered.where("kind = 1").select("h", *STATS).union(spark.createDataFrame(hot_stats, "h long, p double, more long, " + ", ".join(f"{s} long" for s in SMALL)))
+    d2 = discounts(np.array([0, *(v or 0 for v in stats.agg(*[F.sum(s) for s in SMALL]).first())]))
+    n = F.col("more") + sum(F.col(f"n{r}") * r for r in range(1, TOP_R + 1))
+    held = F.col("more") + sum(F.col(f"n{r}") * (r * float(d2[r])) for r in range(1, TOP_R + 1))
+    histories = stats.groupBy("h").agg(*[F.sum(s).alias(s) for s in STATS]).select("h", n.alias("n"), ((1 - held / (n + 1)) / (1 - F.col("p"))).alias("alpha"))
+    own = histories.where("h > 0").select("h", "alpha").toArrow()  # at most DICT rows
+    alpha = np.ones(len(words.n))
+    alpha[own["h"].to_numpy()] = own["alpha"].to_numpy()
+    last = spark.sparkContext.broadcast((d2, alpha, hot_k, hot_c))
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        p, ch, d2, alpha, hot_k, hot_c = last.value
-        meta = unpack(rows.payload[rows.kind == 0].iloc[0])
-        s = meta["inner"].astype(float)
+        words, uni = shared.value
+        d2, alpha, hot_k, hot_c = last.value
+        meta = unpack(rows.payload[rows.kind == -1].iloc[0])
+        s, known, base = np.zeros(len(meta["n"])), meta["known"], meta["base"]
         for kind, raw in zip(rows.kind, rows.payload):
-            if kind == 0:
+            if kind == -1:
                 continue
-            if kind == 1:
+            if kind == -2:
                 x = load(raw)
                 at = np.minimum(np.searchsorted(hot_k, x["k"]), max(0, len(hot_k) - 1))
                 c = np.where(hot_k[at] == x["k"], hot_c[at], 0) if len(hot_k) else np.zeros(len(x["k"]), np.int64)
-                raw = doc_sums(x, c, ch, p)
+                raw = doc_sums(x, (x["k"] // _W).astype(np.uint64), c, uni.p(words.n[x["k"] % _W]), words.n)
             x = unpack(raw)
             s += x["s"] + (x["small"] * np.log10(d2[1:])[:, None]).sum(0)
             s += np.bincount(x["ud"], weights=x["uf"] * np.log10(alpha[x["uh"]]), minlength=len(s))
-        return pd.DataFrame({"row": [f"{rows.chunk.iloc[0]}:{j}" for j in range(len(s))], "i": [v or None for v in meta["i"].tolist()], "train": meta["train"], "n_tokens": meta["n"], "known": meta["known"].astype(np.int64), "base": meta["base"], "score": s})
-
-    parts = posted.where("bucket = -1").select("chunk", F.lit(0).alias("kind"), "payload").union(hot_rows.select("chunk", F.lit(1), "payload")).union(answered.where("chunk IS NOT NULL").select("chunk", F.lit(2), "payload"))
-    by_doc = parts.groupBy("chunk").applyInPandas(finish, "row string, i string, train boolean, n_tokens long, known long, base double, score double")
-    rest = posted.where("bucket = -3").select("row", "w", "f").join(unigrams.where(F.col("n") < least), "w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    den = float(uni.total + 0.1 * (uni.distinct + 1))
-    prob = F.lit(float(uni.unknown))
-    for r in range(1, TOP_R + 1):
-        prob = F.when(F.col("n") == r, float(uni.p(np.array(r)))).otherwise(prob)
-    prob = F.when(F.col("n") > TOP_R, F.col("n") * float(uni.shrink / max(1, uni.total))).otherwise(prob)
-    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("f")).otherwise(0)).alias("k2"), F.sum(F.col("f") * F.log10((F.col("n") + 0.1) / den)).alias("b2"), F.sum(F.col("f") * F.log10(prob / float(p[0]))).alias("s2"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return by_doc.join(rest, "row", "left").select(F.col("i").cast(docs.schema[id_col].dataType).alias(id_col), "train", "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + zero("b2")).alias("base_score"), (F.col("score") + zero("s2")).alias("score"))
+            if "base" in x:
+                known, base = known + x["known"], base + x["base"]
+        return pd.DataFrame({"chunk": rows.chunk.iloc[0], "d": np.arange(len(s)), "i": [v or None for v in meta["i"].tolist()], "train": meta["train"], "n_tokens": meta["n"], "known": known.astype(np.int64), "base": base, "score": s})
+
+    parts = posted.where("bucket < 0").select("chunk", F.col("bucket").alias("kind"), "payload").union(answered.where("kind = 0").select("chunk", "kind", "payload"))
+    by_doc = parts.groupBy("chunk").applyInPandas(finish, "chunk long, d int, i string, train boolean, n_tokens long, known long, base double, score double")
+    after = answered.where("kind = 2").select("chunk", "d", "h", "seen", "unseen").join(histories.where("h < 0"), "h")  # without a row: n is 0, alpha 1
+    after = after.groupBy("chunk", "d").agg(F.sum(F.col("unseen") * F.log10("alpha") - F.col("seen") * F.log10(F.col("n") + 1)).alias("s2"))
+    return by_doc.join(after, ["chunk", "d"], "left").select(F.col("i").cast(docs.schema[id_col].dataType).alias(id_col), "train", "n_tokens", F.col("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"))
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

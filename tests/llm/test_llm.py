@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -175,6 +176,36 @@ def test_katz_without_training_texts(spark):
     assert {r.n_tokens for r in got} == {3, 1} and all(r.n_known == 0 and r.score == 0 for r in got)
 
 
+@pytest.mark.parametrize("cap", [3, 600_000])
+def test_katz_of_all_words_is_that_of_brute_force(spark, monkeypatch, cap):
+    for name, value in (("DICT", cap), ("HOT", 2), ("CHUNK_TOKENS", 40), ("BUCKET_PAIRS", 60)):
+        monkeypatch.setattr(katz, name, value)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = ["", None, *(" ".join(rng.choices(vocab, [1 / (k + 1) for k in range(60)], k=rng.randint(1, 25))) for _ in range(60)), "zzz zzz w1 yyy w2", "w59 w58 zzz"]
+    held_out = lambda i: i % 5 == 0 or i >= 62
+    got = {r.doc_id: r for r in katz.score(docs(spark, texts), train=(F.col("doc_id") % 5 != 0) & (F.col("doc_id") < 62)).collect()}
+    lines = [[*words(t), "</>"] for t in texts]
+    one, two = Counter(), Counter()
+    for i, t in enumerate(lines):
+        if not held_out(i):
+            one.update(t)
+            two.update(zip(["</>", *t], t))
+    of = lambda c: np.array([0, *(sum(v == r for v in c.values()) for r in range(1, katz.TOP_R + 2))])
+    uni, d2 = katz.Unigrams(sum(one.values()), len(one), of(one)), katz.discounts(of(two))
+    chance = lambda w: float(uni.p(np.array(one[w])))
+    cut = lambda c: c * (d2[c] if c <= katz.TOP_R else 1)
+    after = {h: {w: c for (x, w), c in two.items() if x == h} for h in [*one, "zzz", "yyy"]}
+    alpha = {h: (1 - sum(map(cut, a.values())) / (one[h] + 1)) / (1 - sum(map(chance, a))) for h, a in after.items()}
+    p = lambda h, w: cut(two[h, w]) / (one[h] + 1) if two[h, w] else alpha[h] * chance(w)
+    for h in after:
+        assert sum(p(h, w) for w in [*one, "zzz"]) == pytest.approx(1)
+    for i, t in enumerate(lines):
+        assert got[i].score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["</>", *t], t))), i
+        assert got[i].n_known == sum(one[w] > 0 for w in t)
+        assert got[i].base_score == pytest.approx(sum(math.log10((one[w] + 0.1) / (uni.total + 0.1 * (len(one) + 1))) for w in t))
+
+
 def test_discounts_fall_back():
     assert (katz.discounts(np.array([0, 0, 0, 0, 0, 0, 0]))[1:] < 1).all()
     d = katz.discounts(np.array([0, 1000, 300, 140, 80, 50, 35]))
