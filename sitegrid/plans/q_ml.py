@@ -95,15 +95,15 @@ def forest_importance(s, d):
     return M.forest_importance(li, ["l_quantity", "l_tax", "l_discount"], "y")
 
 
-# pileups: signals are the values of a customer's events in order
+# pileups: each order is a read, whose signal is its customer's events in order; customers without events have none
 
 
 def reads_with_signal(s, d):
     ev = t(s, d, "events")
-    sig = ev.groupBy((F.col("user_id") % 500).alias("read_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("signal"))
-    sig = sig.where(F.size("signal") >= 20)
+    of = ev.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("signal"))
+    sig = t(s, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.col("o_custkey").alias("user_id")).join(of, "user_id").drop("user_id")
     peaks = sig.select("read_id", F.sequence(F.lit(0), F.size("signal"), F.lit(4)).cast("array<bigint>").alias("peaks"))
-    a = aln(s, d).where("read_id < 500").withColumn("hp", (F.col("read_id") % 3).cast("int"))
+    a = aln(s, d).withColumn("hp", (F.col("read_id") % 3).cast("int"))
     return a, peaks, sig
 
 

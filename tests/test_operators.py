@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from sitegrid.functions import scalar, seq
 from sitegrid.operators import labels, ranges, ranking, reads, report, sampling, splits
+from sitegrid.plans.queries import QUERIES
 from sitegrid.sources import sinks, text
 from sitegrid.streaming.calls import aggregate_calls_stream
 
+SF = "/root/testdata/sf0.001"
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
@@ -159,3 +161,9 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_pending_poisons_the_family(spark):
     c = spark.createDataFrame([(1, "f", "a", 0.5), (1, "f", "b", None), (2, "f", "a", 0.7)], "row int, family string, model string, auroc double")
     assert {r.row: r.auroc for r in report.family_table(c).collect()} == {1: None, 2: 0.7}
+
+
+def test_each_order_of_a_customer_with_events_is_a_read(spark):
+    o, e = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("orders", "events"))
+    want = {r.o_orderkey: r.n for r in o.join(e.groupBy("user_id").agg(F.count("*").alias("n")), o.o_custkey == F.col("user_id")).select("o_orderkey", "n").collect()}
+    assert len(want) > 100 and {r.read_id: r.n_samples for r in QUERIES["segments"](spark, SF).collect()} == want
