@@ -13,11 +13,12 @@ from sitegrid.functions.scalar import hash_key
 from sitegrid.operators import ranking
 
 
-def fit_site_model(df: DataFrame, features: str = "features", label: str = "label", kind: str = "lr", seed: int = 1):
-    """Binary classifier, positives weighted by n_neg / n_pos."""
-    p = df.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
+def fit_site_model(df: DataFrame, features: str = "features", label: str = "label", kind: str = "lr", seed: int = 1, times: Column | None = None):
+    """Binary classifier, positives weighted by n_neg / n_pos; times: how many rows each row stands for."""
+    k = F.lit(1) if times is None else times
+    p = df.agg(F.sum(F.col(label) * k).alias("p"), F.sum(k).alias("n")).first()
     w = (p.n - p.p) / p.p if p.p else 1.0
-    d = df.withColumn("_w", F.when(F.col(label) == 1, float(w)).otherwise(1.0))
+    d = df.withColumn("_w", F.when(F.col(label) == 1, float(w)).otherwise(1.0) * k)
     m = LogisticRegression(featuresCol=features, labelCol=label, weightCol="_w", maxIter=30, regParam=0.01) if kind == "lr" else GBTClassifier(featuresCol=features, labelCol=label, weightCol="_w", maxIter=10, maxDepth=4, seed=seed)
     return m.fit(d)
 
@@ -41,11 +42,19 @@ def cross_validated(df: DataFrame, group: list[str], folds: int, seed: int = 1)
 
 
 def sequence_null(contexts: DataFrame, group: list[str], folds: int = 5) -> DataFrame:
-    """AUROC that the sequence alone reaches: one-hot logistic regression with group folds. contexts: context, label."""
+    """AUROC that the sequence alone reaches: one-hot logistic regression with group folds. contexts: context, label. Equal
+    rows of a fold are one row with their number."""
     from sitegrid.functions.scalar import onehot
 
-    d = contexts.withColumn("features", array_to_vector(onehot(F.col("context")).cast("array<double>")))
-    return ranking.auroc(cross_validated(d, group, folds).withColumn("all", F.lit(0)), "label", "score", ["all"]).drop("all")
+    d = contexts.withColumn("fold", group_fold(folds, 1, *group)).groupBy("fold", "context", "label").agg(F.count("*").alias("k"))
+    d = d.withColumn("features", array_to_vector(onehot(F.col("context")).cast("array<double>"))).persist()
+    out = None
+    for f in range(folds):
+        s = scored(fit_site_model(d.where(F.col("fold") != f), times=F.col("k")), d.where(F.col("fold") == f))
+        s = s.groupBy("score").agg(F.sum(F.col("k") * F.col("label")).alias("p"), F.sum(F.col("k") * (1 - F.col("label"))).alias("n"))
+        out = s if out is None else out.unionByName(s)
+    both = out.groupBy(F.lit(0).alias("all"), "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return ranking.auroc_of_counts(both, ["all"]).drop("all")
 
 
 def leave_one_dataset_out(df: DataFrame, member: str) -> DataFrame:

@@ -32,7 +32,12 @@ def by_score(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
 
 def auroc(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Area under the ROC curve with tie-averaged ranks; null where a class is absent."""
-    r = running(by_score(df, label, score, by), by, "score", ["p", "n"])
+    return auroc_of_counts(by_score(df, label, score, by), by)
+
+
+def auroc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """auroc from by_score's table: score, p, n."""
+    r = running(counts, by, "score", ["p", "n"])
     won = F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2.0))
     pos, neg = F.sum("p"), F.sum("n")
     return r.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos > 0) & (neg > 0), won / (pos * neg)).alias("auroc"))

@@ -1,6 +1,7 @@
 """Hand-made micro-tables and properties."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -167,3 +168,9 @@ def test_each_order_of_a_customer_with_events_is_a_read(spark):
     o, e = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("orders", "events"))
     want = {r.o_orderkey: r.n for r in o.join(e.groupBy("user_id").agg(F.count("*").alias("n")), o.o_custkey == F.col("user_id")).select("o_orderkey", "n").collect()}
     assert len(want) > 100 and {r.read_id: r.n_samples for r in QUERIES["segments"](spark, SF).collect()} == want
+
+
+def test_the_sequence_null_takes_every_site(spark):
+    letters = [re.sub("[^ACGT]", "", (r.text or "").upper()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = QUERIES["sequence_null"](spark, SF).first()
+    assert (got.n_pos, got.n_pos + got.n_neg) == (2 * sum(x.count("CG") for x in letters), sum(x.count("C") + x.count("G") for x in letters))
