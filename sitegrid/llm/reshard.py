@@ -145,11 +145,22 @@ def text_rows(docs: DataFrame, old: Column, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.alias("old_shard"))
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the shards that a transfer touches, one folder each; the files of all others stay as they are."""
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", old: Column | None = None) -> None:
+    """Writes the shards that a transfer touches, one folder each; the files of all others stay as they are.
+
+    A row meets its slot by id, size, checksum, old shard (where given; null is 0) and its number among rows equal in these,
+    so that null and repeated ids keep each of their rows once. Without `old`, rows equal in the others must be equal as a whole."""
     touched = plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    part = plan.join(F.broadcast(touched), "shard", "left_semi").select(id_col, "shard", "slot")
-    rows = docs.join(part, id_col).repartition("shard", F.floor(F.col("slot") / 1_000_000))
+    cols = [F.col(c) for c in docs.columns]
+    rows = docs.withColumns({"_id": F.col(id_col), "_old": F.lit(0) if old is None else F.coalesce(old.cast("int"), F.lit(0)), "_h": F.xxhash64(*cols)})
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = rows.withColumns({"_size": (F.octet_length(raw) + 8).cast("long"), "_crc": F.crc32(raw)})
+    slots = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.lit(0).alias("_old") if old is None else F.col("old_shard").alias("_old"), "shard", "slot")
+    key = ["_id", "_size", "_crc", "_old"]
+    number = lambda d, *by: d.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*by)))
+    slots = number(slots, "shard", "slot").join(F.broadcast(touched), "shard", "left_semi")
+    both = number(rows, "_h").alias("a").join(slots.alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._size") == F.col("b._size")) & (F.col("a._crc") == F.col("b._crc")) & (F.col("a._old") == F.col("b._old")) & (F.col("a._n") == F.col("b._n")))
+    rows = both.select(*[F.col(f"a.{c}") for c in docs.columns], "shard", "slot").repartition("shard", F.floor(F.col("slot") / 1_000_000))
     rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
 
 

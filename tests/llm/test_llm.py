@@ -301,6 +301,16 @@ def test_rewrite_touches_only_changed_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
 
 
+def test_rewrite_keeps_rows_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None if i % 4 == 0 else 7 if i % 4 == 1 else i, None if i % 8 == 0 else "a" * (50 + i % 2), i % 2, i) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, old int, row int")
+    plan = reshard.assign(reshard.text_rows(d, F.col("old")), shards=4).cache()
+    reshard.rewrite(d, plan, str(tmp_path / "out"), old=F.col("old"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.row for r in got.collect()) == list(range(80))
+    assert Counter(r.shard for r in got.collect()) == Counter(r.shard for r in plan.collect())
+
+
 # neighbours
 
 
