@@ -78,6 +78,59 @@ def expected_level(s, d):
     return Q.expected_level(st, seqs(s, d), lv, 3, 1, CH).select("contig", "pos", "strand", F.col("level").isNotNull().alias("known"), "kmer", "level")
 
 
+# the same seven at every position of every sequence, the strands in turn, and one position beyond each end
+
+
+EVERY = "ev AS (SELECT contig, pos, CASE WHEN pos % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT contig, unnest(range(-1, length(seq) + 1)) AS pos FROM seqs))"
+EVERY_BASE = "eb AS (SELECT ev.contig, pos, strand, seq, CASE WHEN pos >= 0 THEN nullif(substr(seq, pos + 1, 1), '') END AS base FROM ev JOIN seqs USING (contig))"
+EVERY_CTX = "cx AS (SELECT contig, pos, strand, CASE WHEN strand = '-' THEN reverse(translate(w, 'ACGTN', 'TGCAN')) ELSE w END AS context FROM (SELECT *, substr('NNNN' || seq || 'NNNN', pos + 1, 9) AS w FROM ev JOIN seqs USING (contig) WHERE pos >= 0 AND pos < length(seq)) w)"
+
+
+def every(s, d):
+    x = seqs(s, d).select("contig", F.explode(F.sequence(F.lit(-1).cast("long"), F.length("seq").cast("long"))).alias("pos"))
+    return x.withColumn("strand", F.when(F.col("pos") % 2 == 0, "+").otherwise("-"))
+
+
+@q("base_at_every", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, strand, base FROM eb")
+def base_at_every(s, d):
+    return Q.base_at(every(s, d), seqs(s, d), CH).select("contig", "pos", "strand", "base")
+
+
+@q("assign_strand_every", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, base, CASE WHEN base = 'A' THEN '+' ELSE '-' END AS strand FROM eb WHERE base IN ('A', 'T')")
+def assign_strand_every(s, d):
+    return Q.assign_strand(every(s, d).select("contig", "pos"), seqs(s, d), "A", CH).select("contig", "pos", "base", "strand")
+
+
+@q("context_every", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT * FROM cx")
+def context_every(s, d):
+    return Q.context(every(s, d), seqs(s, d), 4, CH).select("contig", "pos", "strand", "context")
+
+
+@q("is_cpg_every", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT contig, pos, strand, substr(context, 5, 2) = 'CG' AS is_cpg FROM cx")
+def is_cpg_every(s, d):
+    return Q.is_cpg(every(s, d), seqs(s, d), CH).select("contig", "pos", "strand", "is_cpg")
+
+
+@q("expected_level_every", f"WITH {SEQS}, {EVERY}, {EVERY_CTX}, lv AS (SELECT substr(context, 4, 3) AS kmer, round(avg(pos % 100), 6) AS level FROM cx GROUP BY ALL HAVING count(*) > 3) SELECT contig, pos, strand, lv.kmer IS NOT NULL AS known, substr(context, 4, 3) AS kmer, level FROM cx LEFT JOIN lv ON substr(context, 4, 3) = lv.kmer")
+def expected_level_every(s, d):
+    st = every(s, d)
+    cx = Q.context(st, seqs(s, d), 4, CH)
+    lv = cx.groupBy(F.substring("context", 4, 3).alias("kmer")).agg(F.round(F.avg(F.col("pos") % 100), 6).alias("level"), F.count("*").alias("n")).where("n > 3").drop("n")
+    return Q.expected_level(st, seqs(s, d), lv, 3, 1, CH).select("contig", "pos", "strand", F.col("level").isNotNull().alias("known"), "kmer", "level")
+
+
+@q("validate_sites_every", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, strand, coalesce(base = CASE WHEN strand = '-' THEN 'T' ELSE 'A' END, false) AS ok FROM eb")
+def validate_sites_every(s, d):
+    return L.validate_sites(every(s, d), seqs(s, d), "A").select("contig", "pos", "strand", "ok")
+
+
+@q("coord_check_every", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT strand, count(*) AS n, round(avg((base = 'A')::INT), 6) AS share_a, round(avg((base = 'C')::INT), 6) AS share_c, round(avg((base = 'G')::INT), 6) AS share_g, round(avg((base = 'T')::INT), 6) AS share_t FROM eb WHERE pos >= 0 AND pos < length(seq) GROUP BY ALL")
+def coord_check_every(s, d):
+    x = seqs(s, d)
+    inside = every(s, d).join(x.select("contig", F.length("seq").alias("n")), "contig").where("pos >= 0 AND pos < n").drop("n")
+    return L.coord_check(inside, x).select("strand", "n", *r6("share_a", "share_c", "share_g", "share_t"))
+
+
 @q("normalize_levels", "WITH l AS (SELECT n_name AS kmer, n_nationkey * n_nationkey AS level FROM nation) SELECT kmer, round((level - (SELECT avg(level) FROM l)) / (SELECT stddev_pop(level) FROM l), 6) AS level FROM l")
 def normalize_levels(s, d):
     n = t(s, d, "nation").select(F.col("n_name").alias("kmer"), (F.col("n_nationkey") * F.col("n_nationkey")).cast("double").alias("level"))
