@@ -407,6 +407,34 @@ def mask_bases(s, d):
     return seqs(s, d).where(F.length("seq") >= 5).select("contig", F.array_join(C.mask_bases(b, 2, True), "").alias("flank"), F.array_join(C.mask_bases(b, 2, False), "").alias("whole"))
 
 
+# the same four on whole sequences, as MD5 of their result
+
+
+@q("revcomp_whole", f"WITH {SEQS} SELECT contig, length(seq) AS n, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc FROM seqs")
+def revcomp_whole(s, d):
+    return seqs(s, d).select("contig", F.length("seq").cast("long").alias("n"), F.md5(C.revcomp(F.col("seq"))).alias("rc"))
+
+
+@q("onehot_whole", f"WITH {SEQS} SELECT contig, md5(replace(replace(replace(replace(translate(seq, 'ACGT', 'wxyz'), 'w', '1000'), 'x', '0100'), 'y', '0010'), 'z', '0001')) AS code FROM seqs")
+def onehot_whole(s, d):
+    v = F.when(F.length("seq") > 0, C.onehot(F.col("seq"))).when(F.col("seq").isNotNull(), F.array().cast("array<int>"))
+    return seqs(s, d).select("contig", F.md5(F.array_join(F.transform(v, lambda b: b.cast("string")), "")).alias("code"))
+
+
+@q("mirror_whole", f"WITH {SEQS} SELECT contig, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS bases, length(seq) - 1 AS first FROM seqs WHERE length(seq) > 0")
+def mirror_whole(s, d):
+    cols = F.transform(F.split("seq", ""), lambda b, i: F.struct(b.alias("base"), i.alias("value")))
+    x = seqs(s, d).where(F.length("seq") > 0).select("contig", C.mirror(cols).alias("m"))
+    return x.select("contig", F.md5(F.array_join("m.base", "")).alias("bases"), F.get("m.value", F.lit(0)).cast("long").alias("first"))
+
+
+@q("mask_bases_whole", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT contig, pos, strand, 'NNNN' || substr(context, 5, 1) || 'NNNN' AS flank, 'NNNNNNNNN' AS whole FROM cx")
+def mask_bases_whole(s, d):
+    x = Q.context(every(s, d), seqs(s, d), 4, CH)
+    b = F.split("context", "")
+    return x.select("contig", "pos", "strand", F.array_join(C.mask_bases(b, 4, True), "").alias("flank"), F.array_join(C.mask_bases(b, 4, False), "").alias("whole"))
+
+
 @q("signal_clip", "SELECT label, round(quantile_cont(CAST(embedding[1] AS DOUBLE), 0.02), 6) AS lo, round(greatest(quantile_cont(CAST(embedding[1] AS DOUBLE), 0.98), quantile_cont(CAST(embedding[1] AS DOUBLE), 0.02) + 1), 6) AS hi FROM embeddings GROUP BY ALL")
 def signal_clip(s, d):
     lo, hi = C.signal_clip("v")
