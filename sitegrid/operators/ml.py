@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrid.functions.scalar import hash_key
@@ -70,11 +70,12 @@ def leave_one_dataset_out(df: DataFrame, member: str) -> DataFrame:
 def channel_importance(model, df: DataFrame, names: list[str], array: str, by: list[str], seed: int = 1) -> DataFrame:
     """Loss of AUPRC when one channel is dealt anew among rows: a row takes the value of the row at its own place in another
     hash order."""
-    a = df.withColumn("_v", F.col(array)).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(hash_key(seed, "id"))))
+    number = lambda d, s: ranking.numbered(d, by, hash_key(s, "id"), "id").withColumnRenamed("_rn", "_i").drop("_n")
+    a = number(df.withColumn("_v", F.col(array)), seed)
     base = ranking.average_precision(scored(model, a.withColumn("features", array_to_vector("_v"))), "label", "score", by).withColumnRenamed("auprc", "base")
     out = None
     for j, name in enumerate(names):
-        other = a.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(hash_key(seed + 1 + j, "id"))).alias("_i"), F.get("_v", F.lit(j)).alias("_x"))
+        other = number(df, seed + 1 + j).select(*by, "_i", F.get(array, F.lit(j)).alias("_x"))
         mixed = a.join(other, [*by, "_i"]).withColumn("features", array_to_vector(F.transform("_v", lambda v, i: F.when(i == j, F.col("_x")).otherwise(v))))  # noqa: B023
         s = ranking.average_precision(scored(model, mixed), "label", "score", by).join(base, by).select(F.lit(name).alias("channel"), *by, (F.col("base") - F.col("auprc")).alias("loss"))
         out = s if out is None else out.unionByName(s)

@@ -25,6 +25,18 @@ def running(df: DataFrame, by: list[str], order: str, cols: list[str], descendin
     return own.join(before, [*by, "_b"]).withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_{c}") for c in cols}).drop("_b", *[f"_{c}" for c in cols])
 
 
+def numbered(df: DataFrame, by: list[str], key: Column, *ties: Column | str) -> DataFrame:
+    """df with _rn, its row number from 1 in the order of a key of hex letters, by group, and _n, the group's rows: numbers
+    inside buckets of the key's first letters plus the rows of the buckets before."""
+    d = df.withColumn("_key", key).withColumn("_b", F.substring("_key", 1, 3))
+    own = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_key", *ties)))
+    w = Window.partitionBy(*by)  # of at most 4,096 buckets
+    sums = d.groupBy(*by, "_b").agg(F.count("*").alias("_k"))
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_c"), (F.sum("_k").over(w.orderBy("_b")) - F.col("_k")).alias("_before"), F.sum("_k").over(w).alias("_n"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("_b") == F.col("_c")]
+    return own.join(sums, on).withColumn("_rn", F.col("_rn") + F.col("_before")).drop("_key", "_b", "_c", "_before", *[f"_{c}" for c in by])
+
+
 def by_score(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     y = F.col(label).cast("long")
     return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))

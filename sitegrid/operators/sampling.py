@@ -61,11 +61,10 @@ def balanced_draws(df: DataFrame, buckets: list[str], keys: list[str], n: int, s
 
 def bootstrap_auroc(df: DataFrame, label: str, score: str, stratum: list[str], n: int, seed: int) -> DataFrame:
     """Percentiles 2.5, 50 and 97.5 of the pooled AUROC over n resamples by stratum, each drawn by hash with replacement."""
-    w = Window.partitionBy(*stratum).orderBy(hash_key(seed, *stratum, label, score))
-    d = df.select(*stratum, label, score).withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*stratum)))
+    d = ranking.numbered(df.select(*stratum, label, score), stratum, hash_key(seed, *stratum, label, score))
     r = d.select(*stratum, "_rn", "_n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate"))
     pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_rn", *stratum), F.col("_n")) + 1
-    drawn = r.select(*stratum, "replicate", pick.cast("int").alias("_rn")).join(d.drop("_n"), [*stratum, "_rn"])
+    drawn = r.select(*stratum, "replicate", pick.alias("_rn")).join(d.drop("_n"), [*stratum, "_rn"])
     a = ranking.auroc(drawn, label, score, ["replicate"])
     return a.agg(*[F.percentile("auroc", q).alias(x) for q, x in ((0.025, "lo"), (0.5, "mid"), (0.975, "hi"))])
 

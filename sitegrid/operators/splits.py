@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrid.functions.scalar import hash_fraction, hash_key
-from sitegrid.operators import ranges
+from sitegrid.operators import ranges, ranking
 
 
 def split_positions(df: DataFrame, keys: list[str], val: float, test: float, seed: int) -> DataFrame:
     """Column split by position, stratified by its label (the largest of its rows): all rows of a position go together.
     Every stratum of three positions or more has one at least in each part."""
     p = df.groupBy(*keys).agg(F.max("label").alias("_y"))
-    w = Window.partitionBy("_y")
-    p = p.withColumn("_n", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(hash_key(seed, *keys), *keys)))
+    p = ranking.numbered(p, ["_y"], hash_key(seed, *keys), *keys)
     size = lambda share: F.when(F.col("_n") >= 3, F.greatest(F.lit(1), F.bround(F.col("_n") * share))).otherwise(F.bround(F.col("_n") * share))
     p = p.withColumn("split", F.when(F.col("_rn") <= size(test), "test").when(F.col("_rn") <= size(test) + size(val), "val").otherwise("train"))
     return df.join(p.select(*keys, "split"), keys)

@@ -130,7 +130,7 @@ def balanced_draws(s, d):
 @q("bootstrap_auroc", None)
 def bootstrap_auroc(s, d):
     x = scores(s, d).withColumn("row", F.col("contig") % 10)
-    return S.bootstrap_auroc(x, "label", "score", ["row"], 20, 3).select(*r6("lo", "mid", "hi"))
+    return S.bootstrap_auroc(x, "label", "score", ["row"], 300, 3).select(*r6("lo", "mid", "hi"))
 
 
 @q("fewshot", f"WITH {SCORES}, h AS (SELECT *, md5('5:' || contig || ':' || pos || ':' || strand)[1] < '8' AS half FROM scores), r AS (SELECT *, row_number() OVER (PARTITION BY contig % 5, label ORDER BY md5('6:' || contig || ':' || pos || ':' || strand)) AS rn FROM h WHERE half) SELECT contig, pos, strand, label, 'support' AS role FROM r WHERE rn <= 5 UNION ALL SELECT contig, pos, strand, label, 'query' FROM h WHERE NOT half")

@@ -174,3 +174,17 @@ def test_the_sequence_null_takes_every_site(spark):
     letters = [re.sub("[^ACGT]", "", (r.text or "").upper()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = QUERIES["sequence_null"](spark, SF).first()
     assert (got.n_pos, got.n_pos + got.n_neg) == (2 * sum(x.count("CG") for x in letters), sum(x.count("C") + x.count("G") for x in letters))
+
+
+def test_row_numbers_by_hash_bucket_are_those_of_one_window(spark):
+    d = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    got = ranking.numbered(d, ["g"], scalar.hash_key(1, "id"), "id")
+    want = {r.id: (r.rn, r.n) for r in d.selectExpr("id", "row_number() OVER (PARTITION BY g ORDER BY md5(concat('1:', id))) AS rn", "count(*) OVER (PARTITION BY g) AS n").collect()}
+    assert {r.id: (r._rn, r._n) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["split_positions", "bootstrap_auroc", "channel_importance"])
+def test_no_window_orders_a_whole_stratum(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+    windows = [x for x in plan.splitlines() if "Window [row_number()" in x]
+    assert windows and all("_b#" in x for x in windows)
