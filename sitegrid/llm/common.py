@@ -38,3 +38,13 @@ def remainder(doc_id: Column, m: int) -> Column:
 def ascii_lower(text: str) -> str:
     """A-Z only; other letters stay as they are."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def least_count(counts: DataFrame, size: int) -> int:
+    """The smallest count (column n) such that at most `size` rows have it or more."""
+    left, least = size, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        if (left := left - r.k) < 0:
+            break
+        least = r.n
+    return least if least is not None else (1 << 31) - 1

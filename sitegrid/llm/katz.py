@@ -30,8 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrid.llm.byte_bpe import least_count
-from sitegrid.llm.common import remainder, table, written
+from sitegrid.llm.common import least_count, remainder, table, written
 from sitegrid.llm.near_dedup import mix, word_hashes
 
 DICT, HOT, TOP_R = 600_000, 1_024, 5
