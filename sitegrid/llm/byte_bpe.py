@@ -1,24 +1,31 @@
 """Byte-level BPE: encoding and decoding by ranked merges.
 
-A text is cut into pre-tokens by the tokenizer's pattern. The ranked merges are one fold with Spark's higher-order
-functions over the byte array of a word: at each step the adjacent pair of lowest rank (the leftmost of equal ones) is
-joined, until no pair has a rank; ranks come from a literal map, dealt into small buckets so that a look-up is short.
-Decoding looks each id's bytes up in a literal array and concatenates them.
-
-The fold runs once for each of the most frequent distinct words of the corpus, at most DICT of them; these make a dictionary of bounded
-size that goes to all tasks. Words beyond it are folded by the same expression where they stand, once for each document.
-So no text is shuffled, and any word gets the same ids either way.
+Texts are cut into pre-tokens by the tokenizer's pattern, in chunks in which each distinct pre-token stands once
+(chunks.py). The ranked merges are one fold with Spark's higher-order functions over the bytes of a distinct word. Its state is
+an array with a number for each piece, from high to low bits: the rank of the piece that it makes with the next one, the place
+of its first byte, its id. The least number is the pair of lowest rank, the leftmost of equal ones; a step joins this pair.
+Ranks come from a literal map from pairs of ids to the joined piece's rank, dealt into small buckets so that a look-up is short.
+Decoding looks each id's bytes up in a literal array and concatenates them. Then ids and bytes of the words are put in the
+order of each text.
+
+The fold runs once for each of the DICT most frequent words of the corpus; these go to all tasks as a dictionary of bounded
+size. Other words are folded once in each chunk that has them, by the same expression: they are in 1.3 chunks each, and one
+fold for the whole corpus would need the coded texts written and shuffled, about twice the input. So no text is
+shuffled, and any word gets the same ids either way.
+
+The fold's arrays are copied at each step, so its time is quadratic in a word's length. Words over LONG bytes, such as a line
+without a space, are merged by a heap instead (merge_long): the same rule, the same ids.
 
 Bytes are held as strings with one character (U+0000 to U+00FF) per byte. Cases: null text is empty; an empty text has no
-tokens; an empty table gives no rows.
+tokens; repeated rows stay as they are; of docs' columns one named like the result is replaced; an empty table gives no
+rows; a text that its ids don't give back is an error.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +33,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
+from sitegrid.llm.chunks import chunks_of, frequent, loosen, rows_and_text, squeeze
 from sitegrid.llm.common import table, written
 
-DICT, BUCKETS = 500_000, 1 << 13
-NONE = (1 << 31) - 1
+DICT, BUCKETS, LONG = 500_000, 32_749, 128
+NONE = 1 << 25  # over all ranks
+_ID, _PLACE = 1 << 17, 1 << 20
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -39,139 +48,149 @@ def vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def java_pattern(pattern: str) -> str:
-    """The same pattern for Java: there \\s is ASCII unless it is spelt out."""
-    space = r"\p{IsWhite_Space}"
-    return pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", space).replace(r"(?!\S)", rf"(?![^{space}])").replace(r"\S", rf"[^{space}]")
+def joins(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
+    """Of each piece every pair of pieces that it is made of, and its own rank."""
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if a is not None and b is not None:
+                yield a, b, rank
 
 
 class Ranks:
-    """Literal rank map and piece array for expressions."""
+    """Literal map of pairs and literal array of pieces for expressions. All 256 single bytes must be pieces."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        pieces = [""] * (max(ranks.values(), default=-1) + 1)
+        pieces = [""] * (max(ranks.values()) + 1)
+        if len(pieces) > _ID:
+            raise ValueError(f"more than {_ID} pieces")
         for b, r in ranks.items():
-            s = b.decode("latin-1")
-            buckets[zlib.crc32(s.encode()) % BUCKETS][s] = r
-            pieces[r] = s
-        self.map = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-
-    def rank(self, m: Column, s: Column) -> Column:
-        return F.coalesce(m[(F.crc32(s.cast("binary")) % BUCKETS).cast("int")][s], F.lit(NONE))
+            pieces[r] = b.decode("latin-1")
+        buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+        for a, b, r in joins(ranks):
+            key = a * _ID + b
+            buckets[key % BUCKETS][key] = r
+        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+        self.map = literal(buckets, "array<map<string,int>>").cast("array<map<bigint,int>>")
+        self.bytes = literal([ranks[bytes([i])] for i in range(256)], "array<int>")
+        self.pieces = literal(pieces, "array<string>")
+
+    def rank(self, m: Column, a: Column, b: Column) -> Column:
+        """Of the piece that a and b make, NONE if there is none. m: the map, bound once for all its uses."""
+        key = a * _ID + b
+        return F.coalesce(m[(key % BUCKETS).cast("int")][key], F.lit(NONE)).cast("bigint")
 
     def merged(self, m: Column, word: Column) -> Column:
-        """Pieces of a word, as an array of strings. m: the map, bound once for all its uses."""
-        single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-        pairs = lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda b, i: self.rank(m, F.concat(p[i], b)))
-
-        def join(x: Column) -> Column:
-            """x: pieces p, ranks r of neighbours, place i (from 1) of the pair to join."""
-            p, r, i = x["p"], x["r"], x["i"]
-            return F.transform(F.array(F.concat(p[i - 1], p[i])), lambda new: F.struct(
-                F.transform(F.slice(p, 2, F.size(p)), lambda y, k: F.when(k < i - 1, p[k]).when(k == i - 1, new).otherwise(y)).alias("p"),
-                F.transform(F.slice(r, 2, F.size(r)), lambda y, k: F.when(k < i - 2, r[k]).when(k == i - 2, self.rank(m, F.concat(p[k], new))).when(k == i - 1, self.rank(m, F.concat(new, p[k + 2]))).otherwise(y)).alias("r"),
-            ))[0]
-
-        def step(acc: Column, _: Column) -> Column:
-            place = F.array_position(acc["r"], F.array_min(acc["r"])).cast("int")
-            at = F.transform(F.array(F.struct(acc["p"].alias("p"), acc["r"].alias("r"), place.alias("i"))), join)[0]
-            return F.when(F.array_min(acc["r"]) < NONE, at).otherwise(acc)
-
-        start = F.transform(F.array(single), lambda p: F.struct(p.alias("p"), pairs(p).alias("r")))[0]
-        fold = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), start, step)["p"]
-        return F.when(F.length(word) < 2, F.array(word)).when(self.rank(m, word) < NONE, F.array(word)).otherwise(fold)
-
-    def encode(self, word: Column) -> Column:
-        return F.transform(F.array(self.map), lambda m: F.transform(self.merged(m, word), lambda p: self.rank(m, p)))[0]
+        """Ids of a word, given as one character for each byte."""
+        bind = lambda x, f: F.transform(F.array(x), f)[0]
+        id_of = lambda x: x % _ID
+        high = _ID * _PLACE
+        state = lambda a: F.struct(a.alias("a"), F.array_min(a).alias("m"))
+        single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: self.bytes[F.ascii(F.substring(word, i, F.lit(1)))].cast("bigint"))
+        pairs = lambda p: F.transform(p, lambda x, i: F.coalesce(self.rank(m, x, F.get(p, i + 1)), F.lit(NONE)) * high + i * _ID + x)
 
-    def decode(self, ids: Column) -> Column:
-        return F.array_join(F.transform(ids, lambda i: self.pieces[i]), "")
+        def join(a: Column, least: Column) -> Column:
+            new = F.shiftright(least, 37)  # the rank: the joined piece's id
 
+            def of(x: Column, i: Column) -> Column:
+                first = F.coalesce(self.rank(m, new, id_of(F.get(a, i + 2))), F.lit(NONE)) * high + least % high - least % _ID + new
+                before = self.rank(m, id_of(x), new) * high + x % high
+                return F.when(x == least, first).when(F.get(a, i + 1) == least, before).when(F.get(a, i - 1) != least, x).when(i == 0, x)
 
-def word_counts(docs: DataFrame, text: Column, pattern: str, special: str = "") -> DataFrame:
-    """Distinct pre-tokens (w) of all texts with their counts, as a table. special: strings that part a text first."""
-    find = lambda t: F.regexp_extract_all(t, F.lit(java_pattern(pattern)), F.lit(0))
-    words = find(text) if not special else F.flatten(F.transform(F.split(text, re.escape(special)), find))
-    return written(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
+            return F.filter(F.transform(a, of), lambda x: x.isNotNull())
 
+        step = lambda acc, _: F.when(acc["m"] < NONE * high, bind(join(acc["a"], acc["m"]), state)).otherwise(acc)
+        fold = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), bind(bind(single, pairs), state), step)["a"]
+        return F.when(F.length(word) < 2, single).otherwise(F.transform(fold, id_of))
 
-def least_count(counts: DataFrame, size: int) -> int:
-    """The smallest count such that at most `size` words occur that often."""
-    left, least = size, None
-    for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
-        if (left := left - r.k) < 0:
-            break
-        least = r.n
-    return least if least is not None else NONE
-
+    def encode(self, word: Column) -> Column:
+        return F.transform(F.array(self.map), lambda m: self.merged(m, word))[0]
 
-def pre_tokens(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+    def decode(self, ids: Column) -> Column:
+        return F.array_join(F.transform(ids, lambda i: self.pieces[i]), "")
 
 
-def slices(it: Iterator[pa.RecordBatch], size: int = 1_000) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        for lo in range(0, len(batch), size):
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, size)]) for c in batch.columns], schema=batch.schema)
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for a long word: pairs wait in a heap by rank and place, pieces are linked to their neighbours."""
+    n = len(word)
+    end, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # of the piece that starts here: its end, the start of the one before
+    queue = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(queue)
+    while queue:
+        _, i, stop = heapq.heappop(queue)
+        j = end[i]
+        if j < 0 or j >= n or end[j] != stop:  # one of the two has been joined to another since
+            continue
+        end[i], end[j] = stop, -1
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heapq.heappush(queue, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := ranks.get(word[h:stop])) is not None:
+            heapq.heappush(queue, (r, h, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
 
 
 def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: str, out: str = "bpe", size: int = DICT, keep: list[str] | None = None) -> DataFrame:
     """docs (all columns, or those of keep) and a struct column: n_tokens, ids (decimal, joined by one space), decoded
     (bytes from the ids)."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
+    kept = [c for c in (docs.columns if keep is None else keep) if c != out]
     lit = Ranks(ranks)
-    enc = lambda w: F.transform(F.array(lit.encode(w)), lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"), lit.decode(ids).alias("bytes")))[0]
-    latin = lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")
-    counts = word_counts(docs, text, pattern)
-    top = counts.where(F.col("n") >= least_count(counts, size)).select(latin("w").alias("w"))
-    made = written(top.repartition(2 * spark.sparkContext.defaultParallelism).select("w", enc(F.col("w")).alias("e")), "bpe-words")
-    # a word is what its ids decode to; at most `size` words
-    rows = made.where("e.bytes = w").select("e.n", "e.ids", F.encode("e.bytes", "ISO-8859-1").alias("bytes")).toArrow().combine_chunks()
-    flat = lambda c, kind: rows[c].combine_chunks().cast(kind) if len(rows) else pa.array([], kind)
-    known = spark.sparkContext.broadcast((flat("n", pa.int32()), flat("ids", pa.binary()), flat("bytes", pa.binary())))
-    kept = keep if keep is not None else docs.columns
-    fields = [docs.schema[c] for c in kept]
 
-    def look_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Places of the pre-tokens in the dictionary; those it doesn't have once each (rest), numbered from -1 down."""
-        words = known.value[2].cast(pa.string())
-        for batch in slices(it):
-            lists = batch.column("_t")
-            values, at = lists.values, lists.offsets.to_numpy()
-            code = pc.fill_null(pc.index_in(values, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-            new = np.flatnonzero(code < 0)
-            doc = np.searchsorted(at, new, side="right") - 1
-            names = values.take(pa.array(new)).dictionary_encode()
-            pairs = doc * max(1, len(names.dictionary)) + names.indices.to_numpy(zero_copy_only=False)
-            one, back = np.unique(pairs, return_inverse=True)
-            first = np.searchsorted(one, np.arange(len(batch) + 1) * max(1, len(names.dictionary)))
-            code[new] = -1 - (back - first[doc])
-            rest = names.dictionary.take(pa.array(one % max(1, len(names.dictionary))))
-            columns = [pa.ListArray.from_arrays(lists.offsets, pa.array(code)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), rest)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "_c", "_r"])
+    def coded(w: Column) -> Column:
+        """n, ids and bytes of a word; null if it is long."""
+        made = lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"), F.encode(lit.decode(ids), "ISO-8859-1").alias("bytes"))
+        short = lambda x: F.transform(F.array(lit.encode(x)), made)[0]
+        return F.when(F.octet_length(w) <= LONG, F.transform(F.array(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")), short)[0])
+
+    top = frequent(docs, text, pattern, "", size).where(F.octet_length("w") <= LONG)
+    top = written(top.repartition(4 * sc.defaultParallelism).select("w", coded(F.col("w")).alias("e")), "bpe-words")
+    rows = top.select("w", "e.n", "e.ids", "e.bytes").toArrow().combine_chunks()  # at most `size` words
+    column = lambda c, kind: rows[c].combine_chunks().cast(kind) if len(rows) else pa.array([], kind)
+    check(column("bytes", pa.binary()), column("w", pa.string()))
+    shared = sc.broadcast((ranks, column("w", pa.string()), column("n", pa.int64()), column("ids", pa.binary())))
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks_of(it, pattern):
+            at, rest = chunk.split(shared.value[1])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (chunk.rows, rest)]
+            yield pa.RecordBatch.from_arrays([*lists, *(pa.array([squeeze(x)], pa.binary()) for x in (chunk.starts, at[chunk.codes]))], names=["rows", "words", "starts", "codes"])
 
     def put_together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ids, raw = known.value
-        for batch in slices(it):
-            lists, rest = batch.column("_c"), batch.column("_e")
-            code, at, first = lists.values.to_numpy(zero_copy_only=False).copy(), lists.offsets.to_numpy(), rest.offsets.to_numpy()
-            doc = np.repeat(np.arange(len(batch)), np.diff(at))
-            new = code < 0
-            code[new] = len(n) + first[doc[new]] + (-1 - code[new])
-            extra = rest.values
-            place = pa.array(code)
-            pick = lambda a, b: pa.concat_arrays([a, b.cast(a.type)]).take(place)
-            count = pick(n, extra.field("n")).to_numpy(zero_copy_only=False)
-            decoded = pa.array([x.encode("latin-1") for x in extra.field("bytes").to_pylist()], pa.binary())
-            join = lambda a, by: pc.binary_join(pa.ListArray.from_arrays(lists.offsets, a), by)
-            made = pa.StructArray.from_arrays([pa.array(np.bincount(doc, weights=count, minlength=len(batch)).astype(np.int64)), join(pick(ids, extra.field("ids")), b" "), join(pick(raw, decoded), b"")], names=["n_tokens", "ids", "decoded"])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, out])
-
-    coded = docs.select(*kept, pre_tokens(text, pattern).alias("_t")).mapInArrow(look_up, StructType([*fields, *StructType.fromDDL("_c array<int>, _r array<string>").fields]))
-    coded = coded.select(*kept, "_c", F.transform("_r", lambda w: enc(latin(w))).alias("_e"))
-    return coded.mapInArrow(put_together, StructType([*fields, StructField(out, StructType.fromDDL("n_tokens long, ids binary, decoded binary"))]))
+        ranks, top, top_n, top_ids = shared.value
+        back = {r: b for b, r in ranks.items()}
+        for batch in it:
+            for k in range(len(batch)):
+                rows, words, e = (batch.column(c).slice(k, 1).flatten() for c in ("rows", "words", "e"))
+                n, ids, raw = (e.field(c) for c in ("n", "ids", "bytes"))
+                n, ids = np.array(n.fill_null(0)).astype(np.int64), ids.cast(pa.binary())
+                if e.null_count:
+                    got = [merge_long(w.encode(), ranks) for w in words.filter(e.is_null()).to_pylist()]
+                    n[np.asarray(e.is_null())] = [len(x) for x in got]
+                    ids = pc.replace_with_mask(ids, e.is_null(), pa.array([" ".join(map(str, x)).encode() for x in got], pa.binary()))
+                    raw = pc.replace_with_mask(raw, e.is_null(), pa.array([b"".join(back[i] for i in x) for x in got], pa.binary()))
+                check(raw, words)
+                codes, starts = (loosen(batch.column(c)[k].as_py()) for c in ("codes", "starts"))
+                place = pa.array(codes)
+                joined = lambda a, b, by: pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), pa.concat_arrays([a, b]).take(place)), by)  # noqa: B023, E731
+                total = np.concatenate([[0], np.cumsum(np.concatenate([np.asarray(top_n), n])[codes])])[starts]
+                made = pa.StructArray.from_arrays([pa.array(np.diff(total)), joined(top_ids, ids, b" "), joined(top.cast(pa.binary()), raw, b"")], names=["n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in range(len(kept))), made], names=[*kept, out])
+
+    fields = [docs.schema[c] for c in kept]
+    chunk_type = StructType([StructField("rows", ArrayType(StructType(fields))), *StructType.fromDDL("words array<string>, starts binary, codes binary").fields])
+    chunks = rows_and_text(docs, kept, text).mapInArrow(cut, chunk_type).withColumn("e", F.transform("words", coded))
+    return chunks.mapInArrow(put_together, StructType([*fields, StructField(out, StructType.fromDDL("n_tokens long, ids binary, decoded binary"))]))
+
+
+def check(decoded: pa.Array, words: pa.Array) -> None:
+    if not decoded.equals(words.cast(pa.binary())):
+        raise ValueError("ids don't give their word back")
 
 
 def digests(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: str) -> DataFrame:
