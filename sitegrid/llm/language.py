@@ -1,16 +1,18 @@
 """Language ID by cross-parsing entropy.
 
 For each language the suffix automaton of a sample of labelled text is built. A text is parsed against each automaton
-from left to right into the longest phrases that occur in the sample; the language that needs the fewest phrases, each
-at the cost of a pointer into its sample, wins. Texts are lower-cased; runs of characters that are not letters are one
-space; letters that no sample has end a phrase.
+from left to right into the longest phrases that occur in the sample; a character that the sample doesn't have is a phrase of
+its own. The language that needs the fewest phrases, each at the cost of a pointer into its sample, wins. Texts are
+lower-cased; runs of characters that are not letters are one space.
 
 The automata are fitted on at most SAMPLE_CHARS characters a language, taken in pieces of PIECE from about
-SAMPLE_DOCS documents (by hash of doc_id, whatever the size of the input). Predictions parse whole texts, in segments of
-SEGMENT characters (a phrase ends with its segment), all segments of a batch side by side.
+SAMPLE_DOCS documents (by hash of doc_id, whatever the size of the input). Every letter of the samples counts; transitions by
+the DENSE most frequent ones are an array, all others a sorted table. Predictions parse whole texts, in parts of at
+most PART and segments of SEGMENT characters (a phrase ends with its segment), all segments of a batch side by side.
 
 Cases: null text and text without a letter get `und` and score 0; equal costs go to the smaller name; a null label isn't
-learned from; without any learned language all is `und`; with one learned language its score is 1.
+learned from; without any learned language all is `und`; with one learned language its score is 1; repeated rows get equal
+results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sitegrid.llm.common import remainder, table
 
-SAMPLE_CHARS, SAMPLE_DOCS, PIECE, SEGMENT, LETTERS = 20_000, 64, 1_024, 2_048, 200
+SAMPLE_CHARS, SAMPLE_DOCS, PIECE, SEGMENT, DENSE, PART = 20_000, 64, 1_024, 2_048, 64, 500_000
 UND = "und"
 
 _KIND = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.bool_, 0x110000)
@@ -48,8 +50,8 @@ def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, at[begin], lat[begin + n] - lat[begin]
 
 
-def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
-    """Transitions (state, letter) -> state; 0, the first state, stands for none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions letter -> state of each state. The first state is 0, to which none leads."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -75,77 +77,118 @@ def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    t = np.zeros((len(nxt), letters), np.int32)
-    for s, d in enumerate(nxt):
-        for c, to in d.items():
-            t[s, c] = to
-    return t
+    return nxt
 
 
 class Model:
-    """Names, the letters' codes (0: none of them), transitions of all automata stacked, and their sizes."""
+    """Names, the letters' codes (from 1; 0: no sample has it), transitions of all automata, and their sizes.
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, letters: int = LETTERS):
+    States of all automata are numbered through; `root` has the first of each. dense[state, code] serves codes below its
+    width, the sorted keys state * letters + code with their targets all others; a target equal to the root is none."""
+
+    def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, dense: int = DENSE):
         cps = {k: normal([" ".join(v)])[0][:chars] for k, v in sorted(samples.items())}
         cps = {k: v for k, v in cps.items() if len(v)}
         self.names = list(cps)
         seen = Counter()
         for v in cps.values():
             seen.update(v.tolist())
-        self.code = {c: i + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: letters - 1])}
-        a = len(self.code) + 1
-        tables = []
-        for v in cps.values():
-            tables.append(suffix_automaton([self.code.get(c, 0) for c in v.tolist()], a))
-            tables[-1][:, 0] = 0
+        self.code = {c: i + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
+        self.letters = len(self.code) + 1
+        automata = [suffix_automaton([self.code[c] for c in v.tolist()]) for v in cps.values()]
+        self.root = np.cumsum([0, *(len(a) for a in automata)])[:-1].astype(np.int64)
+        width = min(dense, self.letters)
+        owner = np.repeat(self.root, [len(a) for a in automata])
+        self.dense = np.repeat(owner[:, None], width, 1).astype(np.int32)
+        sparse = {}
+        for first, a in zip(self.root.tolist(), automata):
+            for state, d in enumerate(a):
+                for c, to in d.items():
+                    if c < width:
+                        self.dense[first + state, c] = first + to
+                    else:
+                        sparse[(first + state) * self.letters + c] = first + to
+        self.keys = np.array(sorted(sparse), np.int64)
+        self.to = np.array([sparse[k] for k in self.keys.tolist()], np.int32)
         self.bits = np.array([np.log2(len(v) + 1) for v in cps.values()])
-        self.offset = np.cumsum([0, *(t.size for t in tables)])[: len(tables)]
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
-        self.letters = a
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states for states and codes of one shape; the root where there is none."""
+        width = self.dense.shape[1]
+        if self.letters <= width:
+            return self.dense.take(state * width + c)
+        rare = c >= width
+        to = self.dense.take(state * width + np.where(rare, 0, c))  # code 0 leads nowhere
+        if rare.any():
+            key = state[rare].astype(np.int64) * self.letters + c[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[rare] = np.where(self.keys[at] == key, self.to[at], to[rare])
+        return to
 
     def phrases(self, codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Phrases of each segment, by language: all segments step by step side by side."""
         order = np.argsort(-length, kind="stable")
         b, n = begin[order], length[order]
-        k, a = len(self.names), self.letters
-        state = np.zeros((k, len(b)), np.int64)
-        count = np.ones((k, len(b)), np.int32)
-        root = np.stack([self.table[o : o + a] for o in self.offset])
-        off = self.offset[:, None]
+        root = self.root.astype(np.int32)[:, None]
+        state = np.repeat(root, len(b), 1)
+        count = np.zeros((len(self.names), len(b)), np.int32)
         alive = len(b)
         for t in range(int(n[0]) if len(n) else 0):
             while alive and n[alive - 1] <= t:
                 alive -= 1
-            c = codes[b[:alive] + t]
+            c = np.broadcast_to(codes[b[:alive] + t], (len(root), alive))
             s = state[:, :alive]
-            to = self.table[off + s * a + c]
-            none = to == 0
-            count[:, :alive] += none
-            state[:, :alive] = np.where(none, root[:, c], to)
+            to = self.step(s, c)
+            stuck = to == root
+            count[:, :alive] += stuck | (s == root)  # a phrase begins here
+            language, text = np.nonzero(stuck)
+            to[language, text] = self.step(root[language, 0], c[language, text])
+            state[:, :alive] = to
         out = np.zeros_like(count)
         out[:, order] = count
         return out
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        if not texts:
-            return []
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cost of each text by language, and its number of letters."""
         cps, begin, has = normal(texts)
         end = np.append(begin[1:], len(cps))
-        if not self.names:
-            return [(UND, 0.0)] * len(texts)
-        lut = np.zeros(max([int(cps.max()) if len(cps) else 0, *self.code]) + 1, np.int64)
-        for c, i in self.code.items():
-            lut[c] = i
+        lut = np.zeros(max([int(cps.max()) if len(cps) else 0, *self.code]) + 1, np.int32)
+        lut[list(self.code)] = list(self.code.values())
         n = end - begin
         parts = np.maximum(1, -(-n // SEGMENT))
         owner = np.repeat(np.arange(len(texts)), parts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         b = begin[owner] + nth * SEGMENT
         got = self.phrases(lut[cps], b, np.minimum(end[owner] - b, SEGMENT))
-        cost = np.stack([np.bincount(owner, weights=g, minlength=len(texts)) for g in got]) * self.bits[:, None]
+        return np.stack([np.bincount(owner, weights=g, minlength=len(texts)) for g in got]) * self.bits[:, None], has
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """Texts are taken in batches of about PART characters; a longer one in parts of PART."""
+        if not self.names:
+            return [(UND, 0.0)] * len(texts)
+        cost, has = np.zeros((len(self.names), len(texts))), np.zeros(len(texts), np.int64)
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            c, h = self.costs([x for _, x in held])
+            at = [k for k, _ in held]
+            np.add.at(cost, (slice(None), at), c)
+            np.add.at(has, at, h)
+            held.clear()
+
+        for k, t in enumerate(texts):
+            for lo in range(0, max(1, len(t)), PART):
+                held.append((k, t[lo : lo + PART]))
+                size += len(held[-1][1]) + 1
+                if size >= PART:
+                    flush()
+                    size = 0
+        if held:
+            flush()
         win = np.argmin(cost, axis=0)
         rest = np.partition(cost, 1, axis=0)[1] if len(self.names) > 1 else np.full(len(texts), np.inf)
-        sure = 1 - cost[win, np.arange(len(texts))] / rest
+        sure = 1 - cost[win, np.arange(len(texts))] / np.maximum(rest, 1e-300)
         return [(self.names[w], float(s)) if h else (UND, 0.0) for w, s, h in zip(win, sure, has)]
 
 
@@ -173,10 +216,7 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
-            out: list[tuple[str, float]] = []
-            for lo in range(0, len(texts), 1_000):
-                out += shared.value.predict([t or "" for t in texts.iloc[lo : lo + 1_000]])
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            yield pd.DataFrame(shared.value.predict([t or "" for t in texts]), columns=["lang_pred", "score"])
 
     return of(text)
 
