@@ -7,7 +7,8 @@ text that the model keeps: the second sum holds what two terms mean only togethe
 Training takes at most MAX_TRAIN labelled rows (those with the smallest hash of doc_id, whatever the size of the
 input), keeps the FEATURES buckets that differ most between the classes, and runs Adam on the log loss.
 
-Cases: null and empty texts score by the bias; repeated labels of one document count once, toxic if any is;
+Cases: null and empty texts score by the bias; repeated labels of one document count once, toxic if any is; of texts with
+one id the smallest is learned from, and each is scored;
 null labels count as none; with no labels or a single class the score is the smoothed base rate.
 """
 
@@ -28,6 +29,8 @@ from sitegrid.llm.common import remainder, table
 #: Bound on labelled rows that are learned from.
 MAX_TRAIN = 8_000
 FEATURES, RANK, EPOCHS, BUCKETS = 1_024, 8, 250, 1 << 20
+#: Words that a task remembers the terms of, for speed.
+MEMO = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -105,10 +108,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from labels' rows, at most max_train of them; the texts of these alone are joined, by broadcast."""
     one = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg(F.max("y").alias("y"))
     sample = one.orderBy(F.xxhash64("i"), "i").limit(max_train)
-    of = F.pandas_udf(lambda t: t.map(buckets), "array<int>", F.PandasUDFType.SCALAR)
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(sample), "i").select("i", "y", of("t").alias("b")).toArrow().to_pandas()  # at most max_train documents
-    rows = rows.drop_duplicates("i").sort_values("i")
+
+    @F.pandas_udf("array<int>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(buckets)
+
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i")
+    one_text = texts.groupBy("i").agg(F.max("y").alias("y"), F.min("t").alias("t"))  # of an id that occurs twice the smallest text
+    rows = one_text.select("i", "y", of("t").alias("b")).toArrow().to_pandas().sort_values("i")  # at most max_train documents
     return fit_rows(list(rows.b), rows.y.to_numpy(float))
 
 
@@ -126,7 +133,7 @@ def score(spark: SparkSession, model: Model, text: Column) -> Column:
                 for w in words_of(t):
                     got = known.get(w)
                     if got is None:
-                        if len(known) > 500_000:
+                        if len(known) >= MEMO:
                             known.clear()
                         got = known[w] = tuple(m.index[b] for b in terms_of_word(w) if b in m.index)
                     if got:
