@@ -5,7 +5,8 @@
 2. A minimum-cost flow (old shards to new ones; a byte that stays costs 0, one that moves costs 1) says how many bytes
    go from each old shard to each new one. It works on sums by shard alone.
 3. Rows over EPS of a capacity are few (at most shards / EPS, whatever the input): they take their places one by one
-   along that flow, largest first. A second flow over what is left corrects for their lumps.
+   along that flow, largest first, each of several equal ones for itself. A second flow over what is left corrects for
+   their lumps.
 4. All other rows of an old shard stand in blocks (by hash); running sizes inside and across blocks are cut where the
    flow says. A shard is off its capacity by a few rows of at most EPS of it.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sitegrid.llm.common import table, written
 
-EPS, MAX_BLOCKS, LEAST_BLOCK = 0.005, 65_536, 256
+EPS, MAX_BLOCKS, LEAST_BLOCK, FILE_ROWS = 0.005, 65_536, 256, 20_000
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
@@ -84,7 +85,7 @@ def moved_less(i: int, j: int) -> int:
 
 
 def plan_large(large: list, sizes: dict[int, int], shards: int, eps_total: int) -> dict:
-    """(id, crc, size, old) -> shard, largest first, along the flow of all bytes."""
+    """(id, crc, size, old, number among equals) -> shard, largest first, along the flow of all bytes."""
     supply = [sizes.get(i, 0) for i in range(shards)]
     flow = defaultdict(int, min_cost_flow(supply, shares(eps_total, shards, [0] * shards), moved_less))
     room, out = shares(eps_total, shards, [0] * shards), {}
@@ -102,8 +103,10 @@ def assign(rows: DataFrame, shards: int = 24, id_col: str = "doc_id", size_col:
     r = rows.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size"), F.col(crc_col).alias("crc"), F.coalesce(F.pmod(F.col(old_col).cast("int"), F.lit(shards)), F.lit(0)).alias("old"))
     by_old = {x.old: (x.b, x.n) for x in r.groupBy("old").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}  # a row for each shard
     total, count = sum(b for b, _ in by_old.values()), sum(n for _, n in by_old.values())
-    big = r.where(F.col("size") > F.lit(int(eps * total / shards)))
-    large = [((x.id, x.crc, x.size, x.old), x.size * x.n, x.old) for x in big.groupBy("id", "crc", "size", "old").agg(F.count("*").alias("n")).toLocalIterator()]  # under shards / eps rows
+    is_big = F.col("size") > F.lit(int(eps * total / shards))
+    equal = Window.partitionBy("id", "crc", "size", "old").orderBy("size")
+    big = r.where(is_big).withColumn("same", F.row_number().over(equal))  # under shards / eps rows
+    large = [((x.id, x.crc, x.size, x.old, x.same), x.size, x.old) for x in big.toLocalIterator()]
     placed = plan_large(large, {i: b for i, (b, _) in by_old.items()}, shards, total)
     taken, lumps = [0] * shards, [0] * shards
     for key, size, old in large:
@@ -122,9 +125,11 @@ def assign(rows: DataFrame, shards: int = 24, id_col: str = "doc_id", size_col:
     block_rows = max(LEAST_BLOCK, -(-count // MAX_BLOCKS))
     parts = F.array(*[F.lit(-(-by_old.get(i, (0, 0))[1] // block_rows) or 1) for i in range(shards)])
     h = F.xxhash64("id", "crc", "size")
-    place = spark.createDataFrame([(*k, to) for k, to in placed.items()], f"id {r.schema['id'].dataType.simpleString()}, crc long, size long, old int, to int")
-    on = [F.col("a.id").eqNullSafe(F.col("p.id")), *(F.col(f"a.{c}") == F.col(f"p.{c}") for c in ("crc", "size", "old"))]
-    blocks = r.withColumns({"h": h, "block": F.pmod(h, parts[F.col("old")]).cast("int")}).alias("a").join(F.broadcast(place).alias("p"), on, "left").select("a.*", "to")
+    place = spark.createDataFrame([(*k, to) for k, to in placed.items()], f"id {r.schema['id'].dataType.simpleString()}, crc long, size long, old int, same int, to int")
+    on = [F.col("a.id").eqNullSafe(F.col("p.id")), *(F.col(f"a.{c}") == F.col(f"p.{c}") for c in ("crc", "size", "old", "same"))]
+    placed_rows = big.alias("a").join(F.broadcast(place).alias("p"), on).select("a.id", "a.size", "a.crc", "a.old", "to")
+    blocks = r.where(~is_big).withColumn("to", F.lit(None).cast("int")).unionByName(placed_rows)
+    blocks = blocks.withColumns({"h": h, "block": F.pmod(h, parts[F.col("old")]).cast("int")})
     blocks = blocks.withColumn("load", F.when(F.col("to").isNull(), F.col("size")).otherwise(0))
     inside = Window.partitionBy("old", "block").orderBy("h", "id", "crc", "size")
     run = blocks.withColumn("run", F.sum("load").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("load"))
@@ -160,7 +165,7 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id",
     number = lambda d, *by: d.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*by)))
     slots = number(slots, "shard", "slot").join(F.broadcast(touched), "shard", "left_semi")
     both = number(rows, "_h").alias("a").join(slots.alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._size") == F.col("b._size")) & (F.col("a._crc") == F.col("b._crc")) & (F.col("a._old") == F.col("b._old")) & (F.col("a._n") == F.col("b._n")))
-    rows = both.select(*[F.col(f"a.{c}") for c in docs.columns], "shard", "slot").repartition("shard", F.floor(F.col("slot") / 1_000_000))
+    rows = both.select(*[F.col(f"a.{c}") for c in docs.columns], "shard", "slot").repartition("shard", F.floor(F.col("slot") / FILE_ROWS))
     rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
 
 
