@@ -6,12 +6,14 @@ its tag is, what its class, id and role say, how much text it has and how much o
 from labelled pages (llm/html_pages.py, or pages given). Sum-product messages go up the tree and down again; they give
 the exact marginal of each node. A piece of text belongs to the main text if its element's marginal is at least a half.
 
-Scripts, styles, comments, form controls and the head never hold text. Character references are decoded, white space in a
-block becomes one space, blocks are joined by an empty line in page order. Nothing is dropped by length.
+Pages are read as HTML has it: quotes count only after an equals sign, names are compared part by part, time is linear in
+length and depth. Scripts, styles, comments, form controls and the head never hold text. Character references are decoded, white
+space in a block becomes one space, blocks are joined by an empty line in page order. Nothing is dropped by length.
 
 Cases: null and empty html, and pages without content, give empty text; unclosed and stray tags are repaired by the usual
 rules (a new block ends an open paragraph); a page cut anywhere is read as far as it goes; text outside of any element
-counts as the body's.
+counts as the body's, so that a page of plain text is its own main text; repeated rows get equal results; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -28,60 +30,116 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrid.llm.common import table
-from sitegrid.llm.html_pages import LABELLED
+from sitegrid.llm.html_pages import HELD_OUT, LABELLED  # noqa: F401
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]+(?:>|\Z)", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_GAP = re.compile(r"[\s/]*")
+#: A quote opens a value after an equals sign only; one that isn't closed takes the rest of the page, as in browsers.
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
 _SPACE = re.compile(r"\s+")
-_TAIL = re.compile(r"<[a-zA-Z/!?][^<]*\Z")
 #: Fixed by HTML: elements whose text is never shown as text, without end tags, and those that break a line of text.
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("head select option button input datalist".split())
 #: An open element of the first kind ends where one of the second begins.
+CELLS = frozenset(("td", "th", "li", "button"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KINDS = {"article": "main", "main": "main", "nav": "nav", "menu": "nav", "footer": "foot", "header": "head", "aside": "side", "form": "form", "button": "form", "select": "form", "fieldset": "form", "dialog": "side", "body": "body", "html": "body", "head": "body", "p": "p", "blockquote": "p", "pre": "p", "h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "div": "div", "section": "div", "a": "a"}
-#: What names say: parts of class, id and role.
-NAMES = {"bad": "nav menu breadcrumb footer sidebar side-bar side_bar complementary banner promo cookie consent notice alert popup modal newsletter subscribe share social related recommend comment disqus reply widget toolbar pagination login signup sponsor advert toc copyright contentinfo navigation outbrain taboola".split(), "good": "content article post entry story body text main".split()}
-_AD = re.compile(r"(?:^|[\s_-])(?:ads?|adbox|adsense)(?:$|[\s_-])")
+#: What names say: whole parts of class, id and role, or two parts next to each other; a plural counts as its singular.
+NAMES = {
+    "bad": set("nav menu topnav breadcrumb footer sidebar complementary banner promo promotion cookie consent popup modal newsletter comment disqus pagination login signup sponsor sponsored advert advertisement ad adbox adsense toc contentinfo navigation outbrain taboola navbar masthead commentlist commentsection adbanner pagefooter siteheader siteheading cookiebar".split()),
+    "weak": set("notice alert subscribe share sharing social related recommend recommended reply widget toolbar copyright side tag".split()),
+    "good": set("content article post entry story body text main".split()),
+}
+_PART = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("attr", "kids", "label", "links", "parent", "tag", "text")
+    """names: class, id and role; y: a label, in labelled pages; own: words right in it; link, hidden: it lies in such an element."""
+
+    __slots__ = ("hidden", "kids", "label", "link", "links", "names", "own", "parent", "tag", "text", "y")
+
+    def __init__(self, tag: str, names: str, y: str | None, parent: Node | None):
+        self.tag, self.names, self.y, self.parent, self.kids, self.text, self.links, self.own, self.label = tag, names, y, parent, [], 0, 0, 0, None
+        self.link = tag == "a" or bool(parent and parent.link)
+        self.hidden = tag in HIDDEN or bool(parent and parent.hidden)
+
+
+def attributes(page: str, at: int) -> tuple[int, dict[str, str]] | None:
+    """From the end of a tag's name: where the tag ends, and its attributes; None if the page ends before."""
+    got: dict[str, str] = {}
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return None
+        if page[at] == ">":
+            return at + 1, got
+        m = _ATTR.match(page, at)
+        got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
+
+
+class Open:
+    """The open elements, and where among them each tag, blocks and cells stand, so that no step walks down a deep page."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], defaultdict(list)
+
+    def kinds(self, tag: str) -> list[str]:
+        return [tag, *["#block"] * (tag in BLOCK), *["#cell"] * (tag in CELLS)]
+
+    def push(self, node: Node) -> None:
+        for k in self.kinds(node.tag):
+            self.at[k].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            for k in self.kinds(self.stack.pop().tag):
+                self.at[k].pop()
 
-    def __init__(self, tag: str, attr: str, parent: Node | None):
-        self.tag, self.attr, self.parent, self.kids, self.text, self.links, self.label = tag, attr, parent, [], 0, 0, None
+    def last(self, kind: str) -> int:
+        return self.at[kind][-1] if self.at[kind] else 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     """Nodes, parents first, and the pieces of text in page order with their elements; None: a line ends here."""
-    root = Node("html", "", None)
-    nodes, stack, pieces = [root], [root], []
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if not m:
-            text = _TAIL.sub("", text)  # a tag cut off at the end
-        if text and not any(n.tag in HIDDEN for n in stack):
-            pieces.append((stack[-1], html.unescape(text)))
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+    root = Node("html", "", None, None)
+    nodes, opened, pieces = [root], Open(root), []
+    stack, at, end, text_from = opened.stack, 0, len(page), 0
+
+    def text(to: int) -> None:
+        if to > text_from and not stack[-1].hidden:
+            pieces.append((stack[-1], html.unescape(page[text_from:to])))
+
+    while (at := page.find("<", at)) >= 0:
+        if m := _COMMENT.match(page, at):
+            text(at)
+            at = text_from = m.end()
             continue
-        tag = m[2].lower()
+        m = _NAME.match(page, at)
+        if not m:  # a mere sign
+            at += 1
+            continue
+        text(at)
+        found = attributes(page, m.end())
+        if found is None:  # a tag cut off at the end
+            at = text_from = end
+            break
+        at, attr = found
+        text_from, tag = at, m[2].lower()
         if m[1]:
             if tag in BLOCK:
                 pieces.append((stack[-1], None))
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth and not (tag not in BLOCK and any(n.tag in BLOCK for n in stack[depth + 1 :])):
-                del stack[depth:]
+            depth = opened.last(tag)
+            if depth and (tag in BLOCK or opened.last("#block") < depth):
+                opened.cut(depth)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = text_from = close.end() if close else end
             continue
         if tag == "br":
             pieces.append((stack[-1], " "))
@@ -89,64 +147,69 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             if tag == "hr":
                 pieces.append((stack[-1], None))
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in stack[1:]):
+        if tag in ("html", "body") and opened.last(tag):
             continue
         if tag in BLOCK:
             pieces.append((stack[-1], None))
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-            if k and not any(n.tag in ("td", "th", "li", "button") for n in stack[k + 1 :]):
-                del stack[k:]
+            k = opened.last("p")
+            if k and opened.last("#cell") < k:
+                opened.cut(k)
         if tag in CLOSES and stack[-1].tag in CLOSES[tag]:
-            stack.pop()
+            opened.cut(len(stack) - 1)
         if tag == "body" and stack[-1].tag == "head":
-            stack.pop()
-        node = Node(tag, m[3], stack[-1])
+            opened.cut(len(stack) - 1)
+        node = Node(tag, " ".join(attr[k] for k in ("class", "id", "role") if k in attr), attr.get("y"), stack[-1])
         stack[-1].kids.append(node)
         nodes.append(node)
-        stack.append(node)
-    for node, text in pieces:
-        if text and (n := len(text.split())):
+        opened.push(node)
+    else:
+        text(end)
+    for node, piece in pieces:
+        if piece and (n := len(piece.split())):
             node.text += n
-            link = False
-            up = node
-            while up:
-                link |= up.tag == "a"
-                up = up.parent
-            node.links += n * link
+            node.links += n * node.link
+            node.own += n
     for node in reversed(nodes):
         if node.parent:
             node.parent.text += node.text
             node.parent.links += node.links
+            node.parent.own += node.own * (node.tag not in BLOCK)
     return nodes, pieces
 
 
 @lru_cache(100_000)
-def said(attr: str) -> tuple[str, str | None]:
-    """What an element's names say; its label, if it has one."""
-    got = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attr)}
-    names = " ".join(got.get(k, "") for k in ("class", "id", "role"))
-    bad = bool(_AD.search(names)) or any(x in names for x in NAMES["bad"])
-    return "bad" if bad else "good" if any(x in names for x in NAMES["good"]) else "none", got.get("y")
+def said(names: str) -> str:
+    """What an element's names say."""
+    parts = [x.removesuffix("s") if len(x) > 3 else {"ads": "ad"}.get(x, x) for x in _PART.findall(re.sub("([a-z])([A-Z])", r"\1 \2", names).lower())]
+    parts += [a + b for a, b in zip(parts, parts[1:])]
+    return next((k for k, v in NAMES.items() if not v.isdisjoint(parts)), "none")
 
 
 def kind(node: Node) -> str:
-    return KINDS.get(node.tag, "other")
+    k = KINDS.get(node.tag, "other")
+    return f"{k} with text" if k == "body" and node.own >= 12 else k
 
 
 def features(node: Node) -> tuple:
     """An element inside a line says little by itself: its label is nearly its parent's."""
-    if node.tag not in BLOCK:
-        return (("inline names", said(node.attr)[0]),)
-    k, n = kind(node), node.text
-    return ("kind", k), ("names", said(node.attr)[0]), ("size", min(6, n.bit_length() // 2)), ("links", 0 if not n else min(3, 4 * node.links // n))
+    if node.tag not in BLOCK and node.parent:
+        return (("inline names", said(node.names)),)
+    k, n, names = kind(node), node.text, said(node.names)
+    out = ("kind", k), ("names", names), ("size", min(6, n.bit_length() // 2)), ("links", 0 if not n else min(3, 4 * node.links // n))
+    return (*out, ("weak", n >= 12 and 4 * node.links < n)) if names == "weak" else out
 
 
 def edges(node: Node) -> tuple[tuple, ...]:
     """Kinds of edge from the parent to this node, from general to special."""
     if node.tag not in BLOCK:
-        return ("edge",), ("edge", "inline"), ("edge", "inline", said(node.attr)[0])
-    own = (kind(node), said(node.attr)[0])
-    return ("edge",), ("edge", *own), ("edge", *own, kind(node.parent), said(node.parent.attr)[0])
+        return ("edge",), ("edge", "inline"), ("edge", "inline", said(node.names))
+    own = (kind(node), said(node.names))
+    return ("edge",), ("edge", *own), ("edge", *own, kind(node.parent), said(node.parent.names))
+
+
+def labelled(nodes: list[Node]) -> None:
+    for n in nodes:
+        n.label = int(n.y) if n.y in ("0", "1") else n.parent.label if n.parent else 0
 
 
 class Model:
@@ -160,9 +223,8 @@ class Model:
         self.root = [1.0, 1.0]
         for page in pages:
             nodes, _ = parse(page)
+            labelled(nodes)
             for n in nodes:
-                y = said(n.attr)[1]
-                n.label = int(y) if y in ("0", "1") else n.parent.label if n.parent else 0
                 total[n.label] += copies
                 for f in features(n):
                     count[f][n.label] += copies

@@ -34,4 +34,33 @@ and more of it.<div>A division with text inside it, as old pages have.</div><div
     # no telling container: paragraphs in the body
     """<html><body><h1 y="1">Bare page</h1><p y="1">Some text in a page that has no containers at all, as written by hand.</p><p y="1">Another one.</p>
 <ul class="nav" y="0"><li><a href="/">Home</a></li></ul><div class="popup alert" y="0">Alert: sign in.</div><p y="1">Closing words of it.</p></body></html>""",
+    # no markup at all; a body with nothing but lines
+    """<html y="1">A note without any markup, as some servers send them: a few sentences, one after the other, on a single subject.</html>""",
+    """<html y="1"><body y="1">Lines of an old page, straight in its body, with breaks between them and nothing else around them at all.<br>The second line, which says
+more on that.<br>And a third one, so that it ends.</body></html>""",
+    # asides within an article that advertise; a header and a footer of the site with a paragraph each
+    """<html><body y="0"><header class="site-header"><h1>The site</h1><p>All that is new in it, day by day.</p></header><article y="1"><h1>Its story</h1><p>The story begins in a small town by the sea.</p>
+<aside class="promotion" y="0"><p>Take part in our draw and win a journey for two.</p></aside><p>It goes on in a large one, far from it.</p><aside class="advert" y="0"><p>New shoes, made to last, at a good price.</p></aside>
+<p>And so it ends.</p></article><footer><p>Made by hand, with care, since the year ten.</p></footer></body></html>""",
+    # stray words in the body; names that mean nothing by themselves
+    """<html><body y="0">Skip to content<nav><a href="/">Home</a></nav><article y="1"><h1>Heading of it</h1><div class="social-history"><p>A paragraph on what people did together in
+those times, at some length, with no links in it.</p></div><div class="related-work"><p>Others have written on it before, and they said much the same as this, in more words.</p></div>
+<div class="share" y="0"><a href="#">Share</a> <a href="#">Send</a></div><div class="social" y="0"><a href="#">Like us</a></div></article><div class="related"><h3>Related</h3>
+<a href="/1">One</a> <a href="/2">Two</a></div><div class="widget"><a href="/t">Tags</a></div></body></html>""",
+]
+
+#: Pages that the model is not fitted on, to measure it.
+HELD_OUT = [
+    """<!doctype html><html><head><title>t</title></head><body y="0"><div id="page"><div id="masthead"><a href="/">Site</a></div><ul class="menu"><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul>
+<div id="main" y="1"><h1>On bridges</h1><p>A bridge carries a road over a river, and it has stood here for years.</p><p>It was built of stone.</p><table><tr><th>Year</th><td>1820</td></tr></table></div>
+<div class="sidebar"><h4>Latest</h4><ul><li><a href="/l">News of today</a></li></ul></div><div id="footer">All rights reserved.</div></div></body></html>""",
+    """<html><body y="0"><header role="banner"><h1>The Paper</h1><nav><a href="/w">World</a></nav></header><main><article class="post" y="1"><h2>Rain in the north</h2><p>Rain fell all night, and the fields are wet.</p>
+<aside class="promo" y="0"><p>Read the paper for a month, free of charge.</p></aside><p>Farmers were glad of it, they said on Monday.</p><ul><li>Ten towns</li><li>Two rivers</li></ul></article>
+<section id="comments"><h3>Comments</h3><div class="comment"><p>We had none here, says a reader in the south.</p></div></section></main><footer><p>About us. Contact.</p></footer></body></html>""",
+    """<html><body y="0"><div class="cookie-bar"><p>This site keeps cookies.</p><button>Fine</button></div><div class="wrapper"><div class="post-content" y="1"><h1>Bread</h1><p>Flour, water, salt: that is all it takes.</p>
+<blockquote>My mother baked on Fridays.</blockquote><pre>500 g flour</pre><p>Wait a day.</p></div><div class="share-buttons"><a href="#">Post</a><a href="#">Mail</a></div><div class="ads">Ovens, half price this week only.</div></div></body></html>""",
+    """<html><body y="1"><h2>Plain page</h2><p>Somebody wrote this by hand and put no boxes around it.</p><p>It has two paragraphs.</p><div class="nav" y="0"><a href="/">Back</a></div></body></html>""",
+    """<html><body y="0"><nav class="breadcrumbs"><a href="/">Home</a> &gt; <a href="/g">Garden</a></nav><article y="1"><header><h1>Apples</h1></header><section><h2>Sorts</h2><p>There are red ones and green ones, and some keep all winter.</p></section>
+<section><h2>Trees</h2><p>Cut them in March.</p><figure><img src="x"><figcaption>A tree in March.</figcaption></figure></section><footer y="0"><a href="/p">Print</a></footer></article>
+<div class="newsletter-signup"><p>Garden letters each week in your post box.</p><form><input><button>Go</button></form></div></body></html>""",
 ]
