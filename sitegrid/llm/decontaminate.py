@@ -26,7 +26,7 @@ WINDOW = 13
 MAX_BYTES = 1_000_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: all but the other ASCII characters
-HITS = "n_words long, ranges array<struct<first:int,last:int>>, item_ids array<long>"
+HITS = "n_words long, ranges array<struct<first:int,last:int,start:int,end:int>>, item_ids array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,11 +40,11 @@ def windows_of(text: str | None, size: int = WINDOW) -> set[str]:
     return {f" {b' '.join(r).decode('latin-1')} " for r in runs}
 
 
-def automaton(items: list[tuple[int, str]], size: int = WINDOW):
+def automaton(items: list[tuple[str, str]], size: int = WINDOW):
     """Each window's value: its number of words and the ids of its items."""
     import ahocorasick
 
-    owners: dict[str, set[int]] = {}
+    owners: dict[str, set[str]] = {}
     for item, text in items:
         for w in windows_of(text, size):
             owners.setdefault(w, set()).add(item)
@@ -56,7 +56,7 @@ def automaton(items: list[tuple[int, str]], size: int = WINDOW):
     return a
 
 
-def scan(a, text: str | None) -> tuple[int, list[tuple[int, int]], list[int]]:
+def scan(a, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
     """Number of words; merged ranges of hit words, both ends included; ids of items with a hit."""
     words = words_of(text)
     if not words or not len(a):
@@ -87,16 +87,28 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(len(raw[: at[s][0]].decode()), len(raw[: at[e][1]].decode())) for s, e in ranges]
 
 
-def blocks(bench: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about max_bytes; the number of blocks follows from the size of the benchmark."""
-    b = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    size = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = 1 + int(size) // max_bytes
-    return [[(r.i, r.t) for r in b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toLocalIterator()] for k in range(n)]
+def blocks(bench: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[list[tuple[str, str]]]:
+    """The items, read once, in blocks that end where they reach max_bytes."""
+    b = bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    out: list[list[tuple[str, str]]] = [[]]
+    size = 0
+    for r in b.orderBy("i", "t").toLocalIterator():
+        if size >= max_bytes:
+            out.append([])
+            size = 0
+        out[-1].append((r.i, r.t))
+        size += len(r.t.encode())
+    return out
+
+
+def located(text: str | None, ranges: list[tuple[int, int]]) -> list[dict]:
+    """Ranges of words with the characters of the original text that they cover."""
+    return [{"first": f, "last": n, "start": a, "end": b} for (f, n), (a, b) in zip(ranges, spans(text, ranges))] if ranges else []
 
 
 def with_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, max_bytes: int = MAX_BYTES, out: str = "hits") -> DataFrame:
-    """docs and a struct column: n_words, ranges of hit words, item_ids. No shuffle, all columns stay."""
+    """docs and a struct column (replacing one of its name): n_words, ranges of hit words with their character offsets in the
+    text (start, end; half open), item_ids as strings. No shuffle, all other columns stay."""
     sc = docs.sparkSession.sparkContext
 
     def one(items):
@@ -107,18 +119,18 @@ def with_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_co
             a = automaton(shared.value, size)
             for texts in it:
                 rows = [scan(a, t) for t in texts]
-                yield pd.DataFrame({"n_words": [r[0] for r in rows], "ranges": [[{"first": s, "last": e} for s, e in r[1]] for r in rows], "item_ids": [r[2] for r in rows]})
+                yield pd.DataFrame({"n_words": [r[0] for r in rows], "ranges": [located(t, r[1]) for t, r in zip(texts, rows)], "item_ids": [r[2] for r in rows]})
 
         return hits(F.col(text_col))
 
     @F.pandas_udf(HITS)
-    def united(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def united(a: pd.DataFrame, b: pd.DataFrame, texts: pd.Series) -> pd.DataFrame:
         pairs = lambda xs: [(x["first"], x["last"]) for x in xs]
-        return pd.DataFrame({"n_words": a.n_words, "ranges": [[{"first": s, "last": e} for s, e in merge(pairs(x) + pairs(y))] for x, y in zip(a.ranges, b.ranges)], "item_ids": [sorted({*x, *y}) for x, y in zip(a.item_ids, b.item_ids)]})
+        return pd.DataFrame({"n_words": a.n_words, "ranges": [located(t, merge(pairs(x) + pairs(y))) for x, y, t in zip(a.ranges, b.ranges, texts)], "item_ids": [sorted({*x, *y}) for x, y in zip(a.item_ids, b.item_ids)]})
 
     first, *rest = [one(items) for items in blocks(bench, item_col, item_text, max_bytes)]
     for other in rest:
-        first = united(first, other)
+        first = united(first, other, F.col(text_col))
     return docs.withColumn(out, first)
 
 
@@ -130,7 +142,12 @@ def contaminated(hits: str = "hits"):
     return (n_hit(hits) > 0) & (20 * n_hit(hits) >= F.col(f"{hits}.n_words"))
 
 
+def hit_chars(hits: str = "hits"):
+    """Characters of the original text from the first to the last letter of each hit range."""
+    return F.aggregate(F.col(f"{hits}.ranges"), F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.transform("hits.item_ids", lambda i: i.cast("string")))
-    return df.select("doc_id", F.col("hits.n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("hits.item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    items = F.array_join(F.array_sort("hits.item_ids"), ",").cast("binary")
+    return df.select("doc_id", F.col("hits.n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("hits.item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), contaminated().alias("contaminated"), hit_chars().alias("hit_chars"))

@@ -18,7 +18,8 @@ Match thresholds are five standard deviations under what a pair right at the ask
 a few cases of a million; nothing is capped.
 
 Cases: lower-casing is A-Z only; fewer words than a shingle are one shingle; null, empty and blank texts have an empty set and
-stay alone; repeated rows are copies; rows without an id are left out; an empty table gives no rows.
+stay alone; repeated rows are copies; an empty table gives no rows. A row without an id takes part like any other, under a number
+from NO_ID on for its text; ids are below NO_ID. It is no group's name: its group's is the smallest id in it, or null.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from sitegrid.llm.common import table, written
 
 COORDS, FINE, ROUNDS = 32, 1024, 3
+NO_ID = 1 << 62
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -177,7 +179,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """i (id), n (size of the set), comp (smallest id of the group), one row for each row of docs."""
     spark = docs.sparkSession
     match, fine = least_matches(COORDS, percent), least_matches(FINE, percent, 0.25)
-    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL")
+    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    nameless = F.xxhash64(F.coalesce("t", F.lit(""))).bitwiseAND(NO_ID - 1) + NO_ID
+    d = d.select(F.coalesce("i", nameless).alias("i"), "t")
     sk = written(sketches(d, size), "sketches")
     full = sk.where("n > 0")
     classes = written(full.groupBy("f1", "f2", "n").agg(F.min("i").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "classes")
@@ -242,9 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not links.isEmpty():
             comps = components(links.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
-    return sk.join(written(named, "named"), ["f1", "f2", "n"], "left").select("i", "n", F.coalesce("comp", "i").alias("comp"))
+    got = sk.join(written(named, "named"), ["f1", "f2", "n"], "left").select("i", "n", F.coalesce("comp", "i").alias("comp"))
+    return got.select(*[F.when(F.col(c) < NO_ID, F.col(c)).alias(c) if c != "n" else F.col("n") for c in ("i", "n", "comp")])
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
-    return got.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), (F.col("i") == F.col("comp")).alias("kept"))
+    return got.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("i").eqNullSafe(F.col("comp")).alias("kept"))

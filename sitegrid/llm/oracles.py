@@ -15,17 +15,20 @@ FROM documents d JOIN c ON c.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 WORDS = rf"regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SPLIT = rf"regexp_split_to_array({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP6 = rf"""
-WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+WITH d AS (SELECT doc_id, {WORDS} AS ws, {SPLIT} AS gaps FROM documents),
 b AS (SELECT item_id, {WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (SELECT DISTINCT item_id, least(13, len(ws)) AS k, unnest(list_transform(range(1, greatest(2, len(ws) - 11)), lambda i: array_to_string(ws[i:i+12], ' '))) AS win FROM b WHERE len(ws) > 0),
 ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT doc_id, k, i, array_to_string(ws[i:i+k-1], ' ') AS win FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
 h AS (SELECT doc_id, item_id, dw.k, i FROM dw JOIN bw ON dw.win = bw.win AND dw.k = bw.k),
-g AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM h),
+g AS (SELECT x.doc_id, count(*) AS n_hit, CAST(sum(length(d.ws[x.p]) + CASE WHEN y.p IS NULL THEN 0 ELSE length(d.gaps[x.p + 1]) END) AS BIGINT) AS hit_chars
+FROM pos x JOIN d ON d.doc_id = x.doc_id LEFT JOIN pos y ON y.doc_id = x.doc_id AND y.p = x.p + 1 GROUP BY x.doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-coalesce(n_hit > 0 AND 20 * n_hit >= len(d.ws), false) AS contaminated
+coalesce(n_hit > 0 AND 20 * n_hit >= len(d.ws), false) AS contaminated, coalesce(hit_chars, 0) AS hit_chars
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 

@@ -66,6 +66,13 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert got == brute_groups(texts, 3, 85)
 
 
+def test_rows_without_an_id_are_grouped(spark):
+    t = [" ".join(f"w{k}" for k in range(40)), "other words here " * 5, None]
+    d = spark.createDataFrame([(5, t[0]), (None, t[0]), (9, t[0] + " w99"), (None, t[1]), (None, t[2]), (5, t[0])], "doc_id long, text string")
+    got = Counter((r.i, r.comp, r.n > 0) for r in near_dedup.near_duplicates(d, size=3, percent=85).collect())
+    assert got == {(5, 5, True): 2, (None, 5, True): 1, (9, 5, True): 1, (None, None, True): 1, (None, None, False): 1}
+
+
 def test_no_rows_no_groups(spark):
     assert near_dedup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 
@@ -259,18 +266,20 @@ def test_hits_are_those_of_brute_force(spark):
     rng = random.Random(2)
     vocab = [f"v{i}" for i in range(60)] + ["é", "x9"]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 3, 12, 13, 30])))) for i in range(20)] + [(3, None), (None, "v1 v2")]
+    named = lambda i: None if i is None else f"item-{i}"
     texts = [*ODD]
     for _ in range(30):
         w = [rng.choice(vocab) for _ in range(40)]
         s = words(rng.choice(items)[1])
         at = rng.randrange(40)
         texts.append(", ".join([*w[:at], *s, *w[at:]]).title())
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame([(named(i), t) for i, t in items], "item_id string, text string")
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
     for i, t in items:
         w = low(t)
         if i is not None:
+            i = f"item-{i}"
             for x in [w[k : k + 13] for k in range(len(w) - 12)] if len(w) >= 13 else [w] if w else []:
                 windows.setdefault(tuple(x), set()).add(i)
     for max_bytes in (10**6, 300):
@@ -283,6 +292,8 @@ def test_hits_are_those_of_brute_force(spark):
                         hit |= set(range(k, k + len(x)))
                         ids |= owners
             assert (r.hits.n_words, r.k, set(r.hits.item_ids)) == (len(w), len(hit), ids)
+            for x in r.hits.ranges:  # offsets into the text as it is
+                assert low(r.text[x.start : x.end]) == w[x.first : x.last + 1] and r.text[x.start : x.end] == r.text[x.start : x.end].strip(" ,.")
 
 
 def test_spans_point_into_the_text():
@@ -536,6 +547,30 @@ def test_queries_give_a_row_for_each_row(spark, name):
         assert all(h == (zlib.crc32(str(i).encode()) % m[0] == m[1]) for i, h in zip(got[key], got.held_out))
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, columns whose names the stages use, and no rows at all."""
+    import corpus_pipeline
+    from pyspark.sql import DataFrame
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = docs(spark, ODD).select((F.col("doc_id") + 1000).alias("doc_id"), "text", *[F.lit(None).cast(d.schema[c].dataType).alias(c) for c in ("lang", "source", "n_chars")])
+    some = d.unionByName(odd).unionByName(d.limit(3)).unionByName(odd.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    some = some.withColumns({c: F.lit(k) for k, c in enumerate(["score", "hits", "found", "bpe", "row", "i", "comp"])})
+    for name, rows in (("some", some), ("none", some.limit(0))):
+        out = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{out}/documents.parquet")
+        for t in ("benchmark", "labels"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{out}/{t}.parquet")
+        now: DataFrame = rows
+        for stage, f in corpus_pipeline.STAGES:
+            now = f(spark, now, out)
+            if stage != "byte_bpe":
+                assert sorted(now.columns) == sorted(rows.columns), stage
+                now.write.parquet(f"{out}/{stage}")
+                now = spark.read.parquet(f"{out}/{stage}")
+        assert now.count() <= rows.count()
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
