@@ -3,12 +3,16 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of documents; the
 last returns token digests. run() applies them in order, each written as Parquet and read again.
 
-- toxicity drops documents scored 0.5 or more; learned from labels, held-out rows left out.
-- language drops documents without a language (`und`) and fills in a missing lang.
-- near_dedup keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more); documents
-  without an id stay.
-- decontaminate drops documents of whose words at least a twentieth lie in windows of the benchmark.
-- byte_bpe encodes and decodes what is left.
+- toxicity drops documents scored 0.5 or more; learned from labels, held-out rows left out. Null and empty texts score by
+  the base rate and stay; each of several rows with one id is scored by itself.
+- language drops documents without a language (`und`: null texts and those without a letter) and fills in a missing lang.
+- near_dedup keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more); of rows that
+  have both id and text in common one stays; documents without an id stay, as do those without a word.
+- decontaminate drops documents of whose words at least a twentieth lie in windows of the benchmark; documents without a
+  word stay, with an empty benchmark all do.
+- byte_bpe encodes and decodes what is left, row by row.
+
+Further columns stay, whatever their names, up to the last stage. An empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrid.llm import byte_bpe, decontaminate, language, near_dedup, toxicity
-from sitegrid.llm.common import table, written
+from sitegrid.llm.common import fresh, table, written
 
 SHINGLE, PERCENT = 5, 80
 
@@ -26,26 +30,28 @@ ORACLE_SQL = None
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.trained(spark, sf_dir, docs)
-    return docs.withColumn("_score", toxicity.score(spark, model, F.col("text"))).where("_score < 0.5").drop("_score")
+    model, c = toxicity.trained(spark, sf_dir, docs), fresh(docs, "score")
+    return docs.withColumn(c, toxicity.score(spark, model, F.col("text"))).where(F.col(c) < 0.5).drop(c)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = docs.withColumn("_p", language.predict(spark, language.trained(docs), F.col("text")))
-    kept = found.where(F.col("_p.lang_pred") != language.UND)
-    return kept.withColumn("lang", F.coalesce("lang", "_p.lang_pred")).drop("_p")
+    c = fresh(docs, "found")
+    found = docs.withColumn(c, language.predict(spark, language.trained(docs), F.col("text")))
+    kept = found.where(F.col(f"{c}.lang_pred") != language.UND)
+    return kept.withColumn("lang", F.coalesce("lang", f"{c}.lang_pred")).drop(c)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_duplicates(docs, size=SHINGLE, percent=PERCENT)
     stay = groups.where("i = comp").select(F.col("i").alias("doc_id")).distinct()
-    one = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id IS NULL"))
+    one = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), out="_hits")
-    return found.where(~decontaminate.contaminated("_hits")).drop("_hits")
+    c = fresh(docs, "hits")
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), out=c)
+    return found.where(~decontaminate.contaminated(c)).drop(c)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
