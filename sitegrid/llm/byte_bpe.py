@@ -9,7 +9,7 @@ Decoding looks each id's bytes up in a literal array and concatenates them. Then
 order of each text.
 
 The fold runs once for each of the DICT most frequent words of the corpus; these go to all tasks as a dictionary of bounded
-size. Other words are folded once in each chunk that has them, by the same expression: they are in 1.3 chunks each, and one
+size. Other words are folded once in each chunk that has them, by the same expression: most are in one or two, and one
 fold for the whole corpus would need the coded texts written and shuffled, about twice the input. So no text is
 shuffled, and any word gets the same ids either way.
 
@@ -38,7 +38,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from sitegrid.llm.chunks import chunks_of, frequent, loosen, rows_and_text, squeeze
 from sitegrid.llm.common import table, written
 
-DICT, BUCKETS, LONG = 500_000, 32_749, 128
+DICT, BUCKETS, LONG = 300_000, 32_749, 128
 NONE = 1 << 25  # over all ranks
 _ID, _PLACE = 1 << 17, 1 << 20
 

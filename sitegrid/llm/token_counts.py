@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from sitegrid.llm.chunks import chunks_of, frequent, loosen, rows_and_text, squeeze
 from sitegrid.llm.common import table, written
 
-DICT, SPECIAL, BATCH = 500_000, "<|endoftext|>", 1_000
+DICT, SPECIAL, BATCH = 300_000, "<|endoftext|>", 1_000
 
 
 def pieces(words: DataFrame, vocabulary: str) -> DataFrame:
