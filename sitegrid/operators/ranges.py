@@ -53,11 +53,22 @@ def keep_selected(calls: DataFrame, selection: DataFrame) -> DataFrame:
     return calls.join(s, on, "left_semi")
 
 
-def to_intervals(sites: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of consecutive positions as half-open intervals."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    runs = sites.select(*keys, "pos").distinct().withColumn("_run", F.col("pos") - F.row_number().over(w))
-    return runs.groupBy(*keys, "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("_run")
+def to_intervals(sites: DataFrame, keys: list[str], width: int = 1 << 16) -> DataFrame:
+    """Runs of consecutive positions as half-open intervals.
+
+    Runs are found inside bins of the axis; those that touch at a bin's edge are joined by a window over runs that reach an
+    edge, of which a bin has two at most. No contig is one task's positions.
+    """
+    w = Window.partitionBy(*keys, "_b").orderBy("pos")
+    runs = sites.select(*keys, "pos").distinct().withColumn("_b", F.floor(F.col("pos") / width))
+    runs = runs.withColumn("_run", F.col("pos") - F.row_number().over(w))
+    runs = runs.groupBy(*keys, "_b", "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    edge = (F.col("start") % width == 0) | (F.col("end") % width == 0)
+    v = Window.partitionBy(*keys).orderBy("start")
+    new = (F.col("start") != F.coalesce(F.lag("end").over(v), F.lit(-1))).cast("long")
+    cut = runs.where(edge).withColumn("_new", new).withColumn("_group", F.sum("_new").over(v))
+    joined = cut.groupBy(*keys, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.where(~edge).select(*keys, "start", "end").unionByName(joined.select(*keys, "start", "end"))
 
 
 def nearest_distance(sites: DataFrame, ref: DataFrame, width: int = 1 << 16) -> DataFrame:
@@ -71,11 +82,13 @@ def nearest_distance(sites: DataFrame, ref: DataFrame, width: int = 1 << 16) ->
     ends = r.groupBy("contig", "_b").agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
     all_bins = ends.unionByName(sites.select("contig", bin_.alias("_b")).distinct(), allowMissingColumns=True).groupBy("contig", "_b").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     w = Window.partitionBy("contig").orderBy("_b")
-    around = all_bins.select("contig", "_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    back = Window.partitionBy("contig").orderBy(F.desc("_b"))  # what follows, as what precedes in falling order: frames only grow
+    around = all_bins.select("contig", "_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_lo", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
     both = sites.withColumn("_b", bin_).withColumn("_site", F.lit(True)).unionByName(r.withColumn("_site", F.lit(False)), allowMissingColumns=True)
     p = F.when(~F.col("_site"), F.col("pos"))
     v = Window.partitionBy("contig", "_b").orderBy("pos")
-    near = both.withColumns({"_l": F.last(p, True).over(v.rangeBetween(Window.unboundedPreceding, 0)), "_r": F.first(p, True).over(v.rangeBetween(0, Window.unboundedFollowing))}).where("_site").join(around, ["contig", "_b"], "left")
+    u = Window.partitionBy("contig", "_b").orderBy(F.desc("pos"))
+    near = both.withColumns({"_l": F.last(p, True).over(v.rangeBetween(Window.unboundedPreceding, 0)), "_r": F.last(p, True).over(u.rangeBetween(Window.unboundedPreceding, 0))}).where("_site").join(around, ["contig", "_b"], "left")
     d = F.least(F.col("pos") - F.coalesce("_l", "_before"), F.coalesce("_r", "_after") - F.col("pos"))
     return near.withColumn("distance", d).drop("_b", "_site", "_l", "_r", "_before", "_after")
 

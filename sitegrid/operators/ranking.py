@@ -55,6 +55,15 @@ def auroc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
     return r.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos > 0) & (neg > 0), won / (pos * neg)).alias("auroc"))
 
 
+def areas(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """auroc and average_precision in one pass: n_pos, n_neg, auroc, auprc."""
+    r = running(by_score(df, label, score, by), by, "score", ["p", "n"], descending=True)
+    tp, fp, pos, neg = F.col("cum_p"), F.col("cum_n"), F.sum("p"), F.sum("n")
+    # a negative of lower score is won by each positive: all of them less those met so far
+    won = pos * neg - F.sum(F.col("p") * (fp - F.col("n") / 2.0))
+    return r.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos > 0) & (neg > 0), won / (pos * neg)).alias("auroc"), F.when(pos > 0, F.sum(tp / (tp + fp) * F.col("p")) / pos).alias("auprc"))
+
+
 def pr_curve(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """threshold, tp, fp, precision, recall at each distinct score, highest first."""
     r = running(by_score(df, label, score, by), by, "score", ["p", "n"], descending=True)
@@ -93,6 +102,28 @@ def roc_grid(df: DataFrame, label: str, score: str, by: list[str], grid: list[fl
     return near.select(*by, F.col("at").alias("fpr"), F.coalesce(t, F.col("lo.tpr")).alias("tpr"))
 
 
+def median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Exact median by group, from counts of distinct values: a hot group is no task's rows. Nulls don't count."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("k"))
+    r = running(g, by, "_v", ["k"]).join(g.groupBy(*by).agg(F.sum("k").alias("_n")), by)
+    at = lambda rank: F.min(F.when(F.col("cum_k") >= rank, F.col("_v")))
+    return r.groupBy(*by).agg(((at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor(F.col("_n") / 2) + 1)) / 2).alias("median"))
+
+
+def auroc_without(df: DataFrame, label: str, score: str, by: list[str], part: str) -> DataFrame:
+    """AUROC by group without each value of a further column in turn (left_out): the pairs of all rows, less those in
+    which one row or both are of that part. No row is copied."""
+    all_ = running(by_score(df, label, score, by), by, "score", ["p", "n"])
+    own = running(by_score(df, label, score, [*by, part]), [*by, part], "score", ["p", "n"])
+    tot = all_.groupBy(*by).agg(F.sum("p").alias("_pos"), F.sum("n").alias("_neg"), F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2)).alias("_won"))
+    at = all_.select(*by, "score", F.col("p").alias("_p"), F.col("n").alias("_n"), F.col("cum_p").alias("_cp"), F.col("cum_n").alias("_cn"))
+    j = own.join(at, [*by, "score"]).join(tot, by)
+    lost = F.col("p") * (F.col("_cn") - F.col("_n") / 2) + F.col("n") * (F.col("_pos") - F.col("_cp") + F.col("_p") / 2) - F.col("p") * (F.col("cum_n") - F.col("n") / 2)
+    g = j.groupBy(*by, F.col(part).alias("left_out")).agg((F.max("_pos") - F.sum("p")).alias("n_pos"), (F.max("_neg") - F.sum("n")).alias("n_neg"), (F.max("_won") - F.sum(lost)).alias("_won"))
+    ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return g.select(*by, "left_out", "n_pos", "n_neg", F.when(ok, F.col("_won") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
+
+
 def rank_calibrate(scores: DataFrame, score: str, by: list[str]) -> DataFrame:
     """Average rank over n, by group, joined back by score."""
     d = scores.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("k"))
@@ -107,12 +138,30 @@ def counts_at(label: Column, pred: Column) -> dict[str, Column]:
 
 
 def binary_metrics(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    """F1 (micro, of both classes, macro), precision, recall, AUPRC, AUROC at the threshold of best F1; n_pos and n_test."""
-    t = best_threshold(df, label, score, by).select(*by, "threshold")
-    d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).join(F.broadcast(t) if not by else t, by)
-    c = d.groupBy(*by).agg(*[v.alias(k) for k, v in counts_at(F.col(label), (F.col(score) >= F.col("threshold")).cast("int")).items()], F.max("threshold").alias("threshold"), F.count("*").alias("n_test"))
+    """F1 (micro, of both classes, macro), precision, recall, AUPRC, AUROC at the threshold of best F1; n_pos and n_test.
+
+    All of them come from one pass over the collapsed scores: the curve's point at the threshold has its counts."""
+    r = running(by_score(df, label, score, by), by, "score", ["p", "n"], descending=True)
+    tp, fp = F.col("cum_p"), F.col("cum_n")
+    total = r.groupBy(*by).agg(F.sum("p").alias("_pos"), F.sum("n").alias("_neg"))
+    c = r.join(total, by) if by else r.crossJoin(F.broadcast(total))
+    precision = tp / (tp + fp)
+    recall = tp / F.col("_pos")
+    f1 = F.when(F.col("_pos") > 0, F.round(2 * precision * recall / (precision + recall + 1e-8), 12)).otherwise(0.0)
+    at = F.max_by(F.struct("score", tp.alias("tp"), fp.alias("fp")), F.struct(f1, -F.col("score")))
+    pos, neg = F.max("_pos"), F.max("_neg")
+    # of one class only the threshold is 0.5
+    half = F.col("score") >= 0.5
+    low = F.struct(F.lit(0.5).alias("score"), F.coalesce(F.sum(F.when(half, F.col("p"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(half, F.col("n"))), F.lit(0)).alias("fp"))
+    won = F.sum(F.col("p") * (F.col("_neg") - fp + F.col("n") / 2.0))
+    c = c.groupBy(*by).agg(
+        F.when((pos == 0) | (neg == 0), low).otherwise(at).alias("at"), pos.alias("_pos"), neg.alias("_neg"),
+        F.when((pos > 0) & (neg > 0), won / (pos * neg)).alias("auroc"),
+        F.when(pos > 0, F.sum(precision * F.col("p")) / pos).alias("auprc"),
+    )
+    c = c.select(*by, F.col("at.score").alias("threshold"), F.col("at.tp").alias("tp"), F.col("at.fp").alias("fp"), (F.col("_pos") - F.col("at.tp")).alias("fn"), (F.col("_neg") - F.col("at.fp")).alias("tn"), (F.col("_pos") + F.col("_neg")).alias("n_test"), "auroc", "auprc")
     div = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     mod, unmod = div(2 * tp, 2 * tp + fp + fn), div(2 * tn, 2 * tn + fp + fn)
-    c = c.select(*by, "threshold", "n_test", (tp + fn).alias("n_pos"), div(tp + tn, tp + tn + fp + fn).alias("micro_f1"), mod.alias("mod_f1"), unmod.alias("unmod_f1"), ((mod + unmod) / 2).alias("macro_f1"), div(tp, tp + fp).alias("mod_prec"), div(tp, tp + fn).alias("mod_rec"))
-    return c.join(auroc(df, label, score, by).select(*by, "auroc"), by).join(average_precision(df, label, score, by), by)
+    c = c.select(*by, "threshold", "n_test", (tp + fn).alias("n_pos"), div(tp + tn, tp + tn + fp + fn).alias("micro_f1"), mod.alias("mod_f1"), unmod.alias("unmod_f1"), ((mod + unmod) / 2).alias("macro_f1"), div(tp, tp + fp).alias("mod_prec"), div(tp, tp + fn).alias("mod_rec"), "auroc", "auprc")
+    return c

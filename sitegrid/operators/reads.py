@@ -29,16 +29,34 @@ def valid_segments(segments: DataFrame) -> DataFrame:
 def select_reads(covering: DataFrame, k: int, seed: int, site: list[str]) -> DataFrame:
     """The k reads of lowest seeded rank at each site; ties by name. One read counts once at a site."""
     d = covering.select("read_id", *site).distinct().withColumn("_r", read_rank(F.col("read_id"), seed))
+    return lowest(d, k, site)
+
+
+def lowest(ranked: DataFrame, k: int, site: list[str]) -> DataFrame:
+    """The k reads of lowest rank (column _r) at each site, of rows that are distinct by read and site."""
     w = Window.partitionBy(*site).orderBy("_r", F.col("read_id").cast("string"))
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_r")
+    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_r")
+
+
+def select_covering(aln: DataFrame, sites: DataFrame, k: int, seed: int, width: int = 1024) -> DataFrame:
+    """select_reads of covering(aln, sites): a read is ranked once, before it meets its sites, and pairs are distinct as
+    soon as alignments and sites are, so that the pairs are shuffled once, by site, after the group limit."""
+    one = aln.where("end > start").select("read_id", "contig", "strand", "start", "end").distinct()
+    ranked = one.withColumn("_r", read_rank(F.col("read_id"), seed))
+    several = one.groupBy("read_id", "contig", "strand").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    keys = ["read_id", "contig", "strand"]
+    once = lambda d: covering(d, sites, width, ["_r"]).select("read_id", "contig", "pos", "strand", "_r")
+    # a read with several alignments to one strand of a contig may cover a site twice
+    pairs = once(ranked.join(several, keys, "left_anti")).unionByName(once(ranked.join(several, keys, "left_semi")).distinct())
+    return lowest(pairs, k, ["contig", "pos", "strand"])
 
 
-def covering(aln: DataFrame, sites: DataFrame, width: int = 1024) -> DataFrame:
+def covering(aln: DataFrame, sites: DataFrame, width: int = 1024, more: list[str] | None = None) -> DataFrame:
     """(read, site) pairs where a read's [start, end) holds a candidate site of its strand: sites come before positions, so
     reads are never spread over all their bases."""
     s = sites.select("contig", "strand", "pos").distinct().withColumn("_b", F.floor(F.col("pos") / width))
-    a = aln.where("end > start").select("read_id", "contig", "strand", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_b"))
-    return a.join(s, ["contig", "strand", "_b"]).where("pos >= start AND pos < end").select("read_id", "contig", "pos", "strand")
+    a = aln.where("end > start").select("read_id", "contig", "strand", "start", "end", *(more or []), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_b"))
+    return a.join(s, ["contig", "strand", "_b"]).where("pos >= start AND pos < end").select("read_id", "contig", "pos", "strand", *(more or []))
 
 
 def partition_reads(site_reads: DataFrame, site: list[str], max_reads: int, max_images: int, seed: int) -> DataFrame:

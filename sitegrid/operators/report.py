@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrid.operators import aggregate, labels, ranges, ranking
@@ -11,13 +11,12 @@ from sitegrid.operators import aggregate, labels, ranges, ranking
 def score_rows(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """AUROC, AUPRC, F1 of the call frequency at 0.5 and share of sites called, by (row, model); status ok, pending (no
     score at all) or single-class."""
-    a = ranking.auroc(blocks, "label", "score", keys)
-    p = ranking.average_precision(blocks, "label", "score", keys)
+    a = ranking.areas(blocks, "label", "score", keys)
     hit = (F.col("frequency") >= 0.5).cast("int")
     c = ranking.counts_at(F.col("label"), hit)
     g = blocks.groupBy(*keys).agg(*[v.alias(k) for k, v in c.items()], F.avg((F.col("n_called") > 0).cast("int")).alias("called"))
     f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
-    j = g.join(a, keys, "left").join(p, keys, "left")
+    j = g.join(a, keys, "left")
     status = F.when(F.col("called") == 0, "pending").when(F.col("auroc").isNull(), "single-class").otherwise("ok")
     return j.select(*keys, status.alias("status"), "n_pos", "n_neg", "auroc", "auprc", f1.alias("f1"), "called")
 
@@ -91,7 +90,8 @@ def audit_matching(blocks: DataFrame, row: str, keys: list[str]) -> DataFrame:
 def audit_leakage(blocks: DataFrame, seen: DataFrame, row: str) -> DataFrame:
     """By row the median distance to the nearest trained position, and the share at distance 0."""
     d = ranges.nearest_distance(blocks.select(row, "contig", "pos").distinct(), seen)
-    return d.groupBy(row).agg(F.median("distance").alias("median_distance"), F.avg((F.coalesce("distance", F.lit(-1)) == 0).cast("int")).alias("share_seen"))
+    share = d.groupBy(row).agg(F.avg((F.coalesce("distance", F.lit(-1)) == 0).cast("int")).alias("share_seen"))
+    return share.join(ranking.median(d, "distance", [row]).withColumnRenamed("median", "median_distance"), row, "left").select(row, "median_distance", "share_seen")
 
 
 def audit_calls(scores: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -99,11 +99,8 @@ def audit_calls(scores: DataFrame, by: list[str], k: int) -> DataFrame:
 
 
 def audit_pooled(pool: DataFrame, rows: str, by: list[str]) -> DataFrame:
-    """Pooled AUROC on calibrated ranks, without each row in turn: one pass with a copy of a site for every row left out."""
-    cal = ranking.rank_calibrate(pool, "score", by)
-    out = pool.select(F.col(rows).alias("left_out")).distinct()
-    copies = cal.join(F.broadcast(out), F.col(rows) != F.col("left_out"))
-    return ranking.auroc(copies, "label", "calibrated", [*by, "left_out"])
+    """Pooled AUROC on calibrated ranks, without each row in turn."""
+    return ranking.auroc_without(ranking.rank_calibrate(pool, "score", by), "label", "calibrated", by, rows)
 
 
 def genome_map(tracks: dict[str, DataFrame], w: int, min_sites: int = 1) -> DataFrame:
@@ -163,6 +160,3 @@ def evaluate_sites(sites: DataFrame, truth: DataFrame, scores: DataFrame, by: li
     s = aggregate.aggregate_by_position(labels.label_sites(scores.join(sites, ["contig", "pos"], "left_semi"), truth, ["contig", "pos"]), ["contig", "pos"])
     return ranking.binary_metrics(s, "label", "prob", by)
 
-
-def rank_of(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value))))

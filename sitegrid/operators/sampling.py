@@ -10,7 +10,23 @@ from sitegrid.operators import ranking
 
 
 def sample_uniform(df: DataFrame, n: int, keys: list[str], seed: int) -> DataFrame:
-    return df.orderBy(hash_key(seed, *keys), *keys).limit(n)
+    """The n rows of smallest hash. Their hash is at most a bound that some more than n rows are expected to meet, so that
+    no more than these are sorted; where it isn't met by n rows (few rows, or many with equal keys), all are."""
+    d = df.withColumn("_k", hash_key(seed, *keys))
+    bound, below = _bound(d, n)
+    some = d if bound is None or below < n else d.where(F.col("_k") <= bound)
+    return some.orderBy("_k", *keys).limit(n).drop("_k")
+
+
+def _bound(d: DataFrame, n: int) -> tuple[str | None, int]:
+    """From counts by the hash's first letters: the first prefix by which n rows have come, and how many have."""
+    counts = d.groupBy(F.substring("_k", 1, 4).alias("b")).agg(F.count("*").alias("k")).orderBy("b").collect()  # 65,536 at most
+    below = 0
+    for r in counts:
+        below += r.k
+        if below >= n:
+            return f"{r.b}~", below
+    return None, below
 
 
 def sample_weighted(df: DataFrame, n: int, keys: list[str], weight: Column, seed: int) -> DataFrame:

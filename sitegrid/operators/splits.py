@@ -48,12 +48,18 @@ def subset_folds(chems: list[str], least: int = 2, most: int = 4) -> list[tuple[
     return [("+".join(c), list(c)) for n in range(least, most + 1) for c in combinations(sorted(chems), n)]
 
 
+def site_share(*keys: str) -> Column:
+    """A number from 0 to 1 by site, the same for all rows of it."""
+    return F.conv(F.substring(hash_key(17, *keys), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def fold(df: DataFrame, name: str, in_region: str = "in_region", base_ratio: float | None = None, base_of: dict[str, str] | None = None, controls: list[str] | None = None, natives: list[str] | None = None, oversampled: dict[str, int] | None = None) -> DataFrame:
     """Role of each row (chem, organism, label, base, member, in_region) in a fold.
 
     all: every row in the region is test. mixed: the same by hash of the site. loco_X: chemistry X is never trained on, and its
-    rows are test; logo_X: organism X likewise. core_A+B: only these chemistries are trained on, all others are test.
-    Then, in this order: controls go to the test part; native members leave it; a base without a positive in train keeps no
+    rows are test; logo_X: organism X likewise. core_A+B and subset_A+B: only these chemistries are trained on, all others are test.
+    Then, in this order: positives of the most frequent base of train are cut, by hash of the site, to about base_ratio times
+    those of the second; controls go to the test part; native members leave it; a base without a positive in train keeps no
     negatives there (a model would learn the base); a chemistry may be repeated in train.
     """
     region = F.col(in_region)
@@ -62,17 +68,23 @@ def fold(df: DataFrame, name: str, in_region: str = "in_region", base_ratio: flo
     if kind == "all":
         role = F.when(region, "test").otherwise("train")
     elif kind == "mixed":
-        role = F.when(hash_fraction("contig", "pos", seed=1) < 0.15, "test").otherwise("train")
+        role = F.when(site_share("contig", "pos") < 0.15, "test").otherwise("train")
     elif kind == "loco":
         role = F.when(chem == what, "test").when(F.col("label") == 0, F.when(region, "test").otherwise("train")).when(region, None).otherwise("train")
     elif kind == "logo":
         role = F.when(F.col("organism") == what, "test").when(region, None).otherwise("train")
-    elif kind == "core":
+    elif kind in ("core", "subset"):
         keep = what.split("+")
         role = F.when((F.col("label") == 0) | chem.isin(keep), F.when(region, "test").otherwise("train")).otherwise("test")
     else:
         raise ValueError(f"unknown fold: {name}")
     d = df.withColumn("role", role).where("role IS NOT NULL")
+    if base_ratio is not None:
+        mine = (F.col("role") == "train") & (F.col("label") == 1)
+        top = d.where(mine).groupBy("base").count().orderBy(F.desc("count"), "base").limit(2).collect()
+        if len(top) == 2 and top[0]["count"] > base_ratio * top[1]["count"]:
+            share = base_ratio * top[1]["count"] / top[0]["count"]
+            d = d.where(~(mine & F.col("base").eqNullSafe(top[0]["base"])) | (site_share("contig", "pos") < share))
     if controls:
         d = d.withColumn("role", F.when(F.col("member").isin(controls), "test").otherwise(F.col("role")))
     if natives:

@@ -124,7 +124,7 @@ def primary_reads(s, d):
 
 @q("select_reads", f"WITH {ALN}, {SITES}, cov AS (SELECT DISTINCT read_id, s.contig, pos, s.strand FROM aln a JOIN sites s ON a.contig = s.contig AND a.strand = s.strand AND pos >= \"start\" AND pos < \"end\"), r AS (SELECT *, row_number() OVER (PARTITION BY contig, pos, strand ORDER BY md5('7:' || read_id), CAST(read_id AS VARCHAR)) AS rank FROM cov) SELECT * FROM r WHERE rank <= 3")
 def select_reads(s, d):
-    return W.select_reads(W.covering(aln(s, d), sites(s, d)), 3, 7, SITE)
+    return W.select_covering(aln(s, d), sites(s, d), 3, 7)
 
 
 @q("to_intervals", f"WITH {SITES}, p AS (SELECT DISTINCT contig, pos FROM (SELECT contig, pos // 2 AS pos FROM sites)), g AS (SELECT *, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS run FROM p) SELECT contig, min(pos) AS \"start\", max(pos) + 1 AS \"end\" FROM g GROUP BY contig, run")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitegrid.functions import seq as Q
 from sitegrid.operators import ml as M
 from sitegrid.operators import pileup as U
-from sitegrid.plans.core import aln, calls, q, r6, seqs, sites, t
+from sitegrid.plans.core import ALN, aln, calls, q, r6, seqs, sites, t
 from sitegrid.streaming.calls import aggregate_calls_stream
 
 
@@ -114,13 +114,13 @@ def build_pileups(s, d):
     return im.select("contig", "pos", "strand", "image_idx", "n_reads", F.round(F.aggregate("rows", F.lit(0.0), lambda acc, r: acc + F.aggregate(r["cells"], F.lit(0.0), lambda b, c: b + F.get(c["samples"], F.lit(1)))), 6).alias("mid_sum"))
 
 
-@q("segments", None)
+@q("segments", f"WITH {ALN}, n AS (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) SELECT read_id, contig, n // 4 + 1 AS n_peaks, n AS n_samples FROM aln JOIN orders ON o_orderkey = read_id JOIN n ON user_id = o_custkey")
 def segments(s, d):
     a, peaks, sig = reads_with_signal(s, d)
     return U.segments(a, peaks, sig).select("read_id", "contig", F.size("peaks").alias("n_peaks"), F.size("signal").alias("n_samples"))
 
 
-@q("score_images", None)
+@q("score_images", "SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score FROM embeddings")
 def score_images(s, d):
     return U.score_images(t(s, d, "embeddings").select("vec_id", "embedding"), lambda x: x.mean(axis=1), "embedding").select("vec_id", *r6("score"))
 

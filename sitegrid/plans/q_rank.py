@@ -85,7 +85,7 @@ def sample_uniform(s, d):
     return S.sample_uniform(sites(s, d), 500, SITE, 1)
 
 
-@q("sample_weighted", None)
+@q("sample_weighted", f"WITH {SITES} SELECT * FROM sites ORDER BY round(-ln((CAST('0x' || md5('2:' || contig || ':' || pos || ':' || strand)[1:13] AS BIGINT) + 0.5) / 4503599627370496.0) / CASE WHEN strand = '+' THEN 3 ELSE 1 END, 9), contig, pos, strand LIMIT 500")
 def sample_weighted(s, d):
     return S.sample_weighted(sites(s, d), 500, SITE, F.when(F.col("strand") == "+", 3).otherwise(1), 2)
 
@@ -246,6 +246,24 @@ def fold_core(s, d):
     return fold_counts(X.fold(pool(s, d), "core_6mA", base_of={"6mA": "A", "5mC": "C"}))
 
 
+@q("fold_subset", f"WITH {FOLD}, r AS (SELECT *, 'subset_5mC+6mA' AS fold, CASE WHEN label = 0 OR chem IN ('5mC', '6mA') THEN CASE WHEN in_region THEN 'test' ELSE 'train' END ELSE 'test' END AS role FROM pool) {FSEL}")
+def fold_subset(s, d):
+    return fold_counts(X.fold(pool(s, d), "subset_5mC+6mA"))
+
+
+SHARE = "CAST('0x' || md5('17:' || contig || ':' || pos)[1:8] AS BIGINT) / 4294967296.0"
+
+
+@q("fold_mixed", f"WITH {FOLD}, r AS (SELECT *, 'mixed' AS fold, CASE WHEN {SHARE} < 0.15 THEN 'test' ELSE 'train' END AS role FROM pool) {FSEL}")
+def fold_mixed(s, d):
+    return fold_counts(X.fold(pool(s, d), "mixed"))
+
+
+@q("fold_base_ratio", f"WITH {FOLD}, r0 AS (SELECT *, 'all' AS fold, CASE WHEN in_region THEN 'test' ELSE 'train' END AS role FROM pool), k AS (SELECT base, count(*) AS k, row_number() OVER (ORDER BY count(*) DESC, base) AS rk FROM r0 WHERE role = 'train' AND label = 1 GROUP BY base), c AS (SELECT max(base) FILTER (rk = 1) AS top, 0.5 * max(k) FILTER (rk = 2) / max(k) FILTER (rk = 1) AS share FROM k), r AS (SELECT r0.* FROM r0, c WHERE NOT (role = 'train' AND label = 1 AND base = top) OR {SHARE} < share) {FSEL}")
+def fold_base_ratio(s, d):
+    return fold_counts(X.fold(pool(s, d), "all", base_ratio=0.5))
+
+
 @q("leave_one_dataset_out", f"WITH {FOLD}, f AS (SELECT DISTINCT member AS fold FROM pool), r AS (SELECT pool.*, fold, CASE WHEN member = fold AND in_region THEN 'test' WHEN member <> fold AND NOT in_region THEN 'train' END AS role FROM pool, f) SELECT fold, role, label, count(*) AS n FROM r WHERE role IS NOT NULL GROUP BY ALL")
 def leave_one_dataset_out(s, d):
     return X.leave_one_out(pool(s, d), "member", F.col("in_region")).groupBy("fold", "role", "label").agg(F.count("*").alias("n"))
