@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from sitegrid.plans import q_calls, q_ml, q_rank, q_seq
+from sitegrid.plans import q_bench, q_calls, q_ml, q_rank, q_seq
 from sitegrid.plans.core import QUERIES
 
 __all__ = ["QUERIES", "q_calls", "q_ml", "q_rank", "q_seq"]
