@@ -33,6 +33,7 @@ from sitegrid.llm.common import table
 from sitegrid.llm.html_pages import HELD_OUT, LABELLED  # noqa: F401
 
 _COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]+(?:>|\Z)", re.S)
+MARKS = ("!", "?", "/")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _GAP = re.compile(r"[\s/]*")
 #: A quote opens a value after an equals sign only; one that isn't closed takes the rest of the page, as in browsers.
@@ -115,7 +116,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             pieces.append((stack[-1], html.unescape(page[text_from:to])))
 
     while (at := page.find("<", at)) >= 0:
-        if m := _COMMENT.match(page, at):
+        if page[at + 1 : at + 2] in MARKS and (m := _COMMENT.match(page, at)):
             text(at)
             at = text_from = m.end()
             continue
