@@ -28,7 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,22 +124,32 @@ def least_matches(n: int, percent: int, chance: float = 0.0) -> int:
     return max(1, int(n * p - 5 * (n * p * (1 - p)) ** 0.5))
 
 
+def slices(it: Iterator[pa.RecordBatch], n: int = 500) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts, n rows at a time."""
+    for batch in it:
+        for lo in range(0, len(batch), n):
+            yield batch.column(0).slice(lo, n), batch.column(1).slice(lo, n)
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """id, n (size of the set), f1 and f2 (its fingerprint), sig (COORDS numbers) and bits (of FINE
     more); both null for an empty set."""
 
-    def sketch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in it:
-            for lo in range(0, len(rows), 1_000):
-                part = rows.iloc[lo : lo + 1_000]
-                out = []
-                for t in part.t:
-                    s = shingles(t, size)
-                    f = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    out.append((len(s), f[0], f[1], signature(s).view(np.int32) if len(s) else None, fine_bits(s) if len(s) else None))
-                yield pd.DataFrame(out, columns=["n", "f1", "f2", "sig", "bits"], index=part.index).assign(i=part.i)[["i", "n", "f1", "f2", "sig", "bits"]]
+    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(it):
+            n, f1, f2, sig, bits = [], [], [], [], []
+            for t in texts:
+                s = shingles(t.as_py(), size)
+                f = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                n.append(len(s))
+                f1.append(f[0])
+                f2.append(f[1])
+                sig.append(signature(s).view(np.int32) if len(s) else None)
+                bits.append(fine_bits(s) if len(s) else None)
+            longs = [pa.array(x, pa.int64()) for x in (n, f1, f2)]
+            yield pa.RecordBatch.from_arrays([ids, *longs, pa.array(sig, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], names=["i", "n", "f1", "f2", "sig", "bits"])
 
-    return docs.mapInPandas(sketch, "i long, n long, f1 long, f2 long, sig array<int>, bits array<long>")
+    return docs.mapInArrow(sketch, "i long, n long, f1 long, f2 long, sig array<int>, bits array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,24 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = written(posts, "posted")
     wanted = posts.select("rep").distinct()
 
-    def set_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in it:
-            for lo in range(0, len(rows), 500):
-                part = rows.iloc[lo : lo + 500]
-                # six bytes of each hash: sets of one pair differ in them but for one pair of shingles in 10^14
-                yield pd.DataFrame({"rep": part.i, "s": [np.ascontiguousarray(shingles(t, size).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for t in part.t]})
-
-    sets = written(d.join(wanted, F.col("i") == F.col("rep"), "left_semi").dropDuplicates(["i"]).mapInPandas(set_of, "rep long, s binary"), "sets")
+    def set_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(it):
+            got = [shingles(t.as_py(), size).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(got, pa.list_(pa.int64()))], names=["rep", "s"])
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            p, q = (np.frombuffer(z, np.uint16).reshape(-1, 3).astype(np.uint64) for z in (x, y))
-            p, q = (z[:, 0] | (z[:, 1] << _U(16)) | (z[:, 2] << _U(32)) for z in (p, q))
-            both = len(np.intersect1d(p, q))
-            return 100 * both >= percent * (len(p) + len(q) - both)
+    sets = written(d.join(wanted, F.col("i") == F.col("rep"), "left_semi").dropDuplicates(["i"]).mapInArrow(set_of, "rep long, s array<long>"), "sets")
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+    def linked(a: str, b: str) -> Column:
+        """100 * intersection >= percent * union."""
+        return F.size(F.array_intersect(a, b)) * (100 + percent) >= percent * (F.size(a) + F.size(b))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
