@@ -150,10 +150,13 @@ def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: st
 
     top = frequent(docs, text, pattern, "", size).where(F.octet_length("w") <= LONG)
     top = written(top.repartition(4 * sc.defaultParallelism).select("w", coded(F.col("w")).alias("e")), "bpe-words")
-    rows = top.select("w", "e.n", "e.ids", "e.bytes").toArrow().combine_chunks()  # at most `size` words
+    if not top.where(~F.coalesce(F.col("e.bytes") == F.encode("w", "UTF-8"), F.lit(False))).isEmpty():
+        raise ValueError("ids don't give their word back")
+    rows = top.select("w", "e.n", "e.ids").toArrow()  # at most `size` words
     column = lambda c, kind: rows[c].combine_chunks().cast(kind) if len(rows) else pa.array([], kind)
-    check(column("bytes", pa.binary()), column("w", pa.string()))
     shared = sc.broadcast((ranks, column("w", pa.string()), column("n", pa.int64()), column("ids", pa.binary())))
+    del rows
+    pa.default_memory_pool().release_unused()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(it, pattern):
@@ -181,6 +184,7 @@ def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: st
                 total = np.concatenate([[0], np.cumsum(np.concatenate([np.asarray(top_n), n])[codes])])[starts]
                 made = pa.StructArray.from_arrays([pa.array(np.diff(total)), joined(top_ids, ids, b" "), joined(top.cast(pa.binary()), raw, b"")], names=["n_tokens", "ids", "decoded"])
                 yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in range(len(kept))), made], names=[*kept, out])
+                pa.default_memory_pool().release_unused()
 
     fields = [docs.schema[c] for c in kept]
     chunk_type = StructType([StructField("rows", ArrayType(StructType(fields))), *StructType.fromDDL("words array<string>, starts binary, codes binary").fields])

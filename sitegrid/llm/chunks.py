@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sitegrid.llm.common import least_count, written
 
-CHUNK_CHARS, CHUNK_WORDS = 4_000_000, 400_000
+CHUNK_CHARS, CHUNK_WORDS = 2_000_000, 200_000
 _PLANE = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
 
 
