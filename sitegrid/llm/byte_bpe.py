@@ -11,7 +11,9 @@ order of each text.
 The fold runs once for each of the DICT most frequent words of the corpus; these go to all tasks as a dictionary of bounded
 size. Other words are folded once in each chunk that has them, by the same expression: most are in one or two, and one
 fold for the whole corpus would need the coded texts written and shuffled, about twice the input. So no text is
-shuffled, and any word gets the same ids either way.
+shuffled, and any word gets the same ids either way. Chunks are written before they are folded, with the columns asked for:
+cutting and putting together never run in one task, which would hold two Python workers, and a lost executor's chunks
+needn't be cut again.
 
 The fold's arrays are copied at each step, so its time is quadratic in a word's length. Words over LONG bytes, such as a line
 without a space, are merged by a heap instead (merge_long): the same rule, the same ids.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from sitegrid.llm.chunks import chunks_of, frequent, loosen, rows_and_text, squeeze
-from sitegrid.llm.common import table, written
+from sitegrid.llm.common import give_back, table, written
 
 DICT, BUCKETS, LONG = 300_000, 32_749, 128
 NONE = 1 << 25  # over all ranks
@@ -156,13 +158,16 @@ def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: st
     column = lambda c, kind: rows[c].combine_chunks().cast(kind) if len(rows) else pa.array([], kind)
     shared = sc.broadcast((ranks, column("w", pa.string()), column("n", pa.int64()), column("ids", pa.binary())))
     del rows
-    pa.default_memory_pool().release_unused()
+    give_back()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(it, pattern):
             at, rest = chunk.split(shared.value[1])
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (chunk.rows, rest)]
-            yield pa.RecordBatch.from_arrays([*lists, *(pa.array([squeeze(x)], pa.binary()) for x in (chunk.starts, at[chunk.codes]))], names=["rows", "words", "starts", "codes"])
+            made = pa.RecordBatch.from_arrays([*lists, *(pa.array([squeeze(x)], pa.binary()) for x in (chunk.starts, at[chunk.codes]))], names=["rows", "words", "starts", "codes"])
+            del chunk, at, rest, lists  # the next one is cut without them
+            yield made
+        give_back()
 
     def put_together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, top, top_n, top_ids = shared.value
@@ -184,12 +189,13 @@ def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: st
                 total = np.concatenate([[0], np.cumsum(np.concatenate([np.asarray(top_n), n])[codes])])[starts]
                 made = pa.StructArray.from_arrays([pa.array(np.diff(total)), joined(top_ids, ids, b" "), joined(top.cast(pa.binary()), raw, b"")], names=["n_tokens", "ids", "decoded"])
                 yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in range(len(kept))), made], names=[*kept, out])
-                pa.default_memory_pool().release_unused()
+                del rows, words, e, n, ids, raw, codes, starts, place, total, made
+                give_back()
 
     fields = [docs.schema[c] for c in kept]
     chunk_type = StructType([StructField("rows", ArrayType(StructType(fields))), *StructType.fromDDL("words array<string>, starts binary, codes binary").fields])
-    chunks = rows_and_text(docs, kept, text).mapInArrow(cut, chunk_type).withColumn("e", F.transform("words", coded))
-    return chunks.mapInArrow(put_together, StructType([*fields, StructField(out, StructType.fromDDL("n_tokens long, ids binary, decoded binary"))]))
+    chunks = written(rows_and_text(docs, kept, text).mapInArrow(cut, chunk_type), "bpe-chunks")
+    return chunks.withColumn("e", F.transform("words", coded)).mapInArrow(put_together, StructType([*fields, StructField(out, StructType.fromDDL("n_tokens long, ids binary, decoded binary"))]))
 
 
 def check(decoded: pa.Array, words: pa.Array) -> None:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import table
+from sitegrid.llm.common import give_back, table
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton, about 150 times that in memory.
@@ -120,6 +120,8 @@ def with_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_co
             for texts in it:
                 rows = [scan(a, t) for t in texts]
                 yield pd.DataFrame({"n_words": [r[0] for r in rows], "ranges": [located(t, r[1]) for t, r in zip(texts, rows)], "item_ids": [r[2] for r in rows]})
+            del a
+            give_back()
 
         return hits(F.col(text_col))
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import remainder, table
+from sitegrid.llm.common import give_back, remainder, table
 
 SAMPLE_CHARS, SAMPLE_DOCS, PIECE, SEGMENT, DENSE, PART = 20_000, 64, 1_024, 2_048, 64, 500_000
 UND = "und"
@@ -217,6 +217,7 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
     def of(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
             yield pd.DataFrame(shared.value.predict([t or "" for t in texts]), columns=["lang_pred", "score"])
+        give_back()
 
     return of(text)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import table, written
+from sitegrid.llm.common import give_back, table, written
 
 COORDS, FINE, ROUNDS = 32, 1024, 3
 NO_ID = 1 << 62
@@ -65,6 +65,10 @@ class _Powers:
                 up[1:], down[1:] = _U(_BASE), _U(_INV)
                 cls.up, cls.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
 
+    @classmethod
+    def forget(cls) -> None:
+        cls.up = cls.down = np.ones(1, np.uint64)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -129,6 +133,8 @@ def slices(it: Iterator[pa.RecordBatch], n: int = 500) -> Iterator[tuple[pa.Arra
     for batch in it:
         for lo in range(0, len(batch), n):
             yield batch.column(0).slice(lo, n), batch.column(1).slice(lo, n)
+    _Powers.forget()
+    give_back()
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrid.llm.common import remainder, table
+from sitegrid.llm.common import give_back, remainder, table
 
 #: Bound on labelled rows that are learned from.
 MAX_TRAIN = 8_000
@@ -140,6 +140,8 @@ def score(spark: SparkSession, model: Model, text: Column) -> Column:
                         ids.update(got)
                 out.append(float(sigmoid(m.margin(sorted(ids)))))
             yield pd.Series(out)
+        known.clear()
+        give_back()
 
     return of(text)
 
