@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 
 import pyarrow as pa
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one machine) is a folder under
-    the warehouse used, which Spark's own tables share as well.
+    A cluster names it in spark.checkpoint.dir. Where that is unset, tests and one machine use a folder under the warehouse;
+    on a cluster, whose warehouse may be local to the driver, it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 

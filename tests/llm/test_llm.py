@@ -7,12 +7,13 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitegrid.llm import byte_bpe, decontaminate, extract, katz, language, near_dedup, neighbours, registry, reshard, token_counts, toxicity
+from sitegrid.llm import byte_bpe, common, decontaminate, extract, katz, language, near_dedup, neighbours, registry, reshard, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = ["a\U0002ebf0b word", "x\u1c89y z", "\U00010d50z", "ab" * 90 + " " + "q" * 3000, "", None, " \n\t ", "a", "<|endoftext|> x <|endoftext|>", "naïve  café 日本語 😀😀 ½²", "don't I'll 'sx", "=" * 300, "word " * 4000, "\x1cx\x1dy \x00", "  two  spaces \n\n x", "ABC abc ÀÉ"]
@@ -107,6 +108,36 @@ def test_toxicity_needs_pairs_and_survives_odd_texts(spark):
     assert none.margin([]) == pytest.approx(0)
 
 
+def test_toxicity_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.Model(0.3, {}, rng.normal(size=12), rng.normal(size=(12, toxicity.RANK)))
+    for n in range(13):
+        ids = sorted(rng.choice(12, n, replace=False).tolist())
+        pairs = sum(float(m.v[a] @ m.v[b]) for a, b in itertools.combinations(ids, 2))
+        assert m.margin(ids) == pytest.approx(0.3 + sum(m.w[i] for i in ids) + pairs)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.1")  # 97 held-out toxic rows; sf0.01 has six, of which three are found
+    got = registry.queries()["op2_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = Counter((r.toxic, r.predicted) for r in got.select(F.col("toxic").cast("int").alias("toxic"), "predicted").collect())
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n[1, 0])
+    assert n[0, 1] <= 0.02 * (n[0, 1] + n[0, 0])
+
+
+@pytest.mark.parametrize(("master", "right"), [("local", True), ("local[8]", True), ("local[4,2]", True), ("local-cluster[3,2,3000]", False), ("spark://x:7077", False), ("yarn", False)])
+def test_clusters_must_name_the_shared_folder(master, right):
+    class Session:
+        sparkContext = SimpleNamespace(master=master)
+        conf = SimpleNamespace(get=lambda key, *default: default[0] if default else "/warehouse")
+
+    if right:
+        assert common.shared_dir(Session) == "/warehouse/_stages"
+    else:
+        with pytest.raises(ValueError):
+            common.shared_dir(Session)
+
+
 # byte-level BPE and token counts
 
 
