@@ -32,4 +32,25 @@ coalesce(n_hit > 0 AND 20 * n_hit >= len(d.ws), false) AS contaminated, coalesce
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_near_dedup": OP1, "op6_decontaminate": OP6}
+OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CAST(len(ws) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT)
+  + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+  + 16 * CAST(coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS INT) AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+p AS (SELECT '' AS o, 0 AS before, 0 AS bit, 0 AS step UNION ALL
+  SELECT o || x.c, before | bit, x.b, step + 1 FROM p, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(c, b) WHERE instr(o, x.c) = 0),
+s AS (SELECT full_order.o AS filter_order, p.step, p.before, p.bit FROM p JOIN (SELECT o FROM p WHERE step = 5) full_order ON p.step > 0 AND p.o = left(full_order.o, p.step)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM f GROUP BY ALL),
+r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN fails & before = 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails & before <> 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails & before = 0 AND fails & bit <> 0 THEN g ELSE 0 END) AS good_lost,
+  sum(CASE WHEN fails & before = 0 AND fails & bit <> 0 THEN x ELSE 0 END) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLES = {"op1_near_dedup": OP1, "op6_decontaminate": OP6, "op11_filter_audit": OP11}
