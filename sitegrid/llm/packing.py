@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, with a swap-based local search.
 
 1. Texts are encoded in their partitions. A text is cut at ASCII white space, which no token crosses and no step of the
-   tokenizer looks across; each distinct word goes through the tokenizer once for each worker (Memo), many words in one call.
+   tokenizer looks across; each distinct word goes through the tokenizer once for each worker (memo.py), many words in one call.
    A document is its ids and an end id. Only a document over the capacity is cut; what is left of it is its last piece.
 2. Pieces (numbers only; no ids, no texts) are dealt into chunks of CHUNK pieces as they were written, without a shuffle. In a
    chunk each piece goes, the longest first, to the fullest sequence that takes it. Then pieces of the emptiest underfull sequence are
@@ -22,7 +22,6 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,92 +30,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sitegrid.llm.common import give_back, table, written
+from sitegrid.llm.memo import Memo, kept
 
 CAPACITY, END = 4_096, 1
 CHUNK, KEEP, PATIENCE = 50_000, 64, 32
-MEMO_WORDS, CALL_WORDS, CALL_CHARS = 400_000, 2_000, 1_000_000
+CALL_WORDS, CALL_CHARS = 2_000, 1_000_000
 MARK = "\ue000"  # stands between words in one call
 
 
-class Memo:
-    """Ids of distinct words. Words are numbered as they come; ids of word k are flat[start[k]:start[k + 1]]."""
+class Words:
+    """The tokenizer, for distinct words."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.mark = np.array(self.ids(MARK), np.uint32)
-        self.clear()
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
 
-    def clear(self) -> None:
-        self.place: defaultdict[bytes, int] = defaultdict()
-        self.place.default_factory = self.place.__len__
-        self.known, self.flat, self.start = 0, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.mark = self.one(MARK)
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def one(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
 
-    def parts(self, words: list[str]) -> list[np.ndarray]:
+    def many(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word by one call: a mark's ids follow each word, and come from a mark alone."""
         got = np.array(self.tokenizer.encode_batch_fast([" ".join(f"{w} {MARK}" for w in words)], add_special_tokens=False)[0].ids, np.uint32)
-        m = len(self.mark)
-        hits = np.ones(max(0, len(got) - m + 1), bool)
+        n = len(got) - len(self.mark) + 1
+        hits = np.ones(max(0, n), bool)
         for k, x in enumerate(self.mark):
-            hits &= got[k : len(got) - m + 1 + k] == x
+            hits &= got[k : n + k] == x
         ends = np.flatnonzero(hits)
         if len(ends) != len(words):
             raise ValueError("words and marks differ")
-        return [got[a:b] for a, b in zip([0, *(ends[:-1] + m)], ends, strict=True)]
-
-    def learn(self) -> None:
-        new = [w.decode() for w in islice(self.place, self.known, None)]
-        made: list[np.ndarray] = [None] * len(new)
-        alone = [k for k, w in enumerate(new) if MARK in w or len(w) > CALL_CHARS // 10]
-        for k in alone:
-            made[k] = np.array(self.ids(new[k]), np.uint32)
-        many = [k for k in range(len(new)) if made[k] is None]
+        return [got[a:b] for a, b in zip([0, *(ends[:-1] + len(self.mark))], ends, strict=True)]
+
+    def ids_of(self, raw: list[bytes]) -> list[np.ndarray]:
+        words = [w.decode() for w in raw]
+        alone = [MARK in w or len(w) > CALL_CHARS // 10 for w in words]
+        made = [self.one(w) if a else None for w, a in zip(words, alone, strict=True)]
+        rest = [k for k, a in enumerate(alone) if not a]
         lo = 0
-        while lo < len(many):
+        while lo < len(rest):
             hi, chars = lo, 0
-            while hi < len(many) and hi - lo < CALL_WORDS and chars < CALL_CHARS:
-                chars += len(new[many[hi]])
+            while hi < len(rest) and hi - lo < CALL_WORDS and chars < CALL_CHARS:
+                chars += len(words[rest[hi]])
                 hi += 1
-            for k, x in zip(many[lo:hi], self.parts([new[k] for k in many[lo:hi]]), strict=True):
+            for k, x in zip(rest[lo:hi], self.many([words[k] for k in rest[lo:hi]]), strict=True):
                 made[k] = x
             lo = hi
-        self.known += len(new)
-        self.flat = np.concatenate([self.flat, *made])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in made], dtype=np.int64)]) if made else self.start
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Ids of each text."""
-        if len(self.place) > MEMO_WORDS:
-            self.clear()
-        number, codes = self.place.__getitem__, []
-        for t in texts:
-            words = t.split()
-            codes.append(np.fromiter(map(number, words), np.int64, len(words)))
-        self.learn()
-        for c in codes:
-            n = self.start[c + 1] - self.start[c]
-            ends = np.cumsum(n)
-            yield self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[c] - ends + n, n)]
-
-
-_MEMOS: dict[int, Memo] = {}  # of a worker; what it holds follows from the vocabulary alone
+        return made
 
 
 def memo(vocabulary: str) -> Memo:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
-    if (key := hash(vocabulary)) not in _MEMOS:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(vocabulary)
-        t.no_truncation()
-        t.no_padding()
-        _MEMOS.clear()
-        _MEMOS[key] = Memo(t)
-    return _MEMOS[key]
+    return kept("packing", vocabulary, lambda: Memo(lambda t: t.encode().split(), Words(vocabulary).ids_of))
 
 
 def pieces(docs: DataFrame, vocabulary: str, end: int = END, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = END, capacity: int = CAP
 
             for k, t in enumerate(batch.column(1)):
                 at.append(k)
-                texts.append((t.as_py() or "").encode())
+                texts.append(t.as_py() or "")
                 size += len(texts[-1])
                 if size >= CALL_CHARS or k + 1 == len(batch):
                     cut()

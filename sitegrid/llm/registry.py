@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sitegrid.llm.alignment import op12_alignment
 from sitegrid.llm.byte_bpe import op3_byte_bpe
 from sitegrid.llm.decontaminate import op6_decontaminate
 from sitegrid.llm.extract import op10_extract
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_nearest": op9_nearest,
         "op10_extract": op10_extract,
         "op11_filter_audit": op11_filter_audit,
+        "op12_alignment": op12_alignment,
         "op13_best_fit": op13_best_fit,
     }
 
