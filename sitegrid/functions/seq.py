@@ -12,8 +12,9 @@ CHUNK = 100_000
 
 def chunked(ref: DataFrame, overlap: int = 31, chunk: int = CHUNK) -> DataFrame:
     """ref (contig, seq) in chunks of `chunk` letters plus `overlap` of the next."""
-    i = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / chunk)).cast("int"))).alias("_i")
-    return ref.select("contig", "seq", i).select("contig", (F.col("_i").cast("long") * chunk).alias("start"), F.upper(F.substring("seq", (F.col("_i") * chunk + 1).cast("int"), F.lit(chunk + overlap))).alias("seq"))
+    n = F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / chunk)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((i.cast("long") * chunk).alias("start"), F.upper(F.substring(F.col("seq"), i * chunk + 1, F.lit(chunk + overlap))).alias("seq")))
+    return ref.select("contig", F.explode(parts).alias("_p")).select("contig", "_p.start", "_p.seq")  # a row has its chunk alone
 
 
 def _hits(seq: Column, regex: str, k: int, overlapping: bool) -> Column:
