@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sitegrid.llm.chunks import finder
 from sitegrid.llm.common import give_back, table, written
-from sitegrid.llm.memo import Memo, kept, spread
+from sitegrid.llm.memo import Memo, byte_of, kept, spread
 
 CHUNK, CELL = 2_000_000, 1_000_000
 CALL_BYTES, DENSE = 1_000_000, 4_096
@@ -55,13 +55,6 @@ def got(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
-def byte_of() -> dict[str, int]:
-    """The byte of each character of a byte-level vocabulary: printable ones stand for themselves, the rest from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Encoders:
     """A: a byte-level BPE from a tokenizer's JSON text. B: a piece model with byte fallback, which adds a space, from its bytes."""
 

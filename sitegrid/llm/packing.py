@@ -19,9 +19,11 @@ a text are their tokens, as the library has it by default; an empty table gives
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sitegrid.llm.common import give_back, table, written
-from sitegrid.llm.memo import Memo, kept
+from sitegrid.llm.memo import Memo, byte_of, kept
 
 CAPACITY, END = 4_096, 1
 CHUNK, KEEP, PATIENCE = 50_000, 64, 32
-CALL_WORDS, CALL_CHARS = 2_000, 1_000_000
+MEMO_WORDS, CALL_WORDS, CALL_CHARS = 1_000_000, 2_000, 1_000_000
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,200})([.,;:!?]?)").fullmatch  # composed letters whose lower case is one letter
 MARK = "\ue000"  # stands between words in one call
 
 
 class Words:
-    """The tokenizer, for distinct words."""
+    """The tokenizer, for distinct words.
+
+    Most words are letters with at most one stop after them. Their letters, in lower case, are a token sequence of their own
+    whatever stands beside them, and its last token alone has the vocabulary's word end: many go through the model in one call,
+    which needs no normal form. All others go through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -48,6 +56,15 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark = self.one(MARK)
+        bare = json.loads(vocabulary)
+        end = bare["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(bare["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in bare["model"]["vocab"].items() if t.endswith(end)]] = True
+        self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.spelling = {b: c for c, b in byte_of().items()}
+        self.stops = {x: self.one(x) for x in ".,;:!?"} | {"": np.zeros(0, np.uint32)}
+        self.cores: dict[str, int] = {}
+        self.core_ids: list[np.ndarray] = []
 
     def one(self, word: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
@@ -64,28 +81,52 @@ class Words:
             raise ValueError("words and marks differ")
         return [got[a:b] for a, b in zip([0, *(ends[:-1] + len(self.mark))], ends, strict=True)]
 
-    def ids_of(self, raw: list[bytes]) -> list[np.ndarray]:
-        words = [w.decode() for w in raw]
-        alone = [MARK in w or len(w) > CALL_CHARS // 10 for w in words]
-        made = [self.one(w) if a else None for w, a in zip(words, alone, strict=True)]
-        rest = [k for k, a in enumerate(alone) if not a]
+    def letters(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of lower-case letters."""
+        spelt = " ".join(words).encode().decode("latin-1").translate({b: c for b, c in self.spelling.items() if b != 32})
+        got = np.array(self.bare.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[got]) + 1
+        if len(ends) != len(words):
+            raise ValueError("words and word ends differ")
+        return [got[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    @staticmethod
+    def calls(words: list[str]) -> Iterator[slice]:
         lo = 0
-        while lo < len(rest):
+        while lo < len(words):
             hi, chars = lo, 0
-            while hi < len(rest) and hi - lo < CALL_WORDS and chars < CALL_CHARS:
-                chars += len(words[rest[hi]])
+            while hi < len(words) and hi - lo < CALL_WORDS and chars < CALL_CHARS:
+                chars += len(words[hi])
                 hi += 1
-            for k, x in zip(rest[lo:hi], self.many([words[k] for k in rest[lo:hi]]), strict=True):
-                made[k] = x
+            yield slice(lo, hi)
             lo = hi
-        return made
+
+    def ids_of(self, raw: list[bytes]) -> list[np.ndarray]:
+        if len(self.cores) > MEMO_WORDS:
+            self.cores, self.core_ids = {}, []
+        made: list = [None] * len(raw)
+        others, cores = [], self.cores
+        for k, w in enumerate(raw):
+            if m := PLAIN(w := w.decode()):
+                made[k] = cores.setdefault(m[1].lower(), len(cores)), m[2]
+            elif MARK in w or len(w) > CALL_CHARS // 10:
+                made[k] = self.one(w)
+            else:
+                others.append((k, w))
+        new = list(islice(cores, len(self.core_ids), None))
+        for part in self.calls(new):
+            self.core_ids += self.letters(new[part])
+        for part in self.calls(rest := [w for _, w in others]):
+            for (k, _), x in zip(others[part], self.many(rest[part]), strict=True):
+                made[k] = x
+        return [(np.concatenate([self.core_ids[x[0]], self.stops[x[1]]]) if x[1] else self.core_ids[x[0]]) if isinstance(x, tuple) else x for x in made]
 
 
 def memo(vocabulary: str) -> Memo:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
-    return kept("packing", vocabulary, lambda: Memo(lambda t: t.encode().split(), Words(vocabulary).ids_of))
+    return kept("packing", vocabulary, lambda: Memo(lambda t: t.encode().split(), Words(vocabulary).ids_of, MEMO_WORDS))
 
 
 def pieces(docs: DataFrame, vocabulary: str, end: int = END, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
