@@ -258,10 +258,10 @@ def search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[li
     return Search(bins, lengths, capacity).run()
 
 
-def _rows(bins: list[list[int]], items: pa.StructArray, lengths: np.ndarray, first: int, open_: bool, capacity: int) -> pa.RecordBatch:
-    """A row for each bin: sequence, open, n, pieces with their offsets. The KEEP emptiest underfull ones are open, if any can be."""
+def _rows(bins: list[list[int]], items: pa.StructArray, lengths: np.ndarray, first: int, keep: int, capacity: int) -> pa.RecordBatch:
+    """A row for each bin: sequence, open, n, pieces with their offsets. The `keep` emptiest underfull ones are open."""
     fill = np.array([lengths[b].sum() for b in bins], np.int64)
-    under = [i for i in np.argsort(fill, kind="stable").tolist() if fill[i] < capacity][:KEEP] if open_ else []
+    under = [i for i in np.argsort(fill, kind="stable").tolist() if fill[i] < capacity][:keep]
     is_open = np.zeros(len(bins), bool)
     is_open[under] = True
     order = np.concatenate([np.array(b, np.int64) for b in bins])
@@ -280,7 +280,7 @@ def _task(round_: int) -> int:
     return round_ << 56 | TaskContext.get().partitionId() << 32
 
 
-def packed(rows: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
+def packed(rows: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK, keep: int = KEEP) -> DataFrame:
     """sequence_id and its pieces (rows' columns and an offset), from pieces with a column length."""
     inner = StructType([*rows.schema.fields, StructField("offset", LongType())])
     out = StructType([*StructType.fromDDL("sequence_id long, open boolean, n long").fields, StructField("pieces", ArrayType(inner))])
@@ -291,7 +291,7 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> Dat
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]  # noqa: B023
             lengths = np.asarray(t.column("length")).astype(np.int64)
-            return _rows(search(best_fit(lengths, capacity), lengths, capacity), t.to_struct_array(), lengths, first, True, capacity)  # noqa: B023
+            return _rows(search(best_fit(lengths, capacity), lengths, capacity), t.to_struct_array(), lengths, first, keep, capacity)  # noqa: B023
 
         for batch in it:
             for lo in range(0, len(batch), chunk):
@@ -316,7 +316,7 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> Dat
             lengths = np.asarray(items.field("length")).astype(np.int64)
             edges = np.cumsum([0, *np.asarray(t.column("n")).tolist()]).tolist()
             bins = search([list(range(a, b)) for a, b in zip(edges, edges[1:])], lengths, capacity)
-            yield _rows(bins, items, lengths, _task(round_), not last, capacity)
+            yield _rows(bins, items, lengths, _task(round_), 0 if last else keep, capacity)
 
         return run
 
