@@ -389,12 +389,15 @@ def deviation_profile(s, d):
     return P.deviation_profile(li).select("contig", "pos", *r6("deviation"), "n")
 
 
-@q("offset_scan", f"WITH {SCORES}, d AS (SELECT contig, pos, sum(CASE WHEN strand = '+' THEN score ELSE -score END) AS d FROM scores GROUP BY ALL), h AS (SELECT DISTINCT p_brand AS motif, s_suppkey AS contig, p_partkey AS pos, p_size % 4 AS \"offset\" FROM part, supplier WHERE s_suppkey % 10 = 1), g AS (SELECT motif, \"offset\", avg(d) AS mean, count(*) AS n FROM h JOIN d USING (contig, pos) GROUP BY ALL HAVING count(*) >= 5) SELECT motif, \"offset\", round(mean, 4) AS mean, n, round((mean - (SELECT avg(d) FROM d)) / ((SELECT stddev_pop(d) FROM d) / sqrt(n)), 3) AS z FROM g")
+# scores are exact to six places, so differences are whole numbers of millionths; means are rounded half up to four places
+@q("offset_scan", f"WITH {SCORES}, d AS (SELECT contig, pos, CAST(sum(CAST(round(score * 1000000) AS BIGINT) * CASE WHEN strand = '+' THEN 1 ELSE -1 END) AS BIGINT) AS d FROM scores GROUP BY ALL), h AS (SELECT DISTINCT p_brand AS motif, s_suppkey AS contig, p_partkey AS pos, p_size % 4 AS \"offset\" FROM part, supplier WHERE s_suppkey % 10 = 1), g AS (SELECT motif, \"offset\", CAST(sum(d) AS BIGINT) AS t, count(*) AS n FROM h JOIN d USING (contig, pos) GROUP BY ALL HAVING count(*) >= 5) SELECT motif, \"offset\", (2 * t + 100 * n - ((2 * t + 100 * n) % (200 * n) + 200 * n) % (200 * n)) // (200 * n) / 10000 AS mean, n, round((t / n - (SELECT avg(d) FROM d)) / ((SELECT stddev_pop(d) FROM d) / sqrt(n)), 3) AS z FROM g")
 def offset_scan(s, d):
-    diff = scores(s, d).groupBy("contig", "pos").agg(F.sum(F.when(F.col("strand") == "+", F.col("score")).otherwise(-F.col("score"))).alias("d"))
+    whole = F.round(F.col("score") * 1_000_000).cast("long")
+    diff = scores(s, d).groupBy("contig", "pos").agg(F.sum(F.when(F.col("strand") == "+", whole).otherwise(-whole)).alias("d"))
     p = t(s, d, "part").select(F.col("p_brand").alias("motif"), F.col("p_partkey").alias("pos"), (F.col("p_size") % 4).alias("offset"))
     h = p.join(diff.where("contig % 10 = 1").select("contig", "pos"), "pos").distinct()
-    return P.offset_scan(diff, h, 5).select("motif", "offset", F.round("mean", 4).alias("mean"), "n", F.round("z", 3).alias("z"))
+    x, m = 2 * F.round(F.col("mean") * F.col("n")).cast("long") + 100 * F.col("n"), 200 * F.col("n")
+    return P.offset_scan(diff, h, 5).select("motif", "offset", ((x - F.pmod(x, m)) / m / 10000).alias("mean"), "n", F.round("z", 3).alias("z"))
 
 
 @q("image_summary", "SELECT l_suppkey AS contig, count(*) AS n_reads, round(avg(CASE WHEN l_tax > 0.01 THEN l_discount END), 6) AS a_mean, round(CASE WHEN stddev_pop(CASE WHEN l_tax > 0.01 THEN l_discount END) > 1e-12 THEN stddev_pop(CASE WHEN l_tax > 0.01 THEN l_discount END) ELSE 1 END, 6) AS a_sd, round(avg(l_quantity), 6) AS b_mean, round(stddev_pop(l_quantity), 6) AS b_sd FROM lineitem GROUP BY ALL")
