@@ -1,4 +1,4 @@
-"""Queries: benchmark rows and the paper's tables, on all positions of the sequences and all cells."""
+"""Queries: benchmark rows, on all positions of the sequences."""
 
 from __future__ import annotations
 
@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from sitegrid.operators import rows as B
 from sitegrid.plans.core import SCORES, SEQS, q, r6, scores, seqs
-from sitegrid.plans.q_calls import CELLS, SEEN, cells, seen
+from sitegrid.plans.q_calls import SEEN, seen
 
-POS = "p AS (SELECT contig, n, pos, substr(seq, pos + 1, 1) AS b FROM (SELECT contig, seq, length(seq) AS n, unnest(range(0, length(seq), 2)) AS pos FROM seqs))"
+POS = "p AS (SELECT contig, n, pos, substr(seq, pos + 1, 1) AS b FROM (SELECT contig, seq, length(seq) AS n, unnest(range(0, length(seq))) AS pos FROM seqs))"
 SITES = "s AS (SELECT contig, pos, CASE WHEN b = 'A' THEN '+' ELSE '-' END AS strand FROM p WHERE (b = 'A' AND pos < n * 8 // 10) OR (b = 'T' AND pos < n // 2))"
 
 
 def positions(s, d):
     n = F.length("seq")
-    return seqs(s, d).where(n > 0).select("contig", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(2)).cast("array<bigint>")).alias("pos"))
+    return seqs(s, d).where(n > 0).select("contig", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1).cast("array<bigint>")).alias("pos"))
 
 
 def spans(s, d):
@@ -42,24 +42,6 @@ def bisulfite_rows(s, d):
     return B.bisulfite_rows(B.on_contigs(counts, seqs(s, d)), spans(s, d), seqs(s, d), "cpg")
 
 
-FULL = f"{CELLS}, full_ AS (SELECT *, CASE WHEN model LIKE '%1' THEN 'CpG' ELSE 'any' END AS model_context, CASE WHEN \"row\" % 4 = 0 THEN 'CpG' ELSE 'any' END AS context, CASE WHEN auroc IS NULL THEN 'pending' ELSE 'ok' END AS status, CASE WHEN \"row\" % 5 = 4 THEN NULL ELSE \"row\" * 37 % 100 / 100 END AS null_auroc FROM cells), fit AS (SELECT *, model_context <> 'CpG' OR context = 'CpG' AS fits FROM full_), tab AS (SELECT \"row\", family, max(auroc) FILTER (fits) AS auroc, CASE WHEN count(auroc) FILTER (fits) > 0 THEN 'ok' WHEN count(*) FILTER (fits) > 0 THEN 'pending' ELSE 'N/A' END AS status, coalesce(max(null_auroc) >= 0.9, false) AS high_null, coalesce(max(null_auroc) < 0.75, false) AS low_null FROM fit GROUP BY ALL)"
-
-
-def full_cells(s, d):
-    r = F.col("row")
-    return cells(s, d).withColumns({"model_context": F.when(F.col("model").endswith("1"), "CpG").otherwise("any"), "context": F.when(r % 4 == 0, "CpG").otherwise("any"), "status": F.when(F.col("auroc").isNull(), "pending").otherwise("ok"), "null_auroc": F.when(r % 5 != 4, r * 37 % 100 / 100)})
-
-
-@q("paper_table", f"WITH {FULL} SELECT * FROM tab")
-def paper_table(s, d):
-    return B.paper_table(full_cells(s, d), ["family"])
-
-
-@q("paper_means", f"WITH {FULL} SELECT family, count(auroc) AS n, round(avg(auroc), 6) AS mean, round(avg(auroc) FILTER (low_null), 6) AS mean_low_null FROM tab GROUP BY ALL")
-def paper_means(s, d):
-    return B.paper_means(B.paper_table(full_cells(s, d), ["family"]), ["family"]).select("family", "n", *r6("mean", "mean_low_null"))
-
-
 @q("matched_sites", f"WITH {SCORES}, m AS (SELECT contig % 5 AS g, pos FROM scores GROUP BY ALL HAVING count(DISTINCT label) = 2) SELECT contig, pos, strand, label FROM scores WHERE (contig % 5, pos) IN (SELECT (g, pos) FROM m)")
 def matched_sites(s, d):
     return B.matched_sites(scores(s, d).withColumn("g", F.col("contig") % 5), "g", ["pos"]).select("contig", "pos", "strand", "label")

@@ -39,46 +39,7 @@ def motif_cover(s, d):
     return Q.motif_cover(seqs(s, d), "GTT", chunk=CH)
 
 
-SAMPLED = "st AS (SELECT contig, (k * 37) % (length(seq) + 5) AS pos, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand FROM seqs, (SELECT unnest(range(12)) AS k))"
-
-
-def sampled(s, d):
-    x = seqs(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    return x.select("contig", ((F.col("k") * 37) % (F.length("seq") + 5)).cast("long").alias("pos"), F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("strand"))
-
-
-@q("base_at", f"WITH {SEQS}, {SAMPLED} SELECT st.contig, pos, strand, nullif(substr(seq, pos + 1, 1), '') AS base FROM st JOIN seqs USING (contig)")
-def base_at(s, d):
-    return Q.base_at(sampled(s, d), seqs(s, d), CH).select("contig", "pos", "strand", "base")
-
-
-@q("assign_strand", f"WITH {SEQS}, {SAMPLED}, u AS (SELECT DISTINCT contig, pos FROM st) SELECT u.contig, pos, substr(seq, pos + 1, 1) AS base, CASE WHEN substr(seq, pos + 1, 1) = 'A' THEN '+' ELSE '-' END AS strand FROM u JOIN seqs USING (contig) WHERE substr(seq, pos + 1, 1) IN ('A', 'T')")
-def assign_strand(s, d):
-    return Q.assign_strand(sampled(s, d).select("contig", "pos").distinct(), seqs(s, d), "A", CH).select("contig", "pos", "base", "strand")
-
-
-CTX = "cx AS (SELECT DISTINCT st.contig, pos, strand, CASE WHEN strand = '-' THEN reverse(translate(w, 'ACGTN', 'TGCAN')) ELSE w END AS context FROM (SELECT *, substr('NNNN' || seq || 'NNNN', pos + 1, 9) AS w FROM st JOIN seqs USING (contig) WHERE pos < length(seq)) st)"
-
-
-@q("context", f"WITH {SEQS}, {SAMPLED}, {CTX} SELECT * FROM cx")
-def context(s, d):
-    return Q.context(sampled(s, d).distinct(), seqs(s, d), 4, CH).select("contig", "pos", "strand", "context")
-
-
-@q("is_cpg", f"WITH {SEQS}, {SAMPLED}, {CTX} SELECT contig, pos, strand, substr(context, 5, 2) = 'CG' AS is_cpg FROM cx")
-def is_cpg(s, d):
-    return Q.is_cpg(sampled(s, d).distinct(), seqs(s, d), CH).select("contig", "pos", "strand", "is_cpg")
-
-
-@q("expected_level", f"WITH {SEQS}, {SAMPLED}, {CTX}, lv AS (SELECT substr(context, 4, 3) AS kmer, round(avg(pos % 100), 6) AS level FROM cx GROUP BY ALL HAVING count(*) > 3) SELECT contig, pos, strand, lv.kmer IS NOT NULL AS known, substr(context, 4, 3) AS kmer, level FROM cx LEFT JOIN lv ON substr(context, 4, 3) = lv.kmer")
-def expected_level(s, d):
-    st = sampled(s, d).distinct()
-    cx = Q.context(st, seqs(s, d), 4, CH)
-    lv = cx.groupBy(F.substring("context", 4, 3).alias("kmer")).agg(F.round(F.avg(F.col("pos") % 100), 6).alias("level"), F.count("*").alias("n")).where("n > 3").drop("n")
-    return Q.expected_level(st, seqs(s, d), lv, 3, 1, CH).select("contig", "pos", "strand", F.col("level").isNotNull().alias("known"), "kmer", "level")
-
-
-# the same seven at every position of every sequence, the strands in turn, and one position beyond each end
+# at every position of every sequence, the strands in turn, and one position beyond each end
 
 
 EVERY = "ev AS (SELECT contig, pos, CASE WHEN pos % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT contig, unnest(range(-1, length(seq) + 1)) AS pos FROM seqs))"
@@ -91,41 +52,41 @@ def every(s, d):
     return x.withColumn("strand", F.when(F.col("pos") % 2 == 0, "+").otherwise("-"))
 
 
-@q("base_at_every", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, strand, base FROM eb")
-def base_at_every(s, d):
+@q("base_at", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, strand, base FROM eb")
+def base_at(s, d):
     return Q.base_at(every(s, d), seqs(s, d), CH).select("contig", "pos", "strand", "base")
 
 
-@q("assign_strand_every", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, base, CASE WHEN base = 'A' THEN '+' ELSE '-' END AS strand FROM eb WHERE base IN ('A', 'T')")
-def assign_strand_every(s, d):
+@q("assign_strand", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, base, CASE WHEN base = 'A' THEN '+' ELSE '-' END AS strand FROM eb WHERE base IN ('A', 'T')")
+def assign_strand(s, d):
     return Q.assign_strand(every(s, d).select("contig", "pos"), seqs(s, d), "A", CH).select("contig", "pos", "base", "strand")
 
 
-@q("context_every", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT * FROM cx")
-def context_every(s, d):
+@q("context", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT * FROM cx")
+def context(s, d):
     return Q.context(every(s, d), seqs(s, d), 4, CH).select("contig", "pos", "strand", "context")
 
 
-@q("is_cpg_every", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT contig, pos, strand, substr(context, 5, 2) = 'CG' AS is_cpg FROM cx")
-def is_cpg_every(s, d):
+@q("is_cpg", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT contig, pos, strand, substr(context, 5, 2) = 'CG' AS is_cpg FROM cx")
+def is_cpg(s, d):
     return Q.is_cpg(every(s, d), seqs(s, d), CH).select("contig", "pos", "strand", "is_cpg")
 
 
-@q("expected_level_every", f"WITH {SEQS}, {EVERY}, {EVERY_CTX}, lv AS (SELECT substr(context, 4, 3) AS kmer, round(avg(pos % 100), 6) AS level FROM cx GROUP BY ALL HAVING count(*) > 3) SELECT contig, pos, strand, lv.kmer IS NOT NULL AS known, substr(context, 4, 3) AS kmer, level FROM cx LEFT JOIN lv ON substr(context, 4, 3) = lv.kmer")
-def expected_level_every(s, d):
+@q("expected_level", f"WITH {SEQS}, {EVERY}, {EVERY_CTX}, lv AS (SELECT substr(context, 4, 3) AS kmer, round(avg(pos % 100), 6) AS level FROM cx GROUP BY ALL HAVING count(*) > 3) SELECT contig, pos, strand, lv.kmer IS NOT NULL AS known, substr(context, 4, 3) AS kmer, level FROM cx LEFT JOIN lv ON substr(context, 4, 3) = lv.kmer")
+def expected_level(s, d):
     st = every(s, d)
     cx = Q.context(st, seqs(s, d), 4, CH)
     lv = cx.groupBy(F.substring("context", 4, 3).alias("kmer")).agg(F.round(F.avg(F.col("pos") % 100), 6).alias("level"), F.count("*").alias("n")).where("n > 3").drop("n")
     return Q.expected_level(st, seqs(s, d), lv, 3, 1, CH).select("contig", "pos", "strand", F.col("level").isNotNull().alias("known"), "kmer", "level")
 
 
-@q("validate_sites_every", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, strand, coalesce(base = CASE WHEN strand = '-' THEN 'T' ELSE 'A' END, false) AS ok FROM eb")
-def validate_sites_every(s, d):
+@q("validate_sites", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT contig, pos, strand, coalesce(base = CASE WHEN strand = '-' THEN 'T' ELSE 'A' END, false) AS ok FROM eb")
+def validate_sites(s, d):
     return L.validate_sites(every(s, d), seqs(s, d), "A").select("contig", "pos", "strand", "ok")
 
 
-@q("coord_check_every", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT strand, count(*) AS n, round(avg((base = 'A')::INT), 6) AS share_a, round(avg((base = 'C')::INT), 6) AS share_c, round(avg((base = 'G')::INT), 6) AS share_g, round(avg((base = 'T')::INT), 6) AS share_t FROM eb WHERE pos >= 0 AND pos < length(seq) GROUP BY ALL")
-def coord_check_every(s, d):
+@q("coord_check", f"WITH {SEQS}, {EVERY}, {EVERY_BASE} SELECT strand, count(*) AS n, round(avg((base = 'A')::INT), 6) AS share_a, round(avg((base = 'C')::INT), 6) AS share_c, round(avg((base = 'G')::INT), 6) AS share_g, round(avg((base = 'T')::INT), 6) AS share_t FROM eb WHERE pos >= 0 AND pos < length(seq) GROUP BY ALL")
+def coord_check(s, d):
     x = seqs(s, d)
     inside = every(s, d).join(x.select("contig", F.length("seq").alias("n")), "contig").where("pos >= 0 AND pos < n").drop("n")
     return L.coord_check(inside, x).select("strand", "n", *r6("share_a", "share_c", "share_g", "share_t"))
@@ -137,16 +98,6 @@ def normalize_levels(s, d):
     return Q.normalize_levels(n).select("kmer", *r6("level"))
 
 
-@q("validate_sites", f"WITH {SEQS}, {SAMPLED} SELECT st.contig, pos, strand, coalesce(substr(seq, pos + 1, 1) = CASE WHEN strand = '-' THEN 'T' ELSE 'A' END, false) AS ok FROM st JOIN seqs USING (contig)")
-def validate_sites(s, d):
-    return L.validate_sites(sampled(s, d), seqs(s, d), "A").select("contig", "pos", "strand", "ok")
-
-
-@q("coord_check", f"WITH {SEQS}, {SAMPLED}, b AS (SELECT strand, substr(seq, pos + 1, 1) AS b FROM st JOIN seqs USING (contig)) SELECT strand, count(*) AS n, round(avg((b = 'A')::INT), 6) AS share_a, round(avg((b = 'C')::INT), 6) AS share_c, round(avg((b = 'G')::INT), 6) AS share_g, round(avg((b = 'T')::INT), 6) AS share_t FROM b GROUP BY ALL")
-def coord_check(s, d):
-    return L.coord_check(sampled(s, d), seqs(s, d)).select("strand", "n", *r6("share_a", "share_c", "share_g", "share_t"))
-
-
 @q("motif_ground_truth", f"WITH {SEQS}, {hits('CNG', 0, 'CNG')}, {hits('GATT', 1, 'AATC')} SELECT * FROM pos_cng UNION SELECT * FROM pos_gatt")
 def motif_ground_truth(s, d):
     return L.motif_ground_truth(seqs(s, d), [("CNG", 0), ("GATT", 1)])
@@ -329,17 +280,6 @@ def contigs(s, d):
 # scalar functions
 
 
-@q("revcomp", f"WITH {SEQS} SELECT contig, reverse(translate(substr(seq, 1, 50), 'ACGT', 'TGCA')) AS rc FROM seqs")
-def revcomp(s, d):
-    return seqs(s, d).select("contig", C.revcomp(F.substring("seq", 1, 50)).alias("rc"))
-
-
-@q("onehot", f"WITH {SEQS}, k AS (SELECT contig, unnest(range(10)) AS i, seq FROM seqs WHERE length(seq) >= 10) SELECT contig, string_agg(CASE substr(seq, i + 1, 1) WHEN 'A' THEN '1000' WHEN 'C' THEN '0100' WHEN 'G' THEN '0010' ELSE '0001' END, '' ORDER BY i) AS code, any_value(substr(seq, 1, 1)) AS base FROM k GROUP BY contig")
-def onehot(s, d):
-    x = seqs(s, d).where(F.length("seq") >= 10).select("contig", C.onehot(F.substring("seq", 1, 10)).alias("v"))
-    return x.select("contig", F.array_join(F.transform("v", lambda b: b.cast("string")), "").alias("code"), C.base_of_onehot(F.slice("v", 1, 4)).alias("base"))
-
-
 @q("iupac_regex", "SELECT n_name, replace(replace(replace(regexp_replace(upper(n_name), '[^ACGTRYN]', '', 'g'), 'R', '[AG]'), 'Y', '[CT]'), 'N', '[ACGT]') AS pattern FROM nation")
 def iupac_regex(s, d):
     return t(s, d, "nation").select("n_name", C.iupac_regex_col(F.regexp_replace(F.upper("n_name"), "[^ACGTRYN]", "")).alias("pattern"))
@@ -352,22 +292,23 @@ def signal(s, d):
 SIG = "sig AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)"
 
 
-@q("zscore", f"WITH {SIG} SELECT vec_id, round((a[1] - list_avg(a)) / list_stddev_pop(a), 6) AS z1, round((a[64] - list_avg(a)) / list_stddev_pop(a), 6) AS z64 FROM sig")
+def values(df, array):
+    return df.select("vec_id", F.posexplode(array).alias("i", "v")).select("vec_id", "i", F.round("v", 6).alias("v"))
+
+
+@q("zscore", f"WITH {SIG}, i AS (SELECT CAST(unnest(range(64)) AS INT) AS i) SELECT vec_id, i, round((a[i + 1] - list_avg(a)) / list_stddev_pop(a), 6) AS v FROM sig, i")
 def zscore(s, d):
-    x = signal(s, d).withColumn("z", C.zscore(F.col("a")))
-    return x.select("vec_id", F.round(x.z[0], 6).alias("z1"), F.round(x.z[63], 6).alias("z64"))
+    return values(signal(s, d), C.zscore(F.col("a")))
 
 
-@q("mad_normalize", f"WITH {SIG}, m AS (SELECT *, list_median(a) AS m FROM sig), k AS (SELECT *, 1.4826 * list_median(list_transform(a, lambda x: abs(x - m))) AS mad FROM m) SELECT vec_id, round((a[1] - m) / mad, 6) AS z1, round((a[64] - m) / mad, 6) AS z64 FROM k")
+@q("mad_normalize", f"WITH {SIG}, m AS (SELECT *, list_median(a) AS m FROM sig), k AS (SELECT *, 1.4826 * list_median(list_transform(a, lambda x: abs(x - m))) AS mad FROM m), i AS (SELECT CAST(unnest(range(64)) AS INT) AS i) SELECT vec_id, i, round((a[i + 1] - m) / mad, 6) AS v FROM k, i")
 def mad_normalize(s, d):
-    x = signal(s, d).withColumn("z", C.mad_normalize(F.col("a")))
-    return x.select("vec_id", F.round(x.z[0], 6).alias("z1"), F.round(x.z[63], 6).alias("z64"))
+    return values(signal(s, d), C.mad_normalize(F.col("a")))
 
 
-@q("resample", f"WITH {SIG} SELECT vec_id, round(a[1], 6) AS r0, round(a[16] + 0.75 * (a[17] - a[16]), 6) AS r1, round(a[64], 6) AS r4 FROM sig")
+@q("resample", f"WITH {SIG}, i AS (SELECT CAST(unnest(range(5)) AS INT) AS i), x AS (SELECT *, i * 63 / 4 AS x FROM sig, i) SELECT vec_id, i, round(a[CAST(floor(x) AS INT) + 1] + (x - floor(x)) * (a[least(64, CAST(floor(x) AS INT) + 2)] - a[CAST(floor(x) AS INT) + 1]), 6) AS v FROM x")
 def resample(s, d):
-    x = signal(s, d).withColumn("r", C.resample(F.col("a"), 5))
-    return x.select("vec_id", F.round(x.r[0], 6).alias("r0"), F.round(x.r[1], 6).alias("r1"), F.round(x.r[4], 6).alias("r4"))
+    return values(signal(s, d), C.resample(F.col("a"), 5))
 
 
 @q("delta_channels", f"WITH {SIG} SELECT vec_id, round(a[33] - a[32], 6) AS center_delta, round(list_avg(list_transform(range(1, 65), lambda i: a[i] - a[65 - i])), 6) AS window_delta FROM sig")
@@ -394,42 +335,32 @@ def read_channels(s, d):
     return x.groupBy("l_orderkey", "l_linenumber", F.round("c.log_dwell", 6).alias("log_dwell"), F.round("c.mapq", 6).alias("mapq"), F.col("c.matches").alias("matches")).agg(F.count("*").alias("k"))
 
 
-@q("mirror", f"WITH {SEQS} SELECT contig, reverse(translate(substr(seq, 1, 20), 'ACGT', 'TGCA')) AS bases, length(substr(seq, 1, 20)) - 1 AS first FROM seqs WHERE length(seq) > 0")
-def mirror(s, d):
-    cols = F.transform(F.split(F.substring("seq", 1, 20), ""), lambda b, i: F.struct(b.alias("base"), i.alias("value")))
-    x = seqs(s, d).where(F.length("seq") > 0).select("contig", C.mirror(cols).alias("m"))
-    return x.select("contig", F.array_join("m.base", "").alias("bases"), F.get("m.value", F.lit(0)).cast("long").alias("first"))
-
-
-@q("mask_bases", f"WITH {SEQS} SELECT contig, 'NN' || substr(seq, 3, 1) || 'NN' AS flank, 'NNNNN' AS whole FROM seqs WHERE length(seq) >= 5")
-def mask_bases(s, d):
-    b = F.split(F.substring("seq", 1, 5), "")
-    return seqs(s, d).where(F.length("seq") >= 5).select("contig", F.array_join(C.mask_bases(b, 2, True), "").alias("flank"), F.array_join(C.mask_bases(b, 2, False), "").alias("whole"))
-
-
-# the same four on whole sequences, as MD5 of their result
-
-
-@q("revcomp_whole", f"WITH {SEQS} SELECT contig, length(seq) AS n, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc FROM seqs")
-def revcomp_whole(s, d):
+@q("revcomp", f"WITH {SEQS} SELECT contig, length(seq) AS n, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc FROM seqs")
+def revcomp(s, d):
     return seqs(s, d).select("contig", F.length("seq").cast("long").alias("n"), F.md5(C.revcomp(F.col("seq"))).alias("rc"))
 
 
-@q("onehot_whole", f"WITH {SEQS} SELECT contig, md5(replace(replace(replace(replace(translate(seq, 'ACGT', 'wxyz'), 'w', '1000'), 'x', '0100'), 'y', '0010'), 'z', '0001')) AS code FROM seqs")
-def onehot_whole(s, d):
+@q("onehot", f"WITH {SEQS} SELECT contig, md5(replace(replace(replace(replace(translate(seq, 'ACGT', 'wxyz'), 'w', '1000'), 'x', '0100'), 'y', '0010'), 'z', '0001')) AS code FROM seqs")
+def onehot(s, d):
     v = F.when(F.length("seq") > 0, C.onehot(F.col("seq"))).when(F.col("seq").isNotNull(), F.array().cast("array<int>"))
     return seqs(s, d).select("contig", F.md5(F.array_join(F.transform(v, lambda b: b.cast("string")), "")).alias("code"))
 
 
-@q("mirror_whole", f"WITH {SEQS} SELECT contig, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS bases, length(seq) - 1 AS first FROM seqs WHERE length(seq) > 0")
-def mirror_whole(s, d):
+@q("base_of_onehot", f"WITH {SEQS} SELECT contig, md5(seq) AS bases FROM seqs")
+def base_of_onehot(s, d):
+    back = F.transform(F.split("seq", ""), lambda b: C.base_of_onehot(C.onehot(b)))
+    return seqs(s, d).select("contig", F.md5(F.when(F.length("seq") > 0, F.array_join(back, "")).otherwise(F.col("seq"))).alias("bases"))
+
+
+@q("mirror", f"WITH {SEQS} SELECT contig, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS bases, length(seq) - 1 AS first FROM seqs WHERE length(seq) > 0")
+def mirror(s, d):
     cols = F.transform(F.split("seq", ""), lambda b, i: F.struct(b.alias("base"), i.alias("value")))
     x = seqs(s, d).where(F.length("seq") > 0).select("contig", C.mirror(cols).alias("m"))
     return x.select("contig", F.md5(F.array_join("m.base", "")).alias("bases"), F.get("m.value", F.lit(0)).cast("long").alias("first"))
 
 
-@q("mask_bases_whole", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT contig, pos, strand, 'NNNN' || substr(context, 5, 1) || 'NNNN' AS flank, 'NNNNNNNNN' AS whole FROM cx")
-def mask_bases_whole(s, d):
+@q("mask_bases", f"WITH {SEQS}, {EVERY}, {EVERY_CTX} SELECT contig, pos, strand, 'NNNN' || substr(context, 5, 1) || 'NNNN' AS flank, 'NNNNNNNNN' AS whole FROM cx")
+def mask_bases(s, d):
     x = Q.context(every(s, d), seqs(s, d), 4, CH)
     b = F.split("context", "")
     return x.select("contig", "pos", "strand", F.array_join(C.mask_bases(b, 4, True), "").alias("flank"), F.array_join(C.mask_bases(b, 4, False), "").alias("whole"))

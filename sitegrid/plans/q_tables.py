@@ -118,3 +118,8 @@ def leaveout_rows(s, d):
     held = c.select("row", F.when(r == 0, "m1").when(r == 1, "m2").alias("model")).where("model IS NOT NULL").distinct()
     models = s.createDataFrame(MODELS, "model string, family string, marks array<string>, context string")
     return T.leaveout_rows(c, "m0", held, models).select("row", "checkpoint", *r6("inside", "outside", "loss"), "specialist", *r6("specialist_auroc"))
+
+
+@q("paper_table", f"WITH {CELLS} SELECT kind, c.\"row\", \"column\", status, round(auroc, 6) AS auroc, coalesce(null_auroc >= 0.6, false) AS high_null, coalesce(null_auroc < 0.5, false) AS low_null FROM cells c JOIN nul ON nul.\"row\" = c.\"row\"")
+def paper_table(s, d):
+    return cells(s, d).select("kind", "row", "column", "status", *r6("auroc"), "high_null", F.col("clean").alias("low_null"))
