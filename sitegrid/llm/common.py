@@ -33,6 +33,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back()  # the driver's share of a stage
     return spark.read.schema(df.schema).parquet(path)
 
 

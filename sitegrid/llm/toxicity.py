@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,19 +75,20 @@ def fit_rows(rows: list, labels: np.ndarray, features: int = FEATURES, epochs: i
     bias = float(np.log((pos + 0.5) / (n - pos + 0.5)))
     if not pos or pos == n:
         return Model(bias)
-    flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    p = np.bincount(flat, weights=labels[owner], minlength=BUCKETS)
-    d = np.bincount(flat, minlength=BUCKETS)
+    d, p = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r, y in zip(rows, labels, strict=True):  # a row has a bucket once; no copy of all rows is made
+        d[r] += 1
+        p[r] += y
     q = pos / n
     chi2 = np.where(d >= 2, (p - d * q) ** 2 / np.maximum(d * q * (1 - q), 1e-9), 0)
     kept = np.argsort(-chi2, kind="stable")[:features]
     kept = np.sort(kept[chi2[kept] > 3.84])
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
-    use = place[flat] >= 0
     x = np.zeros((n, len(kept)), np.float32)
-    x[owner[use], place[flat[use]]] = 1
+    for i, r in enumerate(rows):
+        at = place[r]
+        x[i, at[at >= 0]] = 1
     rng = np.random.default_rng(seed)
     params = [np.array([bias], np.float32), np.zeros(len(kept), np.float32), rng.normal(0, 0.02, (len(kept), RANK)).astype(np.float32)]
     m, s = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
@@ -115,8 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i")
     one_text = texts.groupBy("i").agg(F.max("y").alias("y"), F.min("t").alias("t"))  # of an id that occurs twice the smallest text
-    rows = one_text.select("i", "y", of("t").alias("b")).toArrow().to_pandas().sort_values("i")  # at most max_train documents
-    return fit_rows(list(rows.b), rows.y.to_numpy(float))
+    got = one_text.select("i", "y", of("t").alias("b")).toArrow().sort_by("i").combine_chunks()  # at most max_train documents
+    b = got["b"].combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
+    flat, at = np.asarray(b.flatten()), np.asarray(b.offsets) - (b.offsets[0].as_py() if len(b) else 0)
+    model = fit_rows([flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], np.asarray(got["y"]).astype(float))
+    del got, b, flat
+    give_back()
+    return model
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
