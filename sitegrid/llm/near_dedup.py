@@ -1,9 +1,9 @@
 """MinHash near-dedup: an inverted join on the coordinates of signatures.
 
 1. Each text becomes its set of word shingles (64-bit hashes), the set's size, a 128-bit fingerprint and a MinHash
-   signature: COORDS coordinates to post, and two bits of each of FINE further ones to compare by. Equal sets are one class, whose representative is its smallest id: copies cost
-   nothing further.
-2. Representatives are posted under every pair (coordinate, value). Two that match in MATCH of COORDS coordinates share a
+   signature: COORDS coordinates to post, and two bits of each of FINE further ones to compare by. Equal sets are one class, told
+   apart by fingerprint and numbered: copies cost nothing further. Ids only name what is found.
+2. Classes are posted under every pair (coordinate, value). Two that match in MATCH of COORDS coordinates share a
    posting among any COORDS - MATCH + 1 of each, so only the prefix of that length is merged: each one's rarest postings
    by the global order (length of the list, key). Lists of one end there. All other lists are skipped; their collisions
    are counted by comparing the two signatures.
@@ -18,8 +18,9 @@ Match thresholds are five standard deviations under what a pair right at the ask
 a few cases of a million; nothing is capped.
 
 Cases: lower-casing is A-Z only; fewer words than a shingle are one shingle; null, empty and blank texts have an empty set and
-stay alone; repeated rows are copies; an empty table gives no rows. A row without an id takes part like any other, under a number
-from NO_ID on for its text; ids are below NO_ID. It is no group's name: its group's is the smallest id in it, or null.
+stay alone; repeated rows are copies; rows of one id with different texts are documents of their own, each in the group of its
+text; ids may be of any ordered type; an empty table gives no rows. A row without an id takes part like any other; it is no
+group's name: its group's is the smallest id in it, or null.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sitegrid.llm.common import give_back, table, written
 
 COORDS, FINE, ROUNDS = 32, 1024, 3
-NO_ID = 1 << 62
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -128,6 +129,11 @@ def least_matches(n: int, percent: int, chance: float = 0.0) -> int:
     return max(1, int(n * p - 5 * (n * p * (1 - p)) ** 0.5))
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
+    return a, b
+
+
 def slices(it: Iterator[pa.RecordBatch], n: int = 500) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts, n rows at a time."""
     for batch in it:
@@ -146,7 +152,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             n, f1, f2, sig, bits = [], [], [], [], []
             for t in texts:
                 s = shingles(t.as_py(), size)
-                f = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                f = fingerprint(s)
                 n.append(len(s))
                 f1.append(f[0])
                 f2.append(f[1])
@@ -155,7 +161,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             longs = [pa.array(x, pa.int64()) for x in (n, f1, f2)]
             yield pa.RecordBatch.from_arrays([ids, *longs, pa.array(sig, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], names=["i", "n", "f1", "f2", "sig", "bits"])
 
-    return docs.mapInArrow(sketch, "i long, n long, f1 long, f2 long, sig array<int>, bits array<long>")
+    fields = StructType.fromDDL("n long, f1 long, f2 long, sig array<int>, bits array<long>").fields
+    return docs.mapInArrow(sketch, StructType([docs.schema[0], *fields]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,12 +202,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """i (id), n (size of the set), comp (smallest id of the group), one row for each row of docs."""
     spark = docs.sparkSession
     match, fine = least_matches(COORDS, percent), least_matches(FINE, percent, 0.25)
-    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    nameless = F.xxhash64(F.coalesce("t", F.lit(""))).bitwiseAND(NO_ID - 1) + NO_ID
-    d = d.select(F.coalesce("i", nameless).alias("i"), "t")
-    sk = written(sketches(d, size), "sketches")
+    # j finds a class's text again: it is of the id, or of the text where there is none
+    d = docs.select(F.col(id_col).alias("i"), F.coalesce(F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.xxhash64(text_col)).alias("j"), F.col(text_col).alias("t"))
+    sk = written(sketches(d.select(F.struct("i", "j").alias("id"), "t"), size).select("id.*", "n", "f1", "f2", "sig", "bits"), "sketches")
     full = sk.where("n > 0")
-    classes = written(full.groupBy("f1", "f2", "n").agg(F.min("i").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "classes")
+    classes = full.groupBy("f1", "f2", "n").agg(F.min("i").alias("lo"), F.min("j").alias("j"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     posts = classes.select("rep", F.posexplode("sig").alias("c", "x")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("x").cast("long").bitwiseAND(0xFFFFFFFF))).alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("len")).where("len > 1")
     shared = posts.join(lists, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("len", "key"))).alias("l"))  # COORDS at most
@@ -212,14 +219,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = posts.groupBy("key").agg(F.count("*").alias("len")).where("len > 1").drop("len")
     posts = written(posts.join(long, "key"), "lists").join(classes.select("rep", "n", "sig", "bits"), "rep")
     posts = written(posts, "posted")
-    wanted = posts.select("rep").distinct()
+    wanted = classes.select("rep", "j", "f1", "f2").join(posts.select("rep").distinct(), "rep", "left_semi")
 
     def set_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(it):
-            got = [shingles(t.as_py(), size).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(got, pa.list_(pa.int64()))], names=["rep", "s"])
+        for rows, texts in slices(it):
+            got = [shingles(t.as_py(), size) for t in texts]
+            own = pa.array([fingerprint(s) == (r["f1"], r["f2"]) for s, r in zip(got, rows.to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.field("rep").filter(own), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64())).filter(own)], names=["rep", "s"])
 
-    sets = written(d.join(wanted, F.col("i") == F.col("rep"), "left_semi").dropDuplicates(["i"]).mapInArrow(set_of, "rep long, s array<long>"), "sets")
+    found = d.select("j", "t").join(wanted, "j").select(F.struct("rep", "f1", "f2").alias("row"), "t")
+    sets = written(found.mapInArrow(set_of, "rep long, s array<long>").dropDuplicates(["rep"]), "sets")
 
     def linked(a: str, b: str) -> Column:
         """100 * intersection >= percent * union."""
@@ -253,9 +262,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = written(confirmed(pairs), "links")
         if not links.isEmpty():
             comps = components(links.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
-    got = sk.join(written(named, "named"), ["f1", "f2", "n"], "left").select("i", "n", F.coalesce("comp", "i").alias("comp"))
-    return got.select(*[F.when(F.col(c) < NO_ID, F.col(c)).alias(c) if c != "n" else F.col("n") for c in ("i", "n", "comp")])
+    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", "lo", F.coalesce("comp", "rep").alias("comp"))
+    lowest = named.groupBy("comp").agg(F.min("lo").alias("lowest"))
+    named = named.join(lowest, "comp").select("f1", "f2", "n", F.lit(True).alias("_known"), "lowest")
+    got = sk.join(written(named, "named"), ["f1", "f2", "n"], "left")
+    return got.select("i", "n", F.when(F.col("_known"), F.col("lowest")).otherwise(F.col("i")).alias("comp"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,20 @@ def test_rows_without_an_id_are_grouped(spark):
     assert got == {(5, 5, True): 2, (None, 5, True): 1, (9, 5, True): 1, (None, None, True): 1, (None, None, False): 1}
 
 
+def test_one_id_with_two_texts_and_ids_of_other_types(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (1, b), (2, b + " x"), (3, a + " x"), (1, a), (9, "alone"), (9, "")]
+    want = Counter([(1, 1), (1, 1), (2, 1), (3, 1), (1, 1), (9, 9), (9, 9)])
+    big = 1 << 62
+    for kind, f in (("long", lambda i: i), ("long", lambda i: big + i), ("string", lambda i: f"d{i}"), ("int", lambda i: -i)):
+        d = spark.createDataFrame([(f(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = Counter((r.i, r.comp) for r in near_dedup.near_duplicates(d, size=3, percent=85).collect())
+        if kind == "int":  # the smallest is another
+            assert got == Counter({(-1, -3): 2, (-1, -2): 1, (-2, -2): 1, (-3, -3): 1, (-9, -9): 2})
+        else:
+            assert got == Counter({(f(i), f(c)): n for (i, c), n in want.items()})
+
+
 def test_no_rows_no_groups(spark):
     assert near_dedup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 
