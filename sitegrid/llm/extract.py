@@ -54,18 +54,25 @@ NAMES = {
     "weak": set("notice alert subscribe share sharing social related recommend recommended reply widget toolbar copyright side tag".split()),
     "good": set("content article post entry story body text main".split()),
 }
+#: A word of a name or a heading says more than how often the few labelled pages have it.
+WORDS_COUNT = 30
 _PART = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "legend", "summary"))
 
 
 class Node:
-    """names: class, id and role; y: a label, in labelled pages; own: words right in it; link, hidden: it lies in such an element."""
+    """names: class, id and role; y: a label, in labelled pages; own: words right in it; link, hidden: it lies in such an element;
+    head: words of its first heading; place: whether it stands before or after an article or main element; like: named as a sibling is."""
 
-    __slots__ = ("hidden", "kids", "label", "link", "links", "names", "own", "parent", "tag", "text", "y")
+    __slots__ = ("head", "hidden", "kids", "label", "like", "link", "links", "names", "own", "parent", "place", "tag", "text", "y")
 
     def __init__(self, tag: str, names: str, y: str | None, parent: Node | None):
         self.tag, self.names, self.y, self.parent, self.kids, self.text, self.links, self.own, self.label = tag, names, y, parent, [], 0, 0, 0, None
         self.link = tag == "a" or bool(parent and parent.link)
         self.hidden = tag in HIDDEN or bool(parent and parent.hidden)
+        self.head, self.place, self.like = (), "", False
 
 
 def attributes(page: str, at: int) -> tuple[int, dict[str, str]] | None:
@@ -160,6 +167,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
         if tag == "body" and stack[-1].tag == "head":
             opened.cut(len(stack) - 1)
         node = Node(tag, " ".join(attr[k] for k in ("class", "id", "role") if k in attr), attr.get("y"), stack[-1])
+        node.hidden |= "hidden" in attr or bool(_UNSEEN.search(attr.get("style", "")))
         stack[-1].kids.append(node)
         nodes.append(node)
         opened.push(node)
@@ -170,6 +178,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             node.text += n
             node.links += n * node.link
             node.own += n
+    around(nodes, pieces)
     for node in reversed(nodes):
         if node.parent:
             node.parent.text += node.text
@@ -178,12 +187,38 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     return nodes, pieces
 
 
+def around(nodes: list[Node], pieces: list[tuple[Node, str | None]]) -> None:
+    """What stands at the head of each block and beside it."""
+    words: dict[int, list[str]] = defaultdict(list)
+    for node, piece in pieces:
+        if piece:
+            while node.tag not in BLOCK and node.parent:
+                node = node.parent
+            if node.tag in HEADINGS and len(words[id(node)]) < 8:
+                words[id(node)] += _WORD.findall(piece.lower())
+    for n in nodes:
+        main = next((i for i, k in enumerate(n.kids) if KINDS.get(k.tag) == "main"), None)
+        named = Counter((k.tag, k.names) for k in n.kids if k.names)
+        for i, k in enumerate(n.kids):
+            k.place = "" if main is None or i == main else "before" if i < main else "after"
+            k.like = named[k.tag, k.names] > 1
+        first = next((k for k in n.kids if k.tag in BLOCK), None)
+        if first is not None and first.tag in HEADINGS and first.tag != "h1":
+            n.head = tuple(sorted(set(words[id(first)][:8])))
+
+
+@lru_cache(100_000)
+def parts(names: str) -> tuple[str, ...]:
+    """Parts of class, id and role; a plural counts as its singular."""
+    return tuple(x.removesuffix("s") if len(x) > 3 else {"ads": "ad"}.get(x, x) for x in _PART.findall(re.sub("([a-z])([A-Z])", r"\1 \2", names).lower()))
+
+
 @lru_cache(100_000)
 def said(names: str) -> str:
     """What an element's names say."""
-    parts = [x.removesuffix("s") if len(x) > 3 else {"ads": "ad"}.get(x, x) for x in _PART.findall(re.sub("([a-z])([A-Z])", r"\1 \2", names).lower())]
-    parts += [a + b for a, b in zip(parts, parts[1:])]
-    return next((k for k, v in NAMES.items() if not v.isdisjoint(parts)), "none")
+    own = list(parts(names))
+    own += [a + b for a, b in zip(own, own[1:])]
+    return next((k for k, v in NAMES.items() if not v.isdisjoint(own)), "none")
 
 
 def kind(node: Node) -> str:
@@ -196,7 +231,9 @@ def features(node: Node) -> tuple:
     if node.tag not in BLOCK and node.parent:
         return (("inline names", said(node.names)),)
     k, n, names = kind(node), node.text, said(node.names)
-    out = ("kind", k), ("names", names), ("size", min(6, n.bit_length() // 2)), ("links", 0 if not n else min(3, 4 * node.links // n))
+    out = ("kind", k), ("names", names), ("size", min(6, n.bit_length() // 2)), ("links", 0 if not n else min(3, 4 * node.links // n)), ("place", node.place), ("like", node.like)
+    out += tuple(("part", x) for x in sorted(set(parts(node.names)))) if names == "none" else ()
+    out += tuple(("head", x) for x in node.head)
     return (*out, ("weak", n >= 12 and 4 * node.links < n)) if names == "weak" else out
 
 
@@ -228,7 +265,7 @@ class Model:
             for n in nodes:
                 total[n.label] += copies
                 for f in features(n):
-                    count[f][n.label] += copies
+                    count[f][n.label] += copies * (WORDS_COUNT if f[0] in ("part", "head") else 1)
                     values[f[0]].add(f[1])
                 if n.parent:
                     for e in edges(n):

@@ -47,6 +47,25 @@ more on that.<br>And a third one, so that it ends.</body></html>""",
 those times, at some length, with no links in it.</p></div><div class="related-work"><p>Others have written on it before, and they said much the same as this, in more words.</p></div>
 <div class="share" y="0"><a href="#">Share</a> <a href="#">Send</a></div><div class="social" y="0"><a href="#">Like us</a></div></article><div class="related"><h3>Related</h3>
 <a href="/1">One</a> <a href="/2">Two</a></div><div class="widget"><a href="/t">Tags</a></div></body></html>""",
+    # readers' words after the article, in boxes whose names differ from site to site
+    """<html><body y="0"><nav><a href="/">Home</a></nav><article y="1"><h1>A walk</h1><p>We went along the river in the morning, and came back by the hill.</p><h2>The hill</h2><p>It is steep, and there is a view.</p></article>
+<section class="replies"><h2>Replies</h2><div class="item"><p>We went there too, and the view is fine on clear days.</p></div><div class="item"><p>Take water with you, there is none on the hill.</p></div></section>
+<section class="discussion"><h3>Discussion</h3><div class="msg"><p>Is the path open in winter, does anyone know that?</p></div><div class="msg"><p>It is, but bring good shoes.</p></div></section><footer>End</footer></body></html>""",
+    """<html><body y="0"><main y="1"><h1>A soup</h1><p>Cut the leeks, and boil them with salt for half an hour.</p><section><h2>To serve</h2><p>Bread goes well with it, and so does cheese.</p></section></main>
+<div class="responses"><h3>4 responses</h3><ol><li class="item-x"><p>Made it on Sunday, and all of us liked it.</p></li><li class="item-x"><p>Too much salt for me, but good.</p></li></ol></div>
+<section class="reviews"><h2>Reviews by readers</h2><div><p>Five stars, we will make it again next week.</p></div></section><section class="feedback"><h2>Feedback</h2><p>Tell us what you think of it.</p></section>
+<div class="thread"><div class="row"><p>Does it keep until the next day?</p></div><div class="row"><p>Yes, in a cool place.</p></div></div></body></html>""",
+    # notices inside the article
+    """<html><body y="0"><div class="top-bar" y="0">Free delivery this week on all orders.</div><a class="skip-link" href="#m">Skip to content</a><article y="1"><div class="announcement" y="0"><p>Our office is closed on Monday and on Tuesday.</p></div>
+<h1>The old mill</h1><p>The mill was built by two brothers, and it ran for a hundred years.</p><div class="paywall" y="0"><p>You have read three free stories. Sign up to go on.</p></div><p>Then the river was moved.</p>
+<div class="author-box" y="0"><p>The author lives in the north and writes on mills.</p></div><div class="bio" y="0"><p>She has written two books on rivers and boats.</p></div><div class="legal" y="0"><p>This text is given without any warranty.</p></div></article>
+<div class="gdpr"><p>We and our partners store data on your device.</p><a href="/ok">Agree</a></div><div class="pager"><a href="/1">1</a> <a href="/2">2</a></div></body></html>""",
+    # a page laid out by a table
+    """<html><body y="0"><table><tr><td><a href="/">Home</a> <a href="/n">News</a> <a href="/c">Contact</a></td></tr><tr><td y="1"><h1>A page in a table</h1><p>Old pages were laid out like this, with the text in one cell.</p><p>It went on below.</p></td>
+<td><a href="/x">One link</a><br><a href="/y">Another link</a></td></tr><tr><td><a href="/t">Terms</a> | <a href="/p">Privacy</a></td></tr></table></body></html>""",
+    # a table and boxes of the article's own; a list of links that belongs to it
+    """<html><body y="0"><header><a href="/">Site</a></header><article y="1"><h1>Three rivers</h1><p>There are three rivers in the valley, and they meet below the town.</p><table><tr><th>River</th><th>Length</th></tr><tr><td>First</td><td>20 km</td></tr><tr><td>Second</td><td>35 km</td></tr></table>
+<div class="box"><h3>How to get there</h3><p>Take the train, and then walk for an hour.</p></div><div class="para"><p>Each river has a bridge, and one of them has two.</p></div><div class="para"><p>The oldest is of wood.</p></div><ul><li>See the <a href="/m">map</a> of them</li><li>Ask at the inn</li></ul></article></body></html>""",
 ]
 
 #: Pages that the model is not fitted on, to measure it.
