@@ -323,7 +323,16 @@ def type_by_calls(s, d):
     return L.type_by_calls(one("a"), one("r"), ["contig", "pos"], "a", "r", 0.06)
 
 
-@q("holdout_regions", None)
+REGIONS = """WITH g AS (SELECT c_mktsegment AS organism, CAST(c_nationkey AS VARCHAR) AS contig, CAST(sum(CAST(floor(c_acctbal) AS BIGINT) + 2000) AS BIGINT) AS length FROM customer GROUP BY ALL),
+s AS (SELECT *, length / sum(length) OVER (PARTITION BY organism) AS share FROM g),
+r AS (SELECT *, sum(share) OVER (PARTITION BY organism ORDER BY md5('11:' || organism || ':' || contig) ROWS UNBOUNDED PRECEDING) AS run,
+  max(CASE WHEN share >= 0.06 AND share <= 0.1 THEN (-abs(share - 0.08), contig) END) OVER (PARTITION BY organism) AS band, row_number() OVER (PARTITION BY organism ORDER BY length DESC, contig) = 1 AS big FROM s),
+a AS (SELECT *, max(CAST(run <= 0.1 AS INT)) OVER (PARTITION BY organism) AS fits FROM r),
+e AS (SELECT organism, contig, length, CASE WHEN band IS NOT NULL THEN CASE WHEN band[2] = contig THEN length END WHEN fits = 1 THEN CASE WHEN run <= 0.1 THEN length END WHEN big THEN CAST(floor(length * 0.08 / share) AS BIGINT) END AS x FROM a)
+SELECT organism, contig, 0 AS start, least(x, length) AS "end" FROM e WHERE least(x, length) > 0"""
+
+
+@q("holdout_regions", REGIONS)
 def holdout_regions(s, d):
     c = t(s, d, "customer")
     g = c.groupBy(F.col("c_mktsegment").alias("organism"), F.col("c_nationkey").cast("string").alias("contig")).agg(F.sum(F.floor("c_acctbal").cast("long") + 2000).alias("length"))

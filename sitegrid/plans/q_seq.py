@@ -125,7 +125,16 @@ def kinetics_rows(s, d):
     return L.kinetics_rows(seqs(s, d), c.where((F.col("pos") * 7 + F.col("contig")) % 3 == 0), c.where("pos % 2 = 0"), [("CNG", 0)], 2, "C")
 
 
-@q("screened_candidates", None)
+SCREENED = f"""WITH {SEQS}, {hits('CNG', 0, 'CNG')}, gt AS (SELECT DISTINCT contig, pos FROM pos_cng),
+cover AS (SELECT DISTINCT contig, lo + k AS pos FROM (SELECT contig, CASE WHEN strand = '+' THEN pos ELSE pos - 2 END AS lo FROM pos_cng), (SELECT unnest([0, 1, 2]) AS k)),
+c AS (SELECT contig, i AS pos FROM (SELECT contig, seq, unnest(range(length(seq))) AS i FROM seqs) WHERE substr(seq, i + 1, 1) = 'C' AND i % 40 >= 10 AND i % 17 / 100 <= 0.05),
+neg AS (SELECT c.* FROM c ANTI JOIN cover USING (contig, pos)), a AS (SELECT (SELECT count(*) FROM gt) AS p, least((SELECT count(*) FROM neg), CAST(floor((SELECT count(*) FROM gt) * 2.0) AS BIGINT)) AS q),
+n AS (SELECT CASE WHEN p + q > 20000 THEN CAST(floor(20000 * p / (p + q)) AS BIGINT) ELSE p END AS p, CASE WHEN p + q > 20000 THEN CAST(floor(20000 * q / (p + q)) AS BIGINT) ELSE q END AS q FROM a),
+b AS (SELECT contig, pos, 1 AS label, row_number() OVER (ORDER BY md5('4:' || contig || ':' || pos), contig, pos) AS rn FROM gt UNION ALL SELECT contig, pos, 0, row_number() OVER (ORDER BY md5('4:' || contig || ':' || pos), contig, pos) FROM neg)
+SELECT contig, pos, label FROM b, n WHERE rn <= CASE WHEN label = 1 THEN p ELSE q END"""
+
+
+@q("screened_candidates", SCREENED)
 def screened_candidates(s, d):
     r = seqs(s, d)
     gt = Q.motif_sites(r, "CNG", 0).select("contig", "pos").distinct()
