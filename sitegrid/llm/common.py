@@ -37,6 +37,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that written() made in this application. Results that are still lazy read them: write these first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers outlive their tasks, and what they keep adds up over stages."""
     pa.default_memory_pool().release_unused()
