@@ -271,15 +271,12 @@ def test_registered_queries(spark, name):
         assert Counter(tuple(r)[:5] for r in got.collect()) == brute_pieces(d, 4096)
 
 
-def test_clean_removes_what_was_written(spark, tmp_path):
+def test_clean_removes_what_was_written(spark, tmp_path, monkeypatch):
     import os
 
     from sitegrid.llm import common
 
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert common.written(spark.range(3).toDF("x"), "some").count() == 3 and os.listdir(f"{tmp_path}/{spark.sparkContext.applicationId}")
-        common.clean(spark)
-        assert not os.path.exists(f"{tmp_path}/{spark.sparkContext.applicationId}")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    assert common.written(spark.range(3).toDF("x"), "some").count() == 3 and os.listdir(f"{tmp_path}/{spark.sparkContext.applicationId}")
+    common.clean(spark)
+    assert not os.path.exists(f"{tmp_path}/{spark.sparkContext.applicationId}")
