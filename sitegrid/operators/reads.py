@@ -33,21 +33,17 @@ def select_reads(covering: DataFrame, k: int, seed: int, site: list[str]) -> Dat
 
 
 def lowest(ranked: DataFrame, k: int, site: list[str]) -> DataFrame:
-    """The k reads of lowest rank (column _r) at each site, of rows that are distinct by read and site."""
+    """The k reads of lowest rank (column _r) at each site. A read that stands twice at a site has one rank there, and counts once:
+    what the group limit leaves is made distinct without another shuffle."""
     w = Window.partitionBy(*site).orderBy("_r", F.col("read_id").cast("string"))
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_r")
+    return ranked.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= k).drop("_r").dropDuplicates([*site, "read_id"])
 
 
 def select_covering(aln: DataFrame, sites: DataFrame, k: int, seed: int, width: int = 1024) -> DataFrame:
-    """select_reads of covering(aln, sites): a read is ranked once, before it meets its sites, and pairs are distinct as
-    soon as alignments and sites are, so that the pairs are shuffled once, by site, after the group limit."""
-    one = aln.where("end > start").select("read_id", "contig", "strand", "start", "end").distinct()
-    ranked = one.withColumn("_r", read_rank(F.col("read_id"), seed))
-    several = one.groupBy("read_id", "contig", "strand").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    keys = ["read_id", "contig", "strand"]
-    once = lambda d: covering(d, sites, width, ["_r"]).select("read_id", "contig", "pos", "strand", "_r")
-    # a read with several alignments to one strand of a contig may cover a site twice
-    pairs = once(ranked.join(several, keys, "left_anti")).unionByName(once(ranked.join(several, keys, "left_semi")).distinct())
+    """select_reads of covering(aln, sites): a read is ranked once, before it meets its sites, and pairs are shuffled once, by site,
+    after the group limit. A read with several alignments may cover a site twice; lowest sees to that."""
+    ranked = aln.where("end > start").select("read_id", "contig", "strand", "start", "end").withColumn("_r", read_rank(F.col("read_id"), seed))
+    pairs = covering(ranked, sites, width, ["_r"]).select("read_id", "contig", "pos", "strand", "_r")
     return lowest(pairs, k, ["contig", "pos", "strand"])
 
 
