@@ -137,18 +137,18 @@ PAIRS = f"{ALN}, {SITES}, cov AS (SELECT DISTINCT read_id, s.contig, pos, s.stra
 
 @q("partition_reads", f"WITH {PAIRS}, r AS (SELECT *, count(*) OVER (PARTITION BY contig, pos, strand) AS n, row_number() OVER (PARTITION BY contig, pos, strand ORDER BY md5('3:' || read_id), CAST(read_id AS VARCHAR)) AS rn FROM cov) SELECT read_id, contig, pos, strand, CAST((rn - 1) // 2 AS INTEGER) AS image_idx FROM r WHERE (rn - 1) // 2 < least(4, greatest(1, n // 2))")
 def partition_reads(s, d):
-    return W.partition_reads(W.covering(aln(s, d), sites(s, d)).distinct(), SITE, 2, 4, 3)
+    return W.partition_covering(aln(s, d), sites(s, d), 2, 4, 3)
 
 
 @q("order_rows", f"WITH {PAIRS} SELECT contig, pos, strand, string_agg(CAST(read_id AS VARCHAR), ',' ORDER BY read_id % 3, pos, CAST(read_id AS VARCHAR)) AS names FROM cov GROUP BY ALL")
 def order_rows(s, d):
-    c = W.covering(aln(s, d), sites(s, d)).distinct().withColumn("hp", (F.col("read_id") % 3).cast("int")).withColumn("start", F.col("pos"))
-    return W.order_rows(c, SITE).select(*SITE, F.array_join("rows.read_id", ",").alias("names"))
+    a = aln(s, d).withColumn("hp", (F.col("read_id") % 3).cast("int"))
+    return W.order_covering(a, sites(s, d)).select(*SITE, F.array_join("rows.read_id", ",").alias("names"))
 
 
 @q("cap_reads", f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY contig, pos, strand ORDER BY md5('5:' || read_id), CAST(read_id AS VARCHAR)) AS rn FROM cov) SELECT read_id, contig, pos, strand FROM r WHERE rn <= 2")
 def cap_reads(s, d):
-    return W.cap_reads(W.covering(aln(s, d), sites(s, d)).distinct(), SITE, 2, 5)
+    return W.cap_covering(aln(s, d), sites(s, d), 2, 5)
 
 
 @q("project_calls", f"WITH {ALN} SELECT l_orderkey AS read_id, contig, \"start\" + (CASE WHEN strand = '-' THEN 99 - l_linenumber * 14 ELSE l_linenumber * 14 END) AS pos, count(*) AS n FROM lineitem JOIN aln ON l_orderkey = read_id WHERE (CASE WHEN strand = '-' THEN 99 - l_linenumber * 14 ELSE l_linenumber * 14 END) BETWEEN 0 AND 79 GROUP BY ALL")
