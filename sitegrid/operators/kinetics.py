@@ -76,7 +76,7 @@ def kinetics_rows(ref: DataFrame, calls: DataFrame, coverage: DataFrame, kind: s
     """
     center = max(sizes)
     own = calls.where(F.col("type") == kind).select(*SITE).distinct().withColumn("called", F.lit(True))
-    cx = seq.context(seq.base_sites(ref, base), ref, center).select(*SITE, "context").join(own, SITE, "left").withColumn("called", F.coalesce("called", F.lit(False)))
+    cx = seq.base_contexts(ref, base, center).join(own, SITE, "left").withColumn("called", F.coalesce("called", F.lit(False)))
     found = greedy_motifs(cx.select("context", "called"), list(sizes), center, rate, least, top)
     first = F.coalesce(*[F.when(F.substring("context", center - m.offset + 1, len(m.kmer)) == m.kmer, F.lit(m.name)) for m in found if m.name not in skip], F.lit(None).cast("string"))
     pos = cx.where("called").withColumn("motif", first).where("motif IS NOT NULL").select(*SITE, F.lit(1).alias("label"), "motif")

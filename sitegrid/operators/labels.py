@@ -153,22 +153,28 @@ def kinetics_rows(ref: DataFrame, calls: DataFrame, covered: DataFrame, motifs:
 def discover_motifs(windows: DataFrame, sizes: list[int], center: int, top: int = 60, least: int = 50, min_rate: float = 0.9, background_windows: DataFrame | None = None) -> list[tuple[str, int, int]]:
     """Greedy: of the k-mers around called positions (windows: id, context) the one that explains most calls at a rate of
     min_rate among all windows (background_windows), shorter first on ties; then again without what it explains.
-    Each round is one aggregation; `top` candidates come to the driver."""
-    left, found = windows, []
+    Windows are collapsed to distinct contexts with their number, and words of all windows counted, once; a round aggregates
+    what is left of the called contexts; `top` candidates come to the driver."""
     whole = background_windows if background_windows is not None else windows
-
-    def kmers(d: DataFrame) -> DataFrame:
-        parts = [F.struct(F.lit(k).alias("k"), F.lit(o).alias("o"), F.substring("context", center - o + 1, k).alias("kmer")) for k in sizes for o in range(k)]
-        return d.select("id", F.explode(F.array(*parts)).alias("m")).select("id", "m.*")
-
-    while True:
-        c = kmers(left).groupBy("kmer", "o", "k").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "k", "kmer", "o").limit(top)
-        every = kmers(whole).join(F.broadcast(c.select("kmer", "o")), ["kmer", "o"]).groupBy("kmer", "o").agg(F.count("*").alias("all"))
-        best = c.join(every, ["kmer", "o"]).where(F.col("n") >= min_rate * F.col("all")).orderBy(F.desc("n"), "k", "kmer", "o").first()
-        if best is None:
-            return found
-        found.append((best.kmer, best.o, best.n))
-        left = left.where(F.substring("context", center - best.o + 1, len(best.kmer)) != best.kmer)
+    parts = [F.struct(F.lit(k).alias("k"), F.lit(o).alias("o"), F.substring("context", center - o + 1, k).alias("kmer")) for k in sizes for o in range(k)]
+
+    def words(d: DataFrame, n: str) -> DataFrame:
+        return d.select("n", F.explode(F.array(*parts)).alias("m")).groupBy("m.kmer", "m.o", "m.k").agg(F.sum("n").alias(n))
+
+    left = calls = windows.groupBy("context").agg(F.count("*").alias("n")).persist()
+    every = words(whole.groupBy("context").agg(F.count("*").alias("n")), "all").drop("k").persist()
+    found = []
+    try:
+        while True:
+            c = words(left, "n").where(F.col("n") >= least).orderBy(F.desc("n"), "k", "kmer", "o").limit(top)
+            best = c.join(every, ["kmer", "o"]).where(F.col("n") >= min_rate * F.col("all")).orderBy(F.desc("n"), "k", "kmer", "o").first()
+            if best is None:
+                return found
+            found.append((best.kmer, best.o, best.n))
+            left = left.where(F.substring("context", center - best.o + 1, len(best.kmer)) != best.kmer)
+    finally:
+        calls.unpersist()
+        every.unpersist()
 
 
 def holdout_regions(contigs: DataFrame, frac: float, slack: float, seed: int) -> DataFrame:

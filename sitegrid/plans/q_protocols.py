@@ -80,7 +80,7 @@ def chem_counts(s, d):
 def kinetics(s, d):
     """Calls at nearly all sites of GATC's A and of TCA's A, and here and there elsewhere."""
     r = seqs(s, d)
-    cx = Q.context(Q.base_sites(r, "A"), r, 3).select(*SITE, "context")
+    cx = Q.base_contexts(r, "A", 3)
     h = F.pmod(F.col("pos") * 31 + F.col("contig") * 17, F.lit(97))
     motif = F.substring("context", 3, 4).isin("GATC") | (F.substring("context", 2, 4) == "TCAA")
     called = F.when(motif, h < 94).otherwise(h < 1)

@@ -188,3 +188,36 @@ def test_no_window_orders_a_whole_stratum(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
     windows = [x for x in plan.splitlines() if "Window [row_number()" in x]
     assert windows and all("_b#" in x for x in windows)
+
+
+def test_lowest_reads_come_from_pieces(spark):
+    rng = random.Random(4)
+    aln = [(i, 1, "+", a, a + rng.choice([0, 1, 7, 64, 300])) for i in range(60) for a in [rng.randrange(-50, 400)]]
+    a = spark.createDataFrame(aln + aln[:9], "read_id long, contig long, strand string, start long, end long")
+    s = spark.createDataFrame([(1, "+", p) for p in range(-60, 500, 7)], "contig long, strand string, pos long")
+    pairs = reads.covering(a, s).distinct()
+    names = ["read_id", "contig", "pos", "strand"]
+    site = names[1:]
+    assert rows(reads.cap_covering(a, s, 2, 5).select(names)) == rows(reads.cap_reads(pairs, site, 2, 5).select(names))
+    for width in (1, 8, 1024):
+        assert rows(reads.select_covering(a, s, 3, 7, width)) == rows(reads.select_covering(a, s, 3, 7))
+    assert rows(reads.partition_covering(a, s, 2, 4, 3)) == rows(reads.partition_reads(pairs, site, 2, 4, 3))
+    hp = a.withColumn("hp", F.when(F.col("read_id") % 3 > 0, (F.col("read_id") % 3).cast("int")))
+    p = pairs.join(hp.select("read_id", "hp").distinct(), "read_id").withColumn("start", F.col("pos"))
+    assert sorted(map(str, reads.order_covering(hp, s, 16).select(*site, "rows").collect())) == sorted(map(str, reads.order_rows(p, site).select(*site, "rows").collect()))
+
+
+def test_intervals_are_merged_in_bins(spark):
+    iv = spark.createDataFrame([(1, 0, 5), (1, 3, 9), (1, 9, 20), (1, 40, 40), (1, 3, 9)] + [(1, 50, 60)] * 500, "contig long, start long, end long")
+    got = sorted((r["_b"], r["_s"], r["_e"]) for r in ranges.merged(iv, ["contig"], 16).collect())
+    assert got == [(0, 0, 16), (1, 16, 20), (3, 50, 60)]
+
+
+def test_contexts_of_a_base_are_contexts_of_its_sites(spark):
+    rng = random.Random(2)
+    ref = spark.createDataFrame([(i, "".join(rng.choice("ACGTN") for _ in range(n))) for i, n in enumerate((0, 1, 5, 199, 200, 201, 950))], "contig long, seq string")
+    want = seq.context(seq.base_sites(ref, "A"), ref, 3).select("contig", "pos", "strand", "context")
+    assert rows(seq.base_contexts(ref, "A", 3)) == rows(want)
+    assert rows(seq.chunked(ref, 3, 200_000)) == rows(seq.chunked(ref, 3))
+    assert "Join" not in seq.base_contexts(ref, "A", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert seq.context(seq.base_sites(ref, "A"), ref, 3)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
