@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitegrid.operators import ranges, ranking, reads, sampling, splits
+from sitegrid.operators import ranges, ranking, reads, sampling, splits, tables
 from sitegrid.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +122,13 @@ def test_same_rows_under_any_partitioning(spark, name):
     assert got[0] and len(got[0]) == len(got[1])
     if name in ("screened_candidates", "holdout_regions", "build_pileups", "discover_motifs", "project"):
         assert got[0] == got[1]
+
+
+def test_a_site_meets_its_scores_once(spark):
+    site = ("s", 1, 7, "+")
+    sites = spark.createDataFrame([("r", *site, 1, True), ("r", "s", 1, 8, "-", 0, False)], "row string, sample string, contig long, pos long, strand string, label int, is_cpg boolean")
+    scores = spark.createDataFrame([("a", *site, 4.0), ("b", *site, 6.0), ("c", *site, -2.0)], "model string, sample string, contig long, pos long, strand string, sum_p double")
+    use = spark.createDataFrame([("k", "r", x, m) for x, ms in (("ab", "ab"), ("c", "c"), ("cd", "cd")) for m in ms], "kind string, row string, column string, model string")
+    d = tables.cell_scores(sites, scores, tables.models_of(use), 2)
+    got = {(r["column"], r.pos): r.score for r in d.collect()}
+    assert got == {("ab", 7): 3.0, ("c", 7): -1.0, ("cd", 7): 0.0, ("ab", 8): 0.0, ("c", 8): 0.0, ("cd", 8): 0.0}
