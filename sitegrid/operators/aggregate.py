@@ -36,9 +36,14 @@ def dominant_code(bedmethyl: DataFrame, min_cov: int) -> DataFrame:
     return bedmethyl.where(F.col("cov") >= min_cov).groupBy("contig", "pos").agg(best.alias("code"))
 
 
+def steady_mean(x: str) -> Column:
+    """The mean of a group of bounded size, added up in the order of the values: equal values have equal means, to the last bit."""
+    return F.when(F.count(x) > 0, F.aggregate(F.array_sort(F.collect_list(F.col(x).cast("double"))), F.lit(0.0), lambda a, v: a + v) / F.count(x))
+
+
 def window_track(df: DataFrame, w: int, models: list[str], min_sites: int = 1) -> DataFrame:
     """Means by window of w positions; windows with fewer sites go."""
-    g = df.groupBy("contig", F.floor(F.col("pos") / w).alias("win")).agg(*[F.avg(m).alias(m) for m in models], F.avg("n_reads").alias("covg"), F.count("*").alias("n"))
+    g = df.groupBy("contig", F.floor(F.col("pos") / w).alias("win")).agg(*[steady_mean(m).alias(m) for m in models], F.avg("n_reads").alias("covg"), F.count("*").alias("n"))
     return g.where(F.col("n") >= min_sites).withColumn("start", F.col("win") * w)
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitegrid.functions import scalar, seq
-from sitegrid.operators import labels, ranges, ranking, reads, report, sampling, splits
+from sitegrid.operators import aggregate, labels, ranges, ranking, reads, report, sampling, splits
 from sitegrid.plans.queries import QUERIES
 from sitegrid.sources import sinks, text
 from sitegrid.streaming.calls import aggregate_calls_stream
@@ -221,3 +221,12 @@ def test_contexts_of_a_base_are_contexts_of_its_sites(spark):
     assert rows(seq.chunked(ref, 3, 200_000)) == rows(seq.chunked(ref, 3))
     assert "Join" not in seq.base_contexts(ref, "A", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert seq.context(seq.base_sites(ref, "A"), ref, 3)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_windows_of_equal_values_tie(spark):
+    values = [0.1, 0.7, 0.3, 0.2, 0.6, 0.11254, 1e9, -1e9]
+    d = [(c, i, v, 1) for c in range(40) for i, v in enumerate(random.Random(c).sample(values, len(values)))]
+    got = aggregate.window_track(spark.createDataFrame(d, "contig long, pos long, a double, n_reads int").repartition(7), 10, ["a"])
+    assert len({r.a for r in got.collect()}) == 1
+    none = aggregate.window_track(spark.createDataFrame([(1, 1, None, 1)], "contig long, pos long, a double, n_reads int"), 10, ["a"]).first()
+    assert none.a is None and none.n == 1
