@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,15 +80,49 @@ def balanced_draws(df: DataFrame, buckets: list[str], keys: list[str], n: int, s
 
 
 def bootstrap_auroc(df: DataFrame, label: str, score: str, stratum: list[str], n: int, seed: int) -> DataFrame:
-    """Percentiles 2.5, 50 and 97.5 of the pooled AUROC over n resamples by stratum, each drawn by hash with replacement."""
-    d = ranking.numbered(df.select(*stratum, label, score), stratum, hash_key(seed, *stratum, label, score))
-    r = d.select(*stratum, "_rn", "_n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_rn", *stratum), F.col("_n")) + 1
-    drawn = r.select(*stratum, "replicate", pick.alias("_rn")).join(d.drop("_n"), [*stratum, "_rn"])
-    a = ranking.auroc(drawn, label, score, ["replicate"])
+    """Percentiles 2.5, 50 and 97.5 of the pooled AUROC over n resamples by stratum, as many rows each, drawn with replacement."""
+    counts = drawn_counts(df, label, score, stratum, n, seed).where("label IS NOT NULL AND score IS NOT NULL")
+    y, k = F.col("label"), F.col("k")
+    a = ranking.auroc_of_counts(counts.groupBy("replicate", "score").agg(F.sum(y * k).alias("p"), F.sum((1 - y) * k).alias("n")), ["replicate"])
     return a.agg(*[F.percentile("auroc", q).alias(x) for q, x in ((0.025, "lo"), (0.5, "mid"), (0.975, "hi"))])
 
 
+def drawn_counts(df: DataFrame, label: str, score: str, stratum: list[str], n: int, seed: int, block: int = 1024) -> DataFrame:
+    """stratum, replicate, label, score, k: how often rows of a label and score are among a resample's draws; those never drawn are
+    left out. No row is copied: equal rows are counted, a stratum's draws fall to blocks of its counts, a block's draws to its counts,
+    both as multinomial numbers seeded by stratum and block."""
+    c = df.groupBy(*stratum, F.col(label).cast("long").alias("label"), F.col(score).cast("double").alias("score")).agg(F.count("*").alias("c")).persist(StorageLevel.DISK_ONLY)
+    d = ranking.numbered(c, stratum, hash_key(seed, *stratum, "label", "score"), "label", "score").withColumn("_i", F.floor((F.col("_rn") - 1) / block))
+    cells = F.array_sort(F.collect_list(F.struct("_rn", "label", "score", "c")))
+    blocks = d.groupBy(*stratum, "_i").agg(cells.alias("_cells"), F.sum("c").alias("_m"))
+    names = [f"_{i}" for i in range(len(stratum))]
+    of = F.xxhash64(F.lit(seed), *stratum)
+    sizes = blocks.select(*[F.col(x).alias(y) for x, y in zip(stratum, names)], F.col("_i").alias("_j"), F.col("_m").alias("_w"), of.alias("_seed"))
+
+    def fall(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_j", ignore_index=True)
+        w = p["_w"].to_numpy()
+        draws = np.random.default_rng(int(p["_seed"][0]) % 2**64).multinomial(w.sum(), w / w.sum(), n)
+        return p.drop(columns=["_w", "_seed"]).assign(_draws=list(draws.T))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.drop("_w", "_seed").schema)
+    sizes = sizes.groupBy(*names).applyInPandas(fall, f"{kinds}, _draws array<bigint>")
+    on = [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(stratum, names)] + [F.col("_i") == F.col("_j")]
+    j = blocks.join(sizes, on).select(*stratum, "_cells", "_draws", F.xxhash64(F.lit(seed), "_i", *stratum).alias("_seed"))
+
+    def draw(seed_: pd.Series, cells_: pd.Series, draws_: pd.Series) -> pd.Series:
+        out = []
+        for x, row, m in zip(seed_, cells_, draws_):
+            w = np.asarray(row, dtype=np.int64)
+            out.append(np.random.default_rng(int(x) % 2**64).multinomial(np.asarray(m), w / w.sum()).T.ravel())
+        return pd.Series(out)
+
+    k = F.pandas_udf(draw, "array<bigint>")("_seed", F.col("_cells.c"), "_draws")
+    e = j.select(*stratum, "_cells", F.posexplode(k).alias("_at", "k")).where("k > 0")
+    cell = F.get("_cells", F.floor(F.col("_at") / n).cast("int"))
+    return e.select(*stratum, (F.col("_at") % n + 1).alias("replicate"), cell["label"].alias("label"), cell["score"].alias("score"), "k")
+
+
 def fewshot(df: DataFrame, k: int, group: list[str], keys: list[str], seed: int, replay: int = 0) -> DataFrame:
     """Hashed halves; of the support half k positives and k negatives, nested in k, repeated to about a quarter of a replay
     sample of `replay` rows; the query half whole. Column role: support or query."""

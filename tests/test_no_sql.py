@@ -91,6 +91,21 @@ def test_bootstrap_holds_the_auroc(spark):
     assert r.lo < auc(y, s) < r.hi and r.hi - r.lo < 0.15 and r.lo <= r.mid <= r.hi
 
 
+def test_resamples_keep_strata_and_copy_no_row(spark):
+    rows = [(k % 3 if k % 3 else None, (k // 5) % 2, float(k % 7) if k % 11 else None) for k in range(900)]
+    d = spark.createDataFrame(rows, "row int, label int, score double")
+    got = sampling.drawn_counts(d, "label", "score", ["row"], 50, 2, block=4)
+    per = {(r.row, r.replicate): r.k for r in got.groupBy("row", "replicate").agg(F.sum("k").alias("k")).collect()}
+    assert len(per) == 150 and set(per.values()) == {300}
+    want = {(r.row, r.label, r.score): r["count"] for r in d.groupBy("row", "label", "score").count().collect()}
+    mean = {(r.row, r.label, r.score): r.k / 50 for r in got.groupBy("row", "label", "score").agg(F.sum("k").alias("k")).collect()}
+    assert mean.keys() == want.keys() and all(abs(mean[x] - want[x]) < 5 * (want[x] / 50) ** 0.5 for x in want)
+    again = sampling.drawn_counts(d.repartition(5), "label", "score", ["row"], 50, 2, block=4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan
+
+
 def test_samples_sort_few_rows_and_hold_the_smallest(spark):
     d = spark.range(5000).withColumnRenamed("id", "k")
     from sitegrid.functions.scalar import hash_key
