@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +100,11 @@ def audit_calls(scores: DataFrame, by: list[str], k: int) -> DataFrame:
 
 
 def audit_pooled(pool: DataFrame, rows: str, by: list[str]) -> DataFrame:
-    """Pooled AUROC on calibrated ranks, without each row in turn."""
-    return ranking.auroc_without(ranking.rank_calibrate(pool, "score", by), "label", "calibrated", by, rows)
+    """Pooled AUROC on calibrated ranks, without each row in turn. Sites of equal score are counted first, so that all else moves counts."""
+    y = F.col("label").cast("long")
+    c = pool.groupBy(*by, rows, F.col("score").cast("double").alias("score")).agg(F.count("*").alias("k"), F.coalesce(F.sum(y), F.lit(0)).alias("p"), F.coalesce(F.sum(1 - y), F.lit(0)).alias("n")).persist(StorageLevel.DISK_ONLY)
+    g = ranking.rank_calibrate_counts(c, by).where("p + n > 0").groupBy(*by, rows, F.col("calibrated").alias("score")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return ranking.auroc_without_of_counts(g, by, rows)
 
 
 def genome_map(tracks: dict[str, DataFrame], w: int, min_sites: int = 1) -> DataFrame:
