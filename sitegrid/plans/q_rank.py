@@ -10,7 +10,7 @@ from sitegrid.operators import ranking as K
 from sitegrid.operators import report as P
 from sitegrid.operators import sampling as S
 from sitegrid.operators import splits as X
-from sitegrid.plans.core import CALLS, IV, SCORES, SITES, TRACK, calls, intervals, q, r6, scores, sites, t, track
+from sitegrid.plans.core import CALLS, IV, SCORES, SITES, TRACK, calls, dealt, intervals, q, r6, scores, sites, t, track
 from sitegrid.plans.q_calls import CELLS, SEEN, cells, seen
 from sitegrid.sources import sinks
 
@@ -415,7 +415,7 @@ def kmer_center(s, d):
 
 @q("evaluate_sites", f"WITH {CALLS}, s AS (SELECT DISTINCT contig, pos FROM calls WHERE pos % 2 = 0), tr AS (SELECT DISTINCT contig, pos FROM calls WHERE label = 1), a AS (SELECT contig, pos, avg(prob) AS score FROM calls WHERE pos % 2 = 0 GROUP BY ALL), d AS (SELECT a.contig, CASE WHEN tr.pos IS NULL THEN 0 ELSE 1 END AS label, round(score, 9) AS score FROM a LEFT JOIN tr USING (contig, pos)), {CUM}, {AUC} SELECT contig, n_pos, round(auroc, 6) AS auroc FROM auc")
 def evaluate_sites(s, d):
-    c = calls(s, d)
+    c = dealt(s, calls(s, d), t(s, d, "lineitem").count(), "contig", "pos")
     a = c.groupBy("contig", "pos").agg(F.round(F.avg("prob"), 9).alias("prob"))
     m = P.evaluate_sites(c.where("pos % 2 = 0").select("contig", "pos").distinct(), c.where("label = 1"), a, ["contig"])
     return m.select("contig", "n_pos", *r6("auroc"))
