@@ -230,3 +230,25 @@ def test_windows_of_equal_values_tie(spark):
     assert len({r.a for r in got.collect()}) == 1
     none = aggregate.window_track(spark.createDataFrame([(1, 1, None, 1)], "contig long, pos long, a double, n_reads int"), 10, ["a"]).first()
     assert none.a is None and none.n == 1
+
+
+def test_scores_are_shuffled_once(spark):
+    from sitegrid.plans import core, q_tables
+
+    count = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert count(core.scores(spark, SF)) == 1
+    _, _, sites, scores, _, _ = q_tables.inputs(spark, SF)
+    assert count(sites) == count(scores) == 1
+    assert count(scores.groupBy("sample", "contig", "pos", "strand").count().join(sites, ["sample", "contig", "pos", "strand"])) == 2
+
+
+def test_pooled_audit_counts_equal_scores_first(spark):
+    rng = random.Random(5)
+    d = [(rng.choice("ab"), rng.randrange(4), rng.choice([0, 1, None]), rng.choice([None, 0.1, 0.4, 0.5, 0.9])) for _ in range(600)]
+    pool = spark.createDataFrame(d, "strand string, row int, label int, score double")
+    want = ranking.auroc_without(ranking.rank_calibrate(pool, "score", ["strand"]), "label", "calibrated", ["strand"], "row")
+    got = report.audit_pooled(pool, "row", ["strand"])
+    line = lambda r: (r.strand, r.left_out, r.n_pos, r.n_neg, round(r.auroc, 12))
+    assert sorted(map(line, got.collect())) == sorted(map(line, want.collect()))
+    counts = report.ranking.rank_calibrate_counts(spark.createDataFrame([(1, 0.5, 3), (1, 0.7, 1)], "g int, score double, k long"), ["g"])
+    assert {r.score: r.calibrated for r in counts.collect()} == {0.5: 0.5, 0.7: 1.0}
