@@ -16,7 +16,9 @@ def _cut(d: DataFrame, letters: int, chunk: int, overlap: int) -> DataFrame:
     n = F.greatest(F.lit(0), F.floor((F.least(F.length("seq"), F.lit(letters)) - 1) / chunk)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((F.col("start") + i.cast("long") * chunk).alias("start"), F.substring(F.col("seq"), i * chunk + 1, F.lit(chunk + overlap)).alias("seq")))
     more = [c for c in d.columns if c not in ("contig", "start", "seq")]
-    return d.select("contig", *more, F.explode(parts).alias("_p")).select("contig", *more, "_p.start", "_p.seq")  # a row has its chunk alone
+    # a row has its chunk alone. There is always a chunk; the outer form has no filter on their number put below it, which would
+    # make each text anew for every use in it
+    return d.select("contig", *more, F.explode_outer(parts).alias("_p")).select("contig", *more, "_p.start", "_p.seq")
 
 
 def chunked(ref: DataFrame, overlap: int = 31, chunk: int = CHUNK) -> DataFrame:

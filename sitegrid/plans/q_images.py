@@ -14,7 +14,7 @@ SUMS = {"dwell": (1, "reads"), "n_a": (2, "reads"), "n_c": (3, "reads"), "n_g":
 
 def inputs(s, d):
     _, peaks, sig = reads_with_signal(s, d)
-    ref = seqs(s, d)
+    ref = seqs(s, d).repartition("contig")  # a sequence is made once, not anew for each read beside it
     o = F.col("o_orderkey")
     a = t(s, d, "orders").select(o.alias("read_id"), F.col("o_custkey").alias("contig"), ((o * 37) % 200).alias("start"), ((o * 37) % 200 + 10 + o % 40).alias("end"), (o % 61).alias("mapq"), F.when(o % 2 == 0, "+").otherwise("-").alias("strand"), F.when(o % 9 == 0, 256).otherwise((16 * (o % 2)).cast("int")).alias("flag"), (o % 3).cast("int").alias("hp"))
     own = F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
