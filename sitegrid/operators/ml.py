@@ -157,8 +157,11 @@ def agreement_mi(df: DataFrame, a: str, b: str) -> DataFrame:
     return j.agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))).alias("mi"))
 
 
-def forest_importance(df: DataFrame, features: list[str], label: str, seed: int = 1) -> DataFrame:
-    d = df.withColumn("_f", array_to_vector(F.array(*[F.col(f).cast("double") for f in features])))
+def forest_importance(df: DataFrame, features: list[str], label: str, seed: int = 1, rows: int = 250_000) -> DataFrame:
+    """A forest keeps its rows in memory as they are dealt, with a count for each tree, and each task of each round reads a part
+    whole: they are dealt first into parts of about `rows` rows, which don't grow with the input."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    d = df.select(label, *features).repartition(parts).withColumn("_f", array_to_vector(F.array(*[F.col(f).cast("double") for f in features])))
     m = RandomForestClassifier(featuresCol="_f", labelCol=label, numTrees=20, seed=seed).fit(d)
     return df.sparkSession.createDataFrame([(f, float(x)) for f, x in zip(features, m.featureImportances.toArray())], "feature string, importance double")
 

@@ -78,3 +78,11 @@ def test_probe_and_forest_find_what_separates(spark):
     f = d.withColumns({"u": F.col("a")[0], "v": F.col("a")[1], "z": (F.col("label") > 0).cast("int")})
     imp = {r.feature: r.importance for r in M.forest_importance(f, ["u", "v"], "z").collect()}
     assert sum(imp.values()) == pytest.approx(1) and imp["u"] > 0.8
+
+
+def test_a_forest_reads_parts_of_a_fixed_size(spark, monkeypatch):
+    d = spark.range(1000, numPartitions=1).selectExpr("id % 7 AS u", "id % 3 AS v", "cast(id % 7 > 3 AS int) AS y")
+    parts, fit = [], M.RandomForestClassifier.fit
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", lambda self, x: parts.extend(x.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()) or fit(self, x))
+    imp = {r.feature: r.importance for r in M.forest_importance(d, ["u", "v"], "y", rows=100).collect()}
+    assert imp["u"] > 0.8 and sum(parts) == 1000 and max(parts) <= 120
