@@ -4,9 +4,9 @@ Texts are cut into pre-tokens by the tokenizer's pattern, in chunks in which eac
 (chunks.py). The ranked merges are one fold with Spark's higher-order functions over the bytes of a distinct word. Its state is
 an array with a number for each piece, from high to low bits: the rank of the piece that it makes with the next one, the place
 of its first byte, its id. The least number is the pair of lowest rank, the leftmost of equal ones; a step joins this pair.
-Ranks come from a literal map from pairs of ids to the joined piece's rank, dealt into small buckets so that a look-up is short.
-Decoding looks each id's bytes up in a literal array and concatenates them. Then ids and bytes of the words are put in the
-order of each text.
+Ranks come from a map from pairs of ids to the joined piece's rank, dealt into small buckets so that a look-up is short.
+Decoding looks each id's bytes up in an array and concatenates them. Both come by a broadcast join with rows of many words.
+Then ids and bytes of the words are put in the order of each text.
 
 The fold runs once for each of the DICT most frequent words of the corpus; these go to all tasks as a dictionary of bounded
 size. Other words are folded once in each chunk that has them, by the same expression: most are in one or two, and one
@@ -28,7 +28,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,27 +60,36 @@ def joins(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
 
 
 class Ranks:
-    """Literal map of pairs and literal array of pieces for expressions. All 256 single bytes must be pieces."""
+    """Map of pairs and array of pieces for expressions. All 256 single bytes must be pieces.
 
-    def __init__(self, ranks: dict[bytes, int]):
+    They are a table with one row, joined to rows of many words. As literals they stood in full in each text of a plan that the driver
+    makes, and it keeps these: 8 MB and more for each write."""
+
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         pieces = [""] * (max(ranks.values()) + 1)
         if len(pieces) > _ID:
             raise ValueError(f"more than {_ID} pieces")
         for b, r in ranks.items():
             pieces[r] = b.decode("latin-1")
-        buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
-        for a, b, r in joins(ranks):
-            key = a * _ID + b
-            buckets[key % BUCKETS][key] = r
-        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
-        self.map = literal(buckets, "array<map<string,int>>").cast("array<map<bigint,int>>")
-        self.bytes = literal([ranks[bytes([i])] for i in range(256)], "array<int>")
-        self.pieces = literal(pieces, "array<string>")
+        pairs = np.fromiter((x for a, b, r in joins(ranks) for x in (a * _ID + b, r)), np.int64).reshape(-1, 2)
+        bucket = pairs[:, 0] % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        starts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        maps = pa.MapArray.from_arrays(pa.array(starts, pa.int32()), pa.array(pairs[order, 0]), pa.array(pairs[order, 1], pa.int32()))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        self.table = written(spark.createDataFrame(pa.table({"_pairs": one(maps), "_pieces": one(pa.array(pieces))})), "bpe-ranks")
+        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<int>")  # a literal
+
+    def each(self, df: DataFrame, words: str, make: Callable[[Column, Column, Column], Column], out: str) -> DataFrame:
+        """df and make(word, map, pieces) of each word of an array."""
+        pairs = F.col("_pairs").cast("array<map<bigint,bigint>>")  # also makes objects of packed rows, which are faster to look up
+        made = F.transform(F.array(pairs), lambda m: F.transform(words, lambda w: make(w, m, F.col("_pieces"))))[0]
+        return df.join(F.broadcast(self.table)).select(*df.columns, made.alias(out))
 
     def rank(self, m: Column, a: Column, b: Column) -> Column:
         """Of the piece that a and b make, NONE if there is none. m: the map, bound once for all its uses."""
         key = a * _ID + b
-        return F.coalesce(m[(key % BUCKETS).cast("int")][key], F.lit(NONE)).cast("bigint")
+        return F.coalesce(m[(key % BUCKETS).cast("int")][key], F.lit(NONE))
 
     def merged(self, m: Column, word: Column) -> Column:
         """Ids of a word, given as one character for each byte."""
@@ -89,13 +98,13 @@ class Ranks:
         high = _ID * _PLACE
         state = lambda a: F.struct(a.alias("a"), F.array_min(a).alias("m"))
         single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: self.bytes[F.ascii(F.substring(word, i, F.lit(1)))].cast("bigint"))
-        pairs = lambda p: F.transform(p, lambda x, i: F.coalesce(self.rank(m, x, F.get(p, i + 1)), F.lit(NONE)) * high + i * _ID + x)
+        pairs = lambda p: F.transform(p, lambda x, i: self.rank(m, x, F.get(p, i + 1)) * high + i * _ID + x)
 
         def join(a: Column, least: Column) -> Column:
             new = F.shiftright(least, 37)  # the rank: the joined piece's id
 
             def of(x: Column, i: Column) -> Column:
-                first = F.coalesce(self.rank(m, new, id_of(F.get(a, i + 2))), F.lit(NONE)) * high + least % high - least % _ID + new
+                first = self.rank(m, new, id_of(F.get(a, i + 2))) * high + least % high - least % _ID + new
                 before = self.rank(m, id_of(x), new) * high + x % high
                 return F.when(x == least, first).when(F.get(a, i + 1) == least, before).when(F.get(a, i - 1) != least, x).when(i == 0, x)
 
@@ -105,12 +114,6 @@ class Ranks:
         fold = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), bind(bind(single, pairs), state), step)["a"]
         return F.when(F.length(word) < 2, single).otherwise(F.transform(fold, id_of))
 
-    def encode(self, word: Column) -> Column:
-        return F.transform(F.array(self.map), lambda m: self.merged(m, word))[0]
-
-    def decode(self, ids: Column) -> Column:
-        return F.array_join(F.transform(ids, lambda i: self.pieces[i]), "")
-
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for a long word: pairs wait in a heap by rank and place, pieces are linked to their neighbours."""
@@ -142,16 +145,19 @@ def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: st
     (bytes from the ids)."""
     sc = docs.sparkSession.sparkContext
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
-    lit = Ranks(ranks)
+    tables = Ranks(docs.sparkSession, ranks)
 
-    def coded(w: Column) -> Column:
+    def coded(w: Column, m: Column, pieces: Column) -> Column:
         """n, ids and bytes of a word; null if it is long."""
-        made = lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"), F.encode(lit.decode(ids), "ISO-8859-1").alias("bytes"))
-        short = lambda x: F.transform(F.array(lit.encode(x)), made)[0]
+        text = lambda ids: F.array_join(F.transform(ids, lambda i: pieces[i]), "")
+        made = lambda ids: F.struct(F.size(ids).alias("n"), F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"), F.encode(text(ids), "ISO-8859-1").alias("bytes"))
+        short = lambda x: F.transform(F.array(tables.merged(m, x)), made)[0]
         return F.when(F.octet_length(w) <= LONG, F.transform(F.array(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")), short)[0])
 
     top = frequent(docs, text, pattern, "", size).where(F.octet_length("w") <= LONG)
-    top = written(top.repartition(4 * sc.defaultParallelism).select("w", coded(F.col("w")).alias("e")), "bpe-words")
+    parts = 4 * sc.defaultParallelism
+    groups = top.groupBy(F.pmod(F.xxhash64("w"), F.lit(parts)).alias("part")).agg(F.collect_list("w").alias("words")).repartition(parts)  # at most `size` words in all
+    top = written(tables.each(groups, "words", coded, "e").select(F.inline(F.arrays_zip("words", "e")).alias("w", "e")), "bpe-words")
     if not top.where(~F.coalesce(F.col("e.bytes") == F.encode("w", "UTF-8"), F.lit(False))).isEmpty():
         raise ValueError("ids don't give their word back")
     rows = top.select("w", "e.n", "e.ids").toArrow()  # at most `size` words
@@ -195,7 +201,7 @@ def with_ids(docs: DataFrame, text: Column, ranks: dict[bytes, int], pattern: st
     fields = [docs.schema[c] for c in kept]
     chunk_type = StructType([StructField("rows", ArrayType(StructType(fields))), *StructType.fromDDL("words array<string>, starts binary, codes binary").fields])
     chunks = written(rows_and_text(docs, kept, text).mapInArrow(cut, chunk_type), "bpe-chunks")
-    return chunks.withColumn("e", F.transform("words", coded)).mapInArrow(put_together, StructType([*fields, StructField(out, StructType.fromDDL("n_tokens long, ids binary, decoded binary"))]))
+    return tables.each(chunks, "words", coded, "e").mapInArrow(put_together, StructType([*fields, StructField(out, StructType.fromDDL("n_tokens long, ids binary, decoded binary"))]))
 
 
 def check(decoded: pa.Array, words: pa.Array) -> None:

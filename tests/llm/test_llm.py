@@ -625,3 +625,11 @@ def test_pipeline_keeps_clean_documents(spark):
     text = {r.doc_id: r.text for r in d.collect()}
     assert 100 < len(got) < 200
     assert all(hashlib.sha256(text[i].encode()).hexdigest() == h for i, h in zip(got.doc_id, got.decoded_sha256))
+
+
+def test_plans_of_byte_bpe_hold_no_table_of_the_vocabulary(spark):
+    import public_tokenizers as p
+
+    got = byte_bpe.digests(docs(spark, ODD), F.col("text"), byte_bpe.vocabulary(p.path("byte_bpe_50k.tiktoken")), p.PATTERN)
+    got.collect()
+    assert len(got._jdf.queryExecution().toString()) < 500_000
