@@ -119,9 +119,10 @@ def clustered(df: DataFrame, k: int, features: str = "features", seed: int = 1)
     return m.transform(df).withColumnRenamed("prediction", "cluster"), -2 * m.summary.logLikelihood + free * math.log(max(1, n))
 
 
-def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index and normalised mutual information of two labelings, from their contingency table."""
-    t = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+def agreement(df: DataFrame, a: str, b: str, times: Column | None = None) -> DataFrame:
+    """Adjusted Rand index and normalised mutual information of two labelings, from their contingency table; times: how many rows each
+    row stands for."""
+    t = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg((F.count("*") if times is None else F.sum(times)).alias("n"))
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     ent = lambda c, n: -F.sum(F.col(c) / n * F.log(F.col(c) / n))
     ra, rb = (t.groupBy(x).agg(F.sum("n").alias("m")) for x in ("a", "b"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +17,9 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, St
 
 from sitegrid.operators import ml, ranking, splits
 
+#: As MLlib has it.
+EPSILON = 2.0**-52
+
 
 class Trained(NamedTuple):
     """weights: bias last. history: (round, training loss before its step, validation score after it)."""
@@ -197,11 +201,82 @@ def one_gaussian(df: DataFrame, features: str) -> float:
     return float(-0.5 * n * (d * math.log(2 * math.pi) + np.linalg.slogdet(s[:-1, :-1] / n - np.outer(mean, mean))[1] + d))
 
 
-def mixture(df: DataFrame, k: int, features: str, seeds: list[int], rounds: int = 50):
-    """The fit of highest likelihood over restarts, and its likelihood."""
-    fits = [GaussianMixture(k=k, featuresCol=features, seed=s, maxIter=rounds).fit(df) for s in seeds]
-    best = max(fits, key=lambda m: m.summary.logLikelihood)
-    return best, float(best.summary.logLikelihood)
+class Mixture(NamedTuple):
+    """Weights, means and covariances of k Gaussians, and the log likelihood before their last step."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+    log_likelihood: float = -np.finfo(np.float64).max
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """Weighted density of each row under each Gaussian, by the pseudo-inverse where one is flat; not scaled to 1."""
+        out = np.empty((len(x), len(self.weights)))
+        for i, (w, mean, cov) in enumerate(zip(self.weights, self.means, self.covariances)):
+            v, u = np.linalg.eigh(cov)
+            some = v > EPSILON * v.max() * len(v)
+            z = (x - mean) @ (u[:, some] / np.sqrt(v[some]))
+            out[:, i] = EPSILON + w * np.exp(-0.5 * (len(v) * math.log(2 * math.pi) + np.log(v[some]).sum() + (z * z).sum(1)))
+        return out
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Log likelihood of rows, and each Gaussian's sums of shares, of rows and of products: what a step needs, in one vector."""
+        p = self.shares(x)
+        total = p.sum(1)
+        p /= total[:, None]
+        return np.concatenate([[np.log(total).sum()], p.sum(0), (p.T @ x).ravel(), *(((p[:, i, None] * x).T @ x).ravel() for i in range(p.shape[1]))])
+
+    def stepped(self, sums: np.ndarray) -> Mixture:
+        k, d = self.means.shape
+        w, m, c = np.split(sums[1:], [k, k + k * d])
+        means = m.reshape(k, d) / w[:, None]
+        return Mixture(w / w.sum(), means, c.reshape(k, d, d) / w[:, None, None] - means[:, :, None] * means[:, None, :], float(sums[0]))
+
+    def cluster(self, features: str) -> Column:
+        @F.pandas_udf("int")
+        def of(x: pd.Series) -> pd.Series:
+            return pd.Series(self.shares(np.stack(x)).argmax(1) if len(x) else [])
+
+        return of(vector_to_array(features))
+
+
+def mixtures(df: DataFrame, asked: list[tuple[str | None, int]], features: str, seeds: list[int], rounds: int = 50, tol: float = 0.01) -> dict[tuple[str | None, int], Mixture]:
+    """For each (condition, k) the mixture of k Gaussians of highest likelihood over restarts, of the rows of a boolean column (None: all).
+
+    All mixtures step side by side, each round one pass over all rows that leaves a vector of sums for each task and mixture; a
+    mixture ends when its likelihood changes by `tol` or less. MLlib draws where they start, and steps and ends are its own, so that its
+    results come out.
+    """
+    fits: dict[tuple, tuple[Mixture, float]] = {}
+    for on, k in dict.fromkeys(asked):
+        for seed in seeds:
+            m = GaussianMixture(k=k, featuresCol=features, seed=seed, maxIter=0).fit(df if on is None else df.where(on))
+            g = m.gaussians
+            fits[on, k, seed] = Mixture(np.array(m.weights), np.array([x.mean.toArray() for x in g]), np.array([x.cov.toArray() for x in g])), 0.0
+    flags = sorted({on for on, _ in asked if on is not None})
+    rows = df.select(vector_to_array(features).alias("x"), *flags).persist()
+    for _ in range(rounds):
+        going = {key: m for key, (m, before) in fits.items() if abs(m.log_likelihood - before) > tol}
+        if not going:
+            break
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {key: 0.0 for key in going}  # noqa: B023
+            for b in it:
+                if len(b):
+                    x = _matrix(b.column(0))
+                    part = {None: x} | {c: x[np.asarray(b.column(c).fill_null(False)).astype(bool)] for c in flags}
+                    for key, m in going.items():  # noqa: B023
+                        total[key] = total[key] + m.sums(part[key[0]])
+            if all(isinstance(v, np.ndarray) for v in total.values()):
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(list(total.values())).tobytes()], pa.binary())], names=["v"])
+
+        got = sum(np.frombuffer(r.v) for r in rows.mapInArrow(run, "v binary").collect())  # some hundred numbers a mixture and task
+        ends = np.cumsum([1 + len(m.weights) * (1 + m.means.shape[1] * (1 + m.means.shape[1])) for m in going.values()])
+        for (key, m), v in zip(going.items(), np.split(got, ends[:-1])):
+            fits[key] = m.stepped(v), m.log_likelihood
+    rows.unpersist()
+    return {(on, k): max((fits[on, k, s][0] for s in seeds), key=lambda m: m.log_likelihood) for on, k in asked}
 
 
 def bic(log_likelihood: float, n: int, k: int, d: int) -> float:
@@ -211,8 +286,12 @@ def bic(log_likelihood: float, n: int, k: int, d: int) -> float:
 
 def bic_sweep(df: DataFrame, most: int, features: str = "features", seeds: list[int] | None = None) -> list[tuple[int, float, float]]:
     """(k, log likelihood, BIC) for k from 1 to `most`. df is read over and over: give a written or cached projection."""
+    return _sweep(df, most, features, mixtures(df, [(None, k) for k in range(2, most + 1)], features, seeds or [1, 2, 3]))
+
+
+def _sweep(df: DataFrame, most: int, features: str, found: dict[tuple[str | None, int], Mixture]) -> list[tuple[int, float, float]]:
     n, d = df.count(), df.select(features).first()[0].size
-    return [(k, ll, bic(ll, n, k, d)) for k in range(1, most + 1) for ll in [one_gaussian(df, features) if k == 1 else mixture(df, k, features, seeds or [1, 2, 3])[1]]]
+    return [(k, ll, bic(ll, n, k, d)) for k in range(1, most + 1) for ll in [one_gaussian(df, features) if k == 1 else found[None, k].log_likelihood]]
 
 
 def unconfounded(df: DataFrame, kind: str, source: str, none: str = "unmod") -> list:
@@ -230,18 +309,22 @@ def cluster_space(df: DataFrame, kind: str, source: str, features: str = "featur
     """
     seeds = seeds or [1, 2, 3]
     kinds = sorted(r[0] for r in df.select(kind).distinct().collect())  # kinds, not rows
-    best_k = min(bic_sweep(df, min(9, len(kinds) + 3), features, seeds), key=lambda r: r[2])[0]
+    most = min(9, len(kinds) + 3)
     multi = unconfounded(df, kind, source, none)
+    d = df.withColumns({"_unconfounded": F.col(kind).isin(multi) if multi else F.lit(False), "_targeted": F.col(kind) != none})
     both = {kind: F.col(kind), source: F.col(source)}
-    parts = [("all", df, len(kinds), both)]
+    parts = [("all", None, len(kinds), both)]
     if len(multi) >= 2:
-        parts.append(("unconfounded", df.where(F.col(kind).isin(multi)), len(multi), both))
-    parts.append(("targeted", df.where(F.col(kind) != none), 2, {str(x): F.col(kind) == x for x in kinds if x != none}))
+        parts.append(("unconfounded", "_unconfounded", len(multi), both))
+    parts.append(("targeted", "_targeted", 2, {str(x): F.col(kind) == x for x in kinds if x != none}))
+    found = mixtures(d, [*((None, k) for k in range(2, most + 1)), *((on, k) for _, on, k, _ in parts)], features, seeds)
+    best_k = min(_sweep(d, most, features, found), key=lambda r: r[2])[0]
     out = None
-    for name, rows, k, targets in parts:
-        c = mixture(rows, k, features, seeds)[0].transform(rows).select(F.col("prediction").alias("_cluster"), kind, source)
+    for name, on, k, targets in parts:
+        c = (d if on is None else d.where(on)).select(found[on, k].cluster(features).alias("_cluster"), kind, source)
+        c = c.groupBy("_cluster", kind, source).agg(F.count("*").alias("_times")).persist()  # rows are read once, not for each target
         for target, value in targets.items():
-            r = ml.agreement(c.withColumn("_target", value), "_cluster", "_target").select(F.lit(name).alias("part"), F.lit(k).alias("k"), F.lit(target).alias("target"), "ari", "nmi", "n", F.lit(best_k).alias("best_k"))
+            r = ml.agreement(c.withColumn("_target", value), "_cluster", "_target", F.col("_times")).select(F.lit(name).alias("part"), F.lit(k).alias("k"), F.lit(target).alias("target"), "ari", "nmi", "n", F.lit(best_k).alias("best_k"))
             out = r if out is None else out.unionByName(r)
     return out
 

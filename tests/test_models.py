@@ -127,3 +127,25 @@ def test_cluster_space(spark):
     more = d.withColumn("source", F.concat(F.lit("s"), (F.col("id") % 4).cast("string")))
     parts = {r.part for r in X.cluster_space(more, "kind", "source", seeds=[1]).collect()}
     assert parts == {"all", "unconfounded", "targeted"}
+
+
+def test_mixtures_are_mllibs_and_share_their_passes(spark):
+    from pyspark.ml.clustering import GaussianMixture
+
+    d, _ = clusters(spark)
+    d = d.withColumn("some", F.col("kind") != "unmod")
+    asked = [(None, 2), (None, 4), ("some", 2)]
+    got = X.mixtures(d, asked, "features", [1])
+    for on, k in asked:
+        rows = d if on is None else d.where(on)
+        best = GaussianMixture(k=k, featuresCol="features", seed=1, maxIter=50).fit(rows)
+        assert got[on, k].log_likelihood == pytest.approx(best.summary.logLikelihood, rel=1e-9)
+        assert got[on, k].means == pytest.approx(np.array([g.mean.toArray() for g in best.gaussians]), rel=1e-6)
+        same = best.transform(rows).where(F.col("prediction") != got[on, k].cluster("features"))
+        assert same.count() == 0
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    at = [jobs()]
+    for rounds in (0, 20):
+        X.mixtures(d, asked, "features", [1], rounds=rounds, tol=-1)
+        at.append(jobs())
+    assert at[2] - at[1] - (at[1] - at[0]) <= 20
