@@ -21,11 +21,22 @@ def _cut(d: DataFrame, letters: int, chunk: int, overlap: int) -> DataFrame:
 
 def chunked(ref: DataFrame, overlap: int = 31, chunk: int = CHUNK) -> DataFrame:
     """ref (contig, seq and further columns) in chunks of `chunk` letters plus `overlap` of the next. Short chunks are cut from long
-    ones, so that a contig isn't walked through from its beginning for each."""
-    d = ref.withColumns({"start": F.lit(0).cast("long"), "seq": F.upper("seq")})
-    step = max(chunk, CHUNK // chunk * chunk)
+    ones, so that a contig isn't walked through from its beginning for each. A null sequence has none (`least` would take its length
+    for the largest number)."""
+    d = ref.where("seq IS NOT NULL").withColumns({"start": F.lit(0).cast("long"), "seq": F.upper("seq")})
+    fine = max(chunk, FINE // chunk * chunk)
+    step = max(fine, CHUNK // fine * fine)
     d = _cut(d, 2**31 - 1, step, overlap)
-    return d if step == chunk else _cut(d, step, chunk, overlap)
+    for whole, part in ((step, fine), (fine, chunk)):
+        d = d if whole == part else _cut(d, whole, part, overlap)
+    return d
+
+
+def letter_bits(letters: str, column: str = "seq") -> Column:
+    """The first 64 letters of a text as a long: bit i is set where letter i is one of `letters`."""
+    b = F.reverse(F.rpad(F.translate(F.regexp_replace(column, f"[^{letters}]", "0"), letters, "1" * len(letters)), 64, "0"))
+    half = lambda at: F.conv(F.substring(b, at, 32), 2, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(33))
 
 
 def _hits(seq: Column, regex: str, k: int, overlapping: bool) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1024
+WORD = 64  # positions of one long in `marks`
 
 
 def _bins(lo: Column, hi: Column, width: int) -> Column:
@@ -13,6 +16,35 @@ def _bins(lo: Column, hi: Column, width: int) -> Column:
     return F.when(hi > lo, F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))).otherwise(F.array().cast("array<bigint>"))
 
 
+def point_bits(points: DataFrame, **names: Column) -> DataFrame:
+    """For `marks`: a bit for each point (contig, pos), in the columns whose condition the point meets."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("pos", F.lit(WORD)).cast("int"))
+    return points.select("contig", F.shiftright(F.col("pos").cast("long"), 6).alias("_w"), *[F.when(c, bit).alias(n) for n, c in names.items()])
+
+
+def span_bits(spans: DataFrame, **names: Column) -> DataFrame:
+    """For `marks`: the bits from 0 on that spans (contig, start, end) cover, in the columns whose condition the span meets. Long
+    spans are cut in two steps, so that none is listed word by word in one row."""
+    far = WORD * BIN
+    s, e = F.greatest(F.col("start").cast("long"), F.lit(0)), F.col("end").cast("long")
+    d = spans.select("contig", s.alias("_s"), e.alias("_e"), *[c.alias(n) for n, c in names.items()]).where("_e > _s")
+    for width, b in ((far, "_f"), (WORD, "_w")):
+        d = d.select("contig", "_s", "_e", *names, F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor((F.col("_e") - 1) / width))).alias(b))
+        lo = F.col(b) * width
+        d = d.select("contig", b, F.greatest("_s", lo).alias("_s"), F.least("_e", lo + width).alias("_e"), *names)
+    ones, at = F.lit(-1).cast("long"), F.col("_w") * WORD
+    mask = F.call_function("shiftleft", ones, (F.col("_s") - at).cast("int")).bitwiseAND(F.call_function("shiftrightunsigned", ones, (at + WORD - F.col("_e")).cast("int")))
+    return d.select("contig", "_w", *[F.when(F.col(n), mask).alias(n) for n in names])
+
+
+def marks(*parts: DataFrame) -> DataFrame:
+    """Positions as bits: contig, _w and each column of the parts (point_bits, span_bits) as a long, whose bit i stands for position
+    64 * _w + i. Bits are put together before they are shuffled, so what moves is a row for 64 positions, however often they occur."""
+    d = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [c for c in d.columns if c not in ("contig", "_w")]
+    return d.groupBy("contig", "_w").agg(*[F.coalesce(F.bit_or(c), F.lit(0).cast("long")).alias(c) for c in names])
+
+
 def merged(intervals: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
     """What intervals cover, as pieces (keys, _b, _s, _e) that neither overlap nor leave their bin. Of equal starts the longest is
     kept first, so a bin's window sorts `width` rows at most, however many intervals lie there; a bin has width / 2 pieces at most."""

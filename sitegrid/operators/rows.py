@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrid.functions import seq
-from sitegrid.operators import labels, ranges, sampling
+from sitegrid.functions.scalar import revcomp_str
+from sitegrid.operators import ranges, sampling
 
 SITE = ["contig", "pos", "strand"]
 
@@ -37,27 +39,53 @@ def bisulfite_rows(counts: DataFrame, spans: DataFrame, ref: DataFrame, kind: st
     return based
 
 
+def _words(sites: DataFrame, ref: DataFrame, base: str, spans: DataFrame, *more: DataFrame) -> DataFrame:
+    """contig, _w and longs whose bit i stands for position 64 * _w + i: the sites on the strand that has the base there, where a
+    span of that strand covers it (_plus, _minus; N: A and C are +, G and T are -), and the bits of more (ranges.point_bits).
+    No table of single positions is shuffled."""
+    plus, minus = ("AC", "GT") if base == "N" else (base, revcomp_str(base))
+    words = seq.chunked(ref.select("contig", "seq"), 0, ranges.WORD).select("contig", F.floor(F.col("start") / ranges.WORD).alias("_w"), seq.letter_bits(plus).alias("_p"), seq.letter_bits(minus).alias("_m"))
+    bits = ranges.marks(ranges.point_bits(sites, _site=F.lit(True)), ranges.span_bits(spans, _plus=F.col("strand") == "+", _minus=F.col("strand") == "-"), *more)
+    bits = bits.withColumns({c: F.col(c).bitwiseAND(F.col("_site")) for c in ("_plus", "_minus")}).where("_plus != 0 OR _minus != 0").drop("_site")
+    return words.join(bits, ["contig", "_w"]).withColumns({"_plus": F.col("_plus").bitwiseAND(F.col("_p")), "_minus": F.col("_minus").bitwiseAND(F.col("_m"))}).drop("_p", "_m")
+
+
+def _spread(words: DataFrame, keep: Column | None = None, **more: str) -> DataFrame:
+    """contig, pos, strand of the words' sites, or of those in the bits `keep`; the bits of further columns as 0 or 1."""
+    d = words if keep is None else words.withColumns({c: F.col(c).bitwiseAND(keep) for c in ("_plus", "_minus")})
+    d = d.where("_plus != 0 OR _minus != 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(ranges.WORD - 1))).alias("_i"))
+    bit = lambda c: F.getbit(c, F.col("_i"))
+    d = d.where((bit("_plus") == 1) | (bit("_minus") == 1))  # a letter is the base on one strand alone
+    return d.select("contig", (F.col("_w") * ranges.WORD + F.col("_i")).alias("pos"), F.when(bit("_plus") == 1, "+").otherwise("-").alias("strand"), *[bit(c).cast("int").alias(n) for n, c in more.items()])
+
+
 def scorable_sites(sites: DataFrame, ref: DataFrame, base: str, spans: DataFrame) -> DataFrame:
     """Positions on the strand that has the base there, where that strand is covered."""
-    return ranges.scorable(seq.assign_strand(sites.select("contig", "pos").distinct(), ref, base).select(*SITE), spans)
+    return _spread(_words(sites, ref, base, spans))
 
 
 def row_sites_one(truth: DataFrame, candidates: DataFrame, ref: DataFrame, base: str, spans: DataFrame, cap: int, seed: int, seen: DataFrame | None = None) -> DataFrame:
     """OP-18, a row of one sample: its candidates are the sites, those in the truth the positives; negatives beyond cap go by
-    the seeded hash of the site, so that all tools score the same; then what a pool has seen is left out."""
-    d = labels.label_sites(scorable_sites(candidates, ref, base, spans), truth, ["contig", "pos"])
-    kept = d.where("label = 1").unionByName(sampling.sample_uniform(d.where("label = 0"), cap, SITE, seed))
-    return unseen(kept, seen)
+    the seeded hash of the site, so that all tools score the same; then what a pool has seen is left out. Words of sites are kept
+    on disk (persist), since negatives are counted before they are taken."""
+    more = [ranges.point_bits(truth, _truth=F.lit(True)), *_seen_bits(seen)]
+    words = _words(candidates, ref, base, spans, *more).persist(StorageLevel.DISK_ONLY)
+    truth_ = F.col("_truth")
+    if seen is None:
+        return _spread(words, truth_, label="_truth").unionByName(sampling.sample_uniform(_spread(words, F.bitwise_not(truth_), label="_truth"), cap, SITE, seed))
+    negatives = sampling.sample_uniform(_spread(words, F.bitwise_not(truth_), label="_truth", _seen="_seen"), cap, SITE, seed)
+    return _spread(words, truth_.bitwiseAND(F.bitwise_not("_seen")), label="_truth").unionByName(negatives.where("_seen = 0").drop("_seen"))
 
 
 def row_sites_two(positives: DataFrame, negatives: DataFrame, ref: DataFrame, base: str, pos_spans: DataFrame, neg_spans: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """OP-18, a row of two samples: all sites of the first are positive, all of the second negative."""
-    a = scorable_sites(positives, ref, base, pos_spans).withColumn("label", F.lit(1))
-    return unseen(a.unionByName(scorable_sites(negatives, ref, base, neg_spans).withColumn("label", F.lit(0))), seen)
+    """OP-18, a row of two samples: all sites of the first are positive, all of the second negative; without what was seen."""
+    rest = None if seen is None else F.bitwise_not("_seen")
+    side = lambda sites, spans, y: _spread(_words(sites, ref, base, spans, *_seen_bits(seen)), rest).withColumn("label", F.lit(y))
+    return side(positives, pos_spans, 1).unionByName(side(negatives, neg_spans, 0))
 
 
-def unseen(sites: DataFrame, seen: DataFrame | None) -> DataFrame:
-    return sites if seen is None else sites.join(seen.select("contig", "pos").distinct(), ["contig", "pos"], "left_anti")
+def _seen_bits(seen: DataFrame | None) -> list[DataFrame]:
+    return [] if seen is None else [ranges.point_bits(seen, _seen=F.lit(True))]
 
 
 def matched_sites(blocks: DataFrame, row: str, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitegrid.functions import scalar, seq
-from sitegrid.operators import aggregate, labels, ranges, ranking, reads, report, sampling, splits
+from sitegrid.operators import aggregate, labels, ranges, ranking, reads, report, rows as bench_rows, sampling, splits
 from sitegrid.plans.queries import QUERIES
 from sitegrid.sources import sinks, text
 from sitegrid.streaming.calls import aggregate_calls_stream
@@ -218,6 +218,42 @@ def test_a_sites_reads_are_filtered_once(spark):
         assert got._jdf.queryExecution().optimizedPlan().toString().count("filter(_a#") == 1
 
 
+def test_letters_and_positions_as_bits(spark):
+    rng = random.Random(5)
+    texts = ["", "A", "A" * 64, "T" * 63 + "A", "A" + "T" * 63, "NA", "\U0001d400A", "1A1"] + ["".join(rng.choice("ACGTN") for _ in range(rng.randrange(65))) for _ in range(40)]
+    bits = lambda places: sum(1 << i for i in places) - (1 << 64 if 63 in places else 0)
+    got = spark.createDataFrame([(x,) for x in texts], "seq string").select("seq", seq.letter_bits("A").alias("a"), seq.letter_bits("GT").alias("gt")).collect()
+    assert all(r.a == bits({i for i, x in enumerate(r.seq) if x == "A"}) and r.gt == bits({i for i, x in enumerate(r.seq) if x in "GT"}) for r in got)
+    at = [-65, -64, -1, 0, 63, 64, 200, 200, 70_000]
+    over = [(0, 64), (63, 65), (-9, 3), (100, 100), (90, 80), (65_000, 70_000), (69_999, 70_001)]
+    pts = spark.createDataFrame([(1, p) for p in at], "contig long, pos int")
+    iv = spark.createDataFrame([(1, lo, hi) for lo, hi in over] + [(2, None, 4)], "contig long, start long, end long")
+    m = ranges.marks(ranges.point_bits(pts, p=F.lit(True), odd=F.col("pos") % 2 == 1), ranges.span_bits(iv, s=F.lit(True))).collect()
+    places = {c: {r["_w"] * 64 + i for r in m for i in range(64) if r[c] >> i & 1} for c in ("p", "odd", "s")}
+    assert places == {"p": set(at), "odd": {63}, "s": {x for lo, hi in over for x in range(max(0, lo), hi)}}
+
+
+@pytest.mark.parametrize("base", ["A", "N"])
+def test_row_sites_meet_the_reference_as_bits(spark, base):
+    rng = random.Random(6)
+    ref = spark.createDataFrame([(i, "".join(rng.choice("ACGTNacgt") for _ in range(n))) for i, n in enumerate((0, 1, 64, 65, 700))] + [(4, "A" * 70), (None, "A"), (9, None)], "contig long, seq string")
+    at = lambda k, lo: spark.createDataFrame([(rng.randrange(5), rng.randrange(lo, 720)) for _ in range(k)] + [(None, 1), (9, 0)], "contig long, pos long")
+    cand, truth, seen = at(900, -70), at(300, -70), at(200, 0)
+    spans = spark.createDataFrame([(c, x, a, a + rng.randrange(200)) for c in range(5) for x in "+-" for a in [rng.randrange(-30, 600) for _ in range(4)]], "contig long, strand string, start long, end long")
+    site = ["contig", "pos", "strand"]
+    every = lambda d: ranges.scorable(seq.assign_strand(d.distinct(), ref, base).select(*site), spans)
+    d = labels.label_sites(every(cand), truth, ["contig", "pos"])
+    one = d.where("label = 1").unionByName(sampling.sample_uniform(d.where("label = 0"), 20, site, 5))
+    gone = lambda x: x.join(seen.distinct(), ["contig", "pos"], "left_anti")
+    two = every(cand).withColumn("label", F.lit(1)).unionByName(every(truth).withColumn("label", F.lit(0)))
+    for s, cut in ((None, lambda x: x), (seen, gone)):
+        got = bench_rows.row_sites_one(truth, cand, ref, base, spans, 20, 5, s)
+        assert rows(got.select(*site, "label")) == rows(cut(one).select(*site, "label"))
+        assert rows(bench_rows.row_sites_two(cand, truth, ref, base, spans, spans, s).select(*site, "label")) == rows(cut(two).select(*site, "label"))
+        joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in f" {x.strip()} "]
+        assert not any("pos#" in x for x in joins)
+
+
 def test_intervals_are_merged_in_bins(spark):
     iv = spark.createDataFrame([(1, 0, 5), (1, 3, 9), (1, 9, 20), (1, 40, 40), (1, 3, 9)] + [(1, 50, 60)] * 500, "contig long, start long, end long")
     got = sorted((r["_b"], r["_s"], r["_e"]) for r in ranges.merged(iv, ["contig"], 16).collect())
