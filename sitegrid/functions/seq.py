@@ -125,16 +125,28 @@ def context(sites: DataFrame, ref: DataFrame, w: int, chunk: int = FINE) -> Data
     return j.withColumn("context", F.when(F.col("strand") == "-", revcomp(text)).otherwise(text)).drop("_c", "_start", "seq", "_len")
 
 
+def base_words(ref: DataFrame, w: int, chunk: int) -> DataFrame:
+    """contig, start, seq: every `chunk` letters of a contig with w more on both sides, N beyond the ends."""
+    edge = F.repeat(F.lit("N"), F.lit(w))
+    return chunked(ref.where(F.length("seq") > 0).select("contig", F.concat(edge, "seq", edge).alias("seq")), 2 * w, chunk)
+
+
+def word_contexts(words: DataFrame, base: str, w: int) -> DataFrame:
+    """base_words as contig, pos, strand, context, _i (the place in the word) and the words' further columns. A word is turned over
+    once for all of its sites."""
+    more = [c for c in words.columns if c not in ("contig", "start", "seq")]
+    c = words.withColumns({"_rc": revcomp(F.col("seq")), "_n": F.length("seq")})
+    mid = F.split(F.substring("seq", F.lit(w + 1), F.greatest(F.lit(0), F.col("_n") - 2 * w)), "")
+    e = c.select(*c.columns, F.posexplode(mid).alias("_i", "_x")).where(F.col("_x").isin(base, revcomp_str(base)))
+    back, long = F.col("_x") != base, F.lit(2 * w + 1)
+    text = F.when(back, F.substring("_rc", F.col("_n") - F.col("_i") - 2 * w, long)).otherwise(F.substring("seq", F.col("_i") + 1, long))
+    return e.select("contig", (F.col("start") + F.col("_i")).alias("pos"), F.when(back, "-").otherwise("+").alias("strand"), text.alias("context"), "_i", *more)
+
+
 def base_contexts(ref: DataFrame, base: str, w: int, chunk: int = 200) -> DataFrame:
     """context of base_sites: contig, pos, strand, context, from chunks with w letters more on both sides, so that nothing is
     shuffled. ref has a contig once."""
-    edge = F.repeat(F.lit("N"), F.lit(w))
-    c = chunked(ref.where(F.length("seq") > 0).select("contig", F.concat(edge, "seq", edge).alias("seq")), 2 * w, chunk)
-    mid = F.split(F.substring("seq", F.lit(w + 1), F.greatest(F.lit(0), F.length("seq") - 2 * w)), "")
-    e = c.select("contig", "start", "seq", F.posexplode(mid).alias("_i", "_x")).where(F.col("_x").isin(base, revcomp_str(base)))
-    text = F.substring("seq", F.col("_i") + 1, F.lit(2 * w + 1))
-    back = F.col("_x") != base
-    return e.select("contig", (F.col("start") + F.col("_i")).alias("pos"), F.when(back, "-").otherwise("+").alias("strand"), F.when(back, revcomp(text)).otherwise(text).alias("context"))
+    return word_contexts(base_words(ref, w, chunk), base, w).drop("_i")
 
 
 def is_cpg(sites: DataFrame, ref: DataFrame, chunk: int = FINE) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +73,23 @@ def kinetics_rows(ref: DataFrame, calls: DataFrame, coverage: DataFrame, kind: s
 
     calls (contig, pos, strand, type); coverage (contig, pos, strand, cov). Positives: calls of the kind at a site of a motif; the
     first one found, but for those in skip (spilled over from another mark), names it. Negatives: sites of the base with coverage on
-    their strand, and no call of any kind, on either strand, within flank letters. All other sites are neither.
+    their strand, and no call of any kind, on either strand, within flank letters. All other sites are neither. ref has a contig once.
+
+    Calls and coverage meet words of 64 letters as bits (ranges.marks), once, so no table of sites is shuffled; the words are kept on
+    disk (persist), since motifs are sought before sites are told apart.
     """
     center = max(sizes)
-    own = calls.where(F.col("type") == kind).select(*SITE).distinct().withColumn("called", F.lit(True))
-    cx = seq.base_contexts(ref, base, center).join(own, SITE, "left").withColumn("called", F.coalesce("called", F.lit(False)))
+    strand = {"_plus": F.col("strand") == "+", "_minus": F.col("strand") == "-"}
+    own = {f"_own{n}": (F.col("type") == kind) & c for n, c in strand.items()}
+    deep = ranges.point_bits(coverage.where(F.col("cov") >= min_cov), **{f"_deep{n}": c for n, c in strand.items()})
+    bits = ranges.marks(ranges.near_bits(calls, flank, "_near", **own), deep)
+    words = seq.base_words(ref, center, ranges.WORD).withColumn("_w", F.floor(F.col("start") / ranges.WORD)).join(bits, ["contig", "_w"], "left").persist(StorageLevel.DISK_ONLY)
+    bit = lambda n: F.coalesce(F.getbit(n, F.col("_i")), F.lit(0)) == 1
+    mine = lambda n: F.when(F.col("strand") == "+", bit(f"{n}_plus")).otherwise(bit(f"{n}_minus"))
+    cx = seq.word_contexts(words, base, center).select(*SITE, "context", mine("_own").alias("called"), (mine("_deep") & ~bit("_near")).alias("quiet"))
     found = greedy_motifs(cx.select("context", "called"), list(sizes), center, rate, least, top)
     first = F.coalesce(*[F.when(F.substring("context", center - m.offset + 1, len(m.kmer)) == m.kmer, F.lit(m.name)) for m in found if m.name not in skip], F.lit(None).cast("string"))
-    pos = cx.where("called").withColumn("motif", first).where("motif IS NOT NULL").select(*SITE, F.lit(1).alias("label"), "motif")
-    deep = coverage.where(F.col("cov") >= min_cov).select(*SITE)
-    neg = ranges.exclude_near(seq.base_sites(ref, base).join(deep, SITE, "left_semi"), calls.select("contig", "pos").distinct(), flank)
-    rows = pos.unionByName(neg.select(*SITE, F.lit(0).alias("label"), F.lit(None).cast("string").alias("motif")))
+    sites = cx.where("called OR quiet").withColumn("motif", F.when(F.col("called"), first)).where("quiet OR motif IS NOT NULL")  # no call is quiet
+    rows = sites.select(*SITE, F.col("called").cast("int").alias("label"), "motif")
     motifs = ref.sparkSession.createDataFrame([(*m, m.name not in skip) for m in found], "motif string, kmer string, offset int, occurrences long, rate double, explained long, used boolean")
     return rows, motifs

@@ -32,9 +32,25 @@ def span_bits(spans: DataFrame, **names: Column) -> DataFrame:
         d = d.select("contig", "_s", "_e", *names, F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor((F.col("_e") - 1) / width))).alias(b))
         lo = F.col(b) * width
         d = d.select("contig", b, F.greatest("_s", lo).alias("_s"), F.least("_e", lo + width).alias("_e"), *names)
+    return d.select("contig", "_w", *[F.when(F.col(n), _mask("_s", "_e")).alias(n) for n in names])
+
+
+def _mask(lo: str, hi: str) -> Column:
+    """The bits of [lo, hi), which lies in the word _w."""
     ones, at = F.lit(-1).cast("long"), F.col("_w") * WORD
-    mask = F.call_function("shiftleft", ones, (F.col("_s") - at).cast("int")).bitwiseAND(F.call_function("shiftrightunsigned", ones, (at + WORD - F.col("_e")).cast("int")))
-    return d.select("contig", "_w", *[F.when(F.col(n), mask).alias(n) for n in names])
+    left = F.call_function("shiftleft", ones, (F.col(lo) - at).cast("int"))
+    return left.bitwiseAND(F.call_function("shiftrightunsigned", ones, (at + WORD - F.col(hi)).cast("int")))
+
+
+def near_bits(points: DataFrame, flank: int, near: str, **names: Column) -> DataFrame:
+    """point_bits, and as the column `near` the positions within flank of a point, from one pass over the points."""
+    p = F.col("pos").cast("long")
+    d = points.select("contig", p.alias("_p"), *[c.alias(n) for n, c in names.items()], F.explode(F.sequence(F.shiftright(p - flank, 6), F.shiftright(p + flank, 6))).alias("_w"))
+    at = F.col("_w") * WORD
+    d = d.withColumns({"_s": F.greatest(F.col("_p") - flank, at), "_e": F.least(F.col("_p") + flank + 1, at + WORD)})
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_p") - at).cast("int"))
+    here = (F.col("_p") >= at) & (F.col("_p") < at + WORD)
+    return d.select("contig", "_w", _mask("_s", "_e").alias(near), *[F.when(here & F.col(n), bit).alias(n) for n in names])
 
 
 def marks(*parts: DataFrame) -> DataFrame:

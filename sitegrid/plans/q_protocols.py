@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from sitegrid.functions import seq as Q
@@ -79,7 +80,7 @@ def chem_counts(s, d):
 
 def kinetics(s, d):
     """Calls at nearly all sites of GATC's A and of TCA's A, and here and there elsewhere."""
-    r = seqs(s, d)
+    r = seqs(s, d).persist(StorageLevel.DISK_ONLY)  # cut out of the texts once
     cx = Q.base_contexts(r, "A", 3)
     h = F.pmod(F.col("pos") * 31 + F.col("contig") * 17, F.lit(97))
     motif = F.substring("context", 3, 4).isin("GATC") | (F.substring("context", 2, 4) == "TCAA")

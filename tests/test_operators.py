@@ -254,6 +254,21 @@ def test_row_sites_meet_the_reference_as_bits(spark, base):
         assert not any("pos#" in x for x in joins)
 
 
+def test_calls_and_their_flanks_as_bits(spark):
+    at = [-70, -64, 0, 2, 63, 64, 130, 191, 192]
+    pts = spark.createDataFrame([(1, p, "+" if p % 2 else "-") for p in at + [64]] + [(None, 3, "+"), (2, None, "+")], "contig long, pos int, strand string")
+    for flank in (0, 3, 70):
+        m = ranges.marks(ranges.near_bits(pts, flank, "near", p=F.lit(True), plus=F.col("strand") == "+")).where("contig = 1").collect()
+        places = {c: {r["_w"] * 64 + i for r in m for i in range(64) if r[c] >> i & 1} for c in ("near", "p", "plus")}
+        assert places == {"near": {x for p in at for x in range(p - flank, p + flank + 1)}, "p": set(at), "plus": {63, 191}}
+
+
+def test_kinetic_calls_meet_the_reference_as_bits(spark):
+    plan = QUERIES["kinetics_discovered"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and not any("pos#" in x for x in joins)
+
+
 def test_intervals_are_merged_in_bins(spark):
     iv = spark.createDataFrame([(1, 0, 5), (1, 3, 9), (1, 9, 20), (1, 40, 40), (1, 3, 9)] + [(1, 50, 60)] * 500, "contig long, start long, end long")
     got = sorted((r["_b"], r["_s"], r["_e"]) for r in ranges.merged(iv, ["contig"], 16).collect())
